@@ -57,7 +57,7 @@ def global_row_number(df: DataFrame, order_cols: Sequence, out: str = "rn",
     offsets = _partition_offsets(sizes, ["_n"])
     # broadcast bound: one row per range partition
     joined = tagged.join(F.broadcast(offsets), pid == offsets["_pid"])
-    rn = (F.col("_off__n") + F.bitwise_and(F.col("_mid"), F.lit(_LOW_BITS)) + F.lit(1)).alias(out)
+    rn = (F.col("_off__n") + F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)) + F.lit(1)).alias(out)
     return joined.select(*[tagged[c] for c in df.columns], rn)
 
 
@@ -89,7 +89,7 @@ def prefix_sums(df: DataFrame, order_cols: Sequence, sum_cols: Sequence[str],
                                      for c in sum_cols])
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
+def exact_quantiles(df: DataFrame, value: str, probs,
                     group_cols: Sequence[str] = (), method: str = "auto",
                     max_buffered_distinct: int = 200_000) -> DataFrame:
     """(group..., prob, quantile) with linear interpolation (NumPy default,
@@ -103,14 +103,34 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
       "approx"      ``percentile_approx`` (bounded sketch, not exact).
       "auto"        "buffered" if the column has few distinct values
                     (HyperLogLog estimate), else "distributed".
+
+    ``probs`` is a list of constants, or a DataFrame ``(group..., prob)`` of
+    data-dependent probabilities (one per group, e.g. 1 - claim rate).
     """
     g = list(group_cols)
     v = F.col(value)
     clean = df.where(v.isNotNull() & ~F.isnan(v.cast("double")))
-    probs = [float(x) for x in probs]
+    prob_table = probs if isinstance(probs, DataFrame) else None
     if method == "auto":
         est = clean.agg(F.approx_count_distinct(v).alias("d")).first()["d"]
         method = "buffered" if est <= max_buffered_distinct else "distributed"
+    if prob_table is not None and method in ("buffered", "approx"):
+        # a constant percentage per aggregate: one small job per group
+        rows = prob_table.limit(10_001).collect()
+        if len(rows) > 10_000:
+            method = "distributed"
+        else:
+            out = None
+            for r in rows:
+                cond = F.lit(True)
+                for k in g:
+                    cond = cond & F.col(k).eqNullSafe(F.lit(r[k]))
+                part = exact_quantiles(clean.where(cond), value, [r["prob"]], [], method)
+                part = part.select(*[F.lit(r[k]).alias(k) for k in g], "prob", "quantile")
+                out = part if out is None else out.unionByName(part)
+            return out if out is not None else prob_table.select(*g, "prob", F.lit(None).cast("double")
+                                                                 .alias("quantile")).limit(0)
+    probs = [] if prob_table is not None else [float(x) for x in probs]
     if method in ("buffered", "approx"):
         arr = F.array(*[F.lit(x) for x in probs])
         if method == "buffered":
@@ -125,7 +145,12 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     counts = clean.groupBy(*g, v.cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     cum = prefix_sums(counts, ["_v"], ["_n"], group_cols=g)
     totals = counts.groupBy(*g).agg(F.sum("_n").alias("_N"))
-    targets = totals.select(*g, "_N", F.explode(F.array(*[F.lit(x) for x in probs])).alias("prob")) \
+    if prob_table is not None:
+        per = totals.join(prob_table.select(*g, F.col("prob").cast("double").alias("prob")), g) if g else \
+            totals.crossJoin(prob_table.select(F.col("prob").cast("double").alias("prob")))
+    else:
+        per = totals.select(*g, "_N", F.explode(F.array(*[F.lit(x) for x in probs])).alias("prob"))
+    targets = per \
         .withColumn("_pos", (F.col("_N") - 1) * F.col("prob")) \
         .withColumn("_lo", F.floor("_pos")).withColumn("_hi", F.ceil("_pos"))
     # the k-th (0-based) value is the row whose count interval [cum - n, cum) holds k
@@ -140,7 +165,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     lo = at("_lo", "_vlo")
     hi = at("_hi", "_vhi")
     res = targets.join(lo, [*g, "prob"]).join(hi, [*g, "prob"])
-    q = F.when(F.col("_hi") == F.col("_lo"), F.col("_vlo")).otherwise(
+    q = F.when((F.col("_hi") == F.col("_lo")) | (F.col("_vhi") == F.col("_vlo")), F.col("_vlo")).otherwise(
         (F.col("_hi") - F.col("_pos")) * F.col("_vlo") + (F.col("_pos") - F.col("_lo")) * F.col("_vhi"))
     return res.select(*g, "prob", q.alias("quantile"))
 
