@@ -56,6 +56,11 @@ def check_schema(df: DataFrame, schema: T.StructType = POLICY_SCHEMA) -> list[st
     return problems
 
 
+def conform(df: DataFrame, schema: T.StructType = POLICY_SCHEMA) -> DataFrame:
+    """Cast to the fixed policy schema (column order and types)."""
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
 def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The policy table derived from orders/customer/nation/lineitem/part.
 
