@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from ..session import default_partitions, materialize
 
 _LOW_BITS = (1 << 33) - 1
+MAX_BROADCAST_GROUPS = 200_000   # rows of a per-group side table that may be broadcast
 
 
 def _cols(cols) -> list[Column]:
@@ -84,6 +85,11 @@ def prefix_sums(df: DataFrame, order_cols: Sequence, sum_cols: Sequence[str],
     # restart per group: subtract the running total just before the group's first row
     base = glob.groupBy(*group_cols).agg(
         *[F.min(F.col(f"{prefix}{c}") - F.col(c)).alias(f"_base_{c}") for c in sum_cols])
+    # one row per group; a hot group (a third of all rows) must not become one
+    # shuffle partition, so broadcast whenever the group count passes the check
+    base = materialize(base, "prefix-base")
+    if base.count() <= MAX_BROADCAST_GROUPS:
+        base = F.broadcast(base)
     out = glob.join(base, [*group_cols])
     return out.select(*df.columns, *[(F.col(f"{prefix}{c}") - F.col(f"_base_{c}")).alias(f"{prefix}{c}")
                                      for c in sum_cols])

@@ -480,3 +480,29 @@ def q_freq_cap(spark, sf):
     prep = tg.TargetPrep.fit(pol)
     n = pol.where(F.col("ClaimNb") > 0).agg(F.count(F.lit(1)).cast("bigint").alias("n_positive"))
     return n.select(F.round(F.lit(prep.cap).cast("double"), 9).alias("cap"), "n_positive")
+
+
+# ------------------------------------------------------------------ I2 / A7: stacked metrics, summary
+_KEY_M_CTE = f"""
+m AS (SELECT model, sqrt(avg((y - pc) * (y - pc))) AS rmse, avg(abs(y - pc)) AS mae,
+      CASE WHEN var_pop(y) * count(*) > 1e-10 THEN 1 - sum((y - pc) * (y - pc)) / (var_pop(y) * count(*)) ELSE 0e0 END AS r2,
+      avg({_DEV_MODULE}) AS poisson_deviance,
+      CASE WHEN 2 * {_TP} + {_FP} + {_FN} = 0 THEN 0e0 ELSE 2e0 * {_TP} / (2 * {_TP} + {_FP} + {_FN}) END AS f1
+      FROM j GROUP BY model)"""
+
+
+@query("i02_key_metrics_by_model", sql(*_SCALAR_CTES, _KEY_M_CTE, """
+SELECT model, round(rmse, 9) AS rmse, round(mae, 9) AS mae, round(r2, 9) AS r2,
+       round(poisson_deviance, 9) AS poisson_deviance, round(f1, 9) AS f1 FROM m"""))
+def q_key_metrics(spark, sf):
+    m = ev.metric_rows(long_scores(spark, sf))
+    return m.select("model", *[r9(c).alias(c) for c in ev.KEY_METRICS])
+
+
+@query("a07_comparison_summary", sql(*_SCALAR_CTES, _KEY_M_CTE, """
+SELECT 'metrics' AS section, model, name, round(value, 9) AS value FROM m
+UNPIVOT (value FOR name IN (rmse, mae, r2, poisson_deviance, f1))"""))
+def q_summary(spark, sf):
+    from ..sources import sinks
+    s = sinks.summary_table(ev.metric_rows(long_scores(spark, sf)), None, ev.KEY_METRICS)
+    return s.withColumn("value", r9("value"))
