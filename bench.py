@@ -57,7 +57,7 @@ def main():
     pol = src.policies(spark, sf_dir)
     # feature build: policies join + cleaning + 41 columns, materialised
     fe = timed("feature_build", lambda: materialize(feat.engineer(pol)[0], "bench-features"))
-    sc = materialize(src.scored_from(pol), "bench-scored")
+    sc = materialize(src.scored_from(pol), "bench-scored", min_partitions=spark.sparkContext.defaultParallelism)
     long = src.long_scores(sc)
     timed("metric_rows", lambda: ev.metric_rows(long).collect())
     timed("lift_table", lambda: rk.lift_table(long).collect())
@@ -66,7 +66,7 @@ def main():
     timed("correlation_matrix", lambda: prof.correlation_pairs(fe, KEY_VARS + ENGINEERED_NUMERIC).collect())
     timed("describe", lambda: prof.describe(fe, ["Density", "LogDensity", "CompositeRiskScore",
                                                   "RiskFactorScore", "ClaimNb"]).collect())
-    mf = materialize(glm.model_frame(fe), "bench-model-frame")
+    mf = materialize(glm.model_frame(fe), "bench-model-frame", min_partitions=spark.sparkContext.defaultParallelism)
     from claimwise.operators import target as tg
     train, test = tg.split(mf)
     cols = feat.model_columns(mf)

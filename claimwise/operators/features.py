@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.exprs import at_least_one, finite_or_null, flag
-from ..session import materialize
+from ..session import materialize, parallelism
 from ..sources.tables import CATEGORICAL
 from .ordering import exact_quantiles, global_row_number
 
@@ -316,7 +316,7 @@ def engineer(pol: DataFrame, impute: str = "median", variant: str = "module",
     if state is not None:
         cleaned, _ = clean(pol, impute, state.clean.codes, state.clean.fills)
         return derive(cleaned, state.density, state.variant), state
-    base = materialize(pol, "policies") if stage else pol
+    base = materialize(pol, "policies", min_partitions=parallelism(pol.sparkSession)) if stage else pol
     prof = _profile_input(base)
     small = prof["vocab"] <= MAX_SMALL_VOCAB
     codes = fit_codes(base, vocab_estimate=prof["vocab"])

@@ -13,7 +13,7 @@ from ..operators import features as feat
 from ..operators import glm
 from ..operators import target as tg
 from ..operators import tune
-from ..session import materialize
+from ..session import materialize, parallelism
 from ..sources import tables as src
 from .catalog import query
 
@@ -28,7 +28,7 @@ BOOST_ROUNDS = 10   # registered boosting query: the bench's "10 boosting rounds
 def model_data(spark, sf) -> tuple[DataFrame, DataFrame, list[str]]:
     """Feature table with segment codes, materialised once, split 80/20 by hash."""
     fe, _ = feat.engineer(src.policies(spark, sf))
-    mf = materialize(glm.model_frame(fe), "model-frame")
+    mf = materialize(glm.model_frame(fe), "model-frame", min_partitions=parallelism(spark))
     train, test = tg.split(mf)
     cols = feat.model_columns(mf)
     return train, test, cols

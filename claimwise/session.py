@@ -67,18 +67,30 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or _LOCAL_DIRS[key]
 
 
-def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
+def materialize(df: DataFrame, label: str = "stage", min_partitions: int | None = None) -> DataFrame:
     """Write ``df`` once to the checkpoint folder as parquet and read it back.
 
     One computation (``checkpoint()`` on an unpersisted plan computes twice),
     lineage cut, and the result is a plain file scan that any executor can
-    re-read after a failure.
+    re-read after a failure. ``min_partitions``: when the written result reads
+    back as fewer splits than that (small data in few files), it is spread
+    once more so later iterative jobs use every core; at cluster scale the
+    file count already exceeds it and nothing extra happens.
     """
     spark = df.sparkSession
     base = checkpoint_dir(spark).rstrip("/")
     path = f"{base}/claimwise-{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    back = spark.read.parquet(path)
+    if min_partitions and back.rdd.getNumPartitions() < min_partitions:
+        path2 = f"{path}-spread"
+        back.repartition(min_partitions).write.mode("overwrite").parquet(path2)
+        back = spark.read.parquet(path2)
+    return back
+
+
+def parallelism(spark: SparkSession) -> int:
+    return spark.sparkContext.defaultParallelism
 
 
 def default_partitions(spark: SparkSession) -> int:
