@@ -27,19 +27,69 @@ METRIC_COLUMNS = ["rmse", "mae", "r2", "poisson_deviance", "low_rmse", "low_mae"
                   "high_rmse", "high_mae", "accuracy", "precision", "recall", "f1", "threshold"]
 
 
+def align(actuals: DataFrame, predictions: DataFrame, key: str = "IDpol") -> tuple[DataFrame, DataFrame]:
+    """M1: pair actuals with predictions by key (never by position). Returns
+    the matched rows and a one-row check (n_matched, n_missing_prediction,
+    n_missing_actual); callers stop on a non-zero mismatch instead of
+    evaluating misaligned vectors."""
+    j = actuals.join(predictions, key, "full")
+    pred_cols = [c for c in predictions.columns if c != key]
+    act_cols = [c for c in actuals.columns if c != key]
+    has_p = F.col(pred_cols[0]).isNotNull() if pred_cols else F.lit(True)
+    has_a = F.col(act_cols[0]).isNotNull() if act_cols else F.lit(True)
+    check = j.agg(F.count(F.when(has_p & has_a, 1)).cast("bigint").alias("n_matched"),
+                  F.count(F.when(~has_p, 1)).cast("bigint").alias("n_missing_prediction"),
+                  F.count(F.when(~has_a, 1)).cast("bigint").alias("n_missing_actual"))
+    return j.where(has_p & has_a), check
+
+
+MAX_BUFFERED_DISTINCT = 200_000
+MAX_FUSED_GROUPS = 64
+
+
 def scalars(long: DataFrame, group_cols: Sequence[str] = ("model",), actual: str = "actual",
             predicted: str = "predicted", default_cap: float = 10.0) -> DataFrame:
-    """Passes 1-2: (group..., n, claim_rate, cap, threshold)."""
+    """Passes 1-2: (group..., n, claim_rate, cap, threshold).
+
+    Pass 1 (one aggregate): rows, claim rate and HyperLogLog distinct
+    estimates per model. Pass 2 (one aggregate): every model's cap and
+    threshold percentile as filtered ``percentile`` aggregates with the
+    model's constant probability - each buffer holds one model's distinct
+    values, bounded by the estimate check. Many models or high-cardinality
+    scores use the distributed ``exact_quantiles`` path instead."""
     g = list(group_cols)
-    y = F.col(actual)
-    rates = long.groupBy(*g).agg(F.count(F.lit(1)).alias("n"), F.avg((y > 0).cast("double")).alias("claim_rate"))
-    caps = exact_quantiles(long.where(y > 0), actual, [0.999], group_cols=g) \
-        .select(*g, (F.col("quantile") * 1.5).alias("_cap"))
-    probs = rates.where(F.col("claim_rate") > 0).select(*g, (F.lit(1.0) - F.col("claim_rate")).alias("prob"))
-    thr = exact_quantiles(long, predicted, probs, group_cols=g).select(*g, F.col("quantile").alias("_thr"))
-    return rates.join(caps, g, "left").join(thr, g, "left").select(
-        *g, "n", "claim_rate", F.coalesce(F.col("_cap"), F.lit(default_cap)).alias("cap"),
-        F.when(F.col("claim_rate") > 0, F.col("_thr")).otherwise(F.lit(0.5)).alias("threshold"))
+    y, p = F.col(actual), F.col(predicted)
+    first = long.groupBy(*g).agg(F.count(F.lit(1)).alias("n"), F.avg((y > 0).cast("double")).alias("claim_rate"),
+                                 F.approx_count_distinct(F.when(y > 0, y)).alias("_dpos"),
+                                 F.approx_count_distinct(p).alias("_dpred"))
+    rows = first.limit(MAX_FUSED_GROUPS + 1).collect()
+    fused = (len(rows) <= MAX_FUSED_GROUPS and
+             all(r["_dpos"] <= MAX_BUFFERED_DISTINCT and r["_dpred"] <= MAX_BUFFERED_DISTINCT for r in rows))
+    if not fused:
+        caps = exact_quantiles(long.where(y > 0), actual, [0.999], group_cols=g, method="distributed") \
+            .select(*g, (F.col("quantile") * 1.5).alias("_cap"))
+        probs = first.where(F.col("claim_rate") > 0).select(*g, (F.lit(1.0) - F.col("claim_rate")).alias("prob"))
+        thr = exact_quantiles(long, predicted, probs, group_cols=g, method="distributed") \
+            .select(*g, F.col("quantile").alias("_thr"))
+        return first.join(caps, g, "left").join(thr, g, "left").select(
+            *g, "n", "claim_rate", F.coalesce(F.col("_cap"), F.lit(default_cap)).alias("cap"),
+            F.when(F.col("claim_rate") > 0, F.col("_thr")).otherwise(F.lit(0.5)).alias("threshold"))
+    aggs = []
+    for i, r in enumerate(rows):
+        in_g = F.lit(True)
+        for k in g:
+            in_g = in_g & F.col(k).eqNullSafe(F.lit(r[k]))
+        aggs.append(F.percentile(F.when(in_g & (y > 0), y.cast("double")), 0.999).alias(f"c{i}"))
+        if r["claim_rate"] > 0:
+            aggs.append(F.percentile(F.when(in_g, p.cast("double")), 1.0 - r["claim_rate"]).alias(f"t{i}"))
+    q = long.agg(*aggs).first().asDict() if aggs else {}
+    out = []
+    for i, r in enumerate(rows):
+        cap = q.get(f"c{i}")
+        thr = q.get(f"t{i}") if r["claim_rate"] > 0 else 0.5
+        out.append((*[r[k] for k in g], r["n"], r["claim_rate"], cap * 1.5 if cap is not None else default_cap, thr))
+    schema = first.select(*g, "n", "claim_rate").schema.add("cap", "double").add("threshold", "double")
+    return long.sparkSession.createDataFrame(out, schema)
 
 
 def metric_rows(long: DataFrame, group_cols: Sequence[str] = ("model",), actual: str = "actual",

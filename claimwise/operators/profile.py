@@ -56,22 +56,33 @@ def claim_shares(df: DataFrame, target: str = "ClaimNb", exposure: str = "Exposu
                   pct(F.col(exposure) < short)("pct_very_short"))
 
 
-def describe(df: DataFrame, cols: Sequence[str], method: str = "auto") -> DataFrame:
+def describe(df: DataFrame, cols: Sequence[str], max_buffered_distinct: int = 200_000) -> DataFrame:
     """pandas describe(): count, mean, sample std, min, quartiles, max.
 
-    Moments in one aggregate; quartiles exact (``exact_quantiles``)."""
+    One aggregate for the moments and HyperLogLog distinct estimates, one for
+    the exact quartiles of every column whose estimate allows the buffered
+    ``percentile``; other columns take the distributed exact path."""
     cols = list(cols)
+    spark = df.sparkSession
     stats = df.agg(*[F.struct(F.count(c).cast("bigint").alias("count"), F.avg(c).alias("mean"),
                               F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"),
-                              F.max(c).cast("double").alias("max")).alias(c) for c in cols])
-    moments = stats.unpivot([], cols, "variable", "s").select("variable", "s.*")
-    qs = None
+                              F.max(c).cast("double").alias("max"),
+                              F.approx_count_distinct(c).alias("_d")).alias(c) for c in cols]).first()
+    probs = [0.25, 0.5, 0.75]
+    small = [c for c in cols if stats[c]["_d"] <= max_buffered_distinct]
+    q = {}
+    if small:
+        arr = F.array(*[F.lit(x) for x in probs])
+        row = df.agg(*[F.percentile(F.col(c).cast("double"), arr).alias(c) for c in small]).first()
+        q.update({c: list(row[c]) if row[c] is not None else [None] * 3 for c in small})
     for c in cols:
-        q = exact_quantiles(df, c, [0.25, 0.5, 0.75], method=method).groupBy().pivot("prob", [0.25, 0.5, 0.75]) \
-            .agg(F.first("quantile")).toDF("p25", "p50", "p75").withColumn("variable", F.lit(c))
-        qs = q if qs is None else qs.unionByName(q)
-    return moments.join(qs, "variable", "left").select("variable", "count", "mean", "std", "min",
-                                                        "p25", "p50", "p75", "max")
+        if c not in q:
+            got = {r["prob"]: r["quantile"] for r in exact_quantiles(df, c, probs, method="distributed").collect()}
+            q[c] = [got.get(x) for x in probs]
+    rows = [(c, stats[c]["count"], stats[c]["mean"], stats[c]["std"], stats[c]["min"], *q[c], stats[c]["max"])
+            for c in cols]
+    return spark.createDataFrame(rows, "variable string, count bigint, mean double, std double, min double, "
+                                       "p25 double, p50 double, p75 double, max double")
 
 
 def distinct_counts(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:

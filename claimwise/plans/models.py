@@ -121,3 +121,13 @@ def q_grid(spark, sf):
     """Small grid x 3-fold CV scored by Poisson deviance."""
     train, _, cols = model_data(spark, sf)
     return tune.grid_search(train, cols)
+
+
+@query("h04_top20_features")
+def q_top20(spark, sf):
+    """H4: the 20 most important features per model."""
+    fitted, *_ = fit_all(spark, sf)
+    imp = None
+    for f in fitted.values():
+        imp = f.importance() if imp is None else imp.unionByName(f.importance())
+    return glm.ranked_importance(imp, 20)

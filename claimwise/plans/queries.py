@@ -506,3 +506,16 @@ def q_summary(spark, sf):
     from ..sources import sinks
     s = sinks.summary_table(ev.metric_rows(long_scores(spark, sf)), None, ev.KEY_METRICS)
     return s.withColumn("value", r9("value"))
+
+
+@query("m01_alignment_check", sql("""
+a AS (SELECT IDpol, ClaimNb FROM policies)""", """
+p AS (SELECT IDpol, predicted_poisson FROM scored)""", """
+SELECT CAST(count(CASE WHEN a.IDpol IS NOT NULL AND p.IDpol IS NOT NULL THEN 1 END) AS BIGINT) AS n_matched,
+       CAST(count(CASE WHEN p.IDpol IS NULL THEN 1 END) AS BIGINT) AS n_missing_prediction,
+       CAST(count(CASE WHEN a.IDpol IS NULL THEN 1 END) AS BIGINT) AS n_missing_actual
+FROM a FULL OUTER JOIN p ON a.IDpol = p.IDpol"""))
+def q_alignment(spark, sf):
+    pol = policies(spark, sf)
+    _, check = ev.align(pol.select("IDpol", "ClaimNb"), src.scored_from(pol).select("IDpol", "predicted_poisson"))
+    return check

@@ -132,3 +132,24 @@ def test_nonfinite_predictions_removed(spark):
 def test_best_model_tie_goes_to_earlier(spark):
     m = spark.createDataFrame([("tweedie", 0.5), ("poisson", 0.5), ("standard", 0.4)], "model string, f1 double")
     assert ev.best_model(m).first()["model"] == "poisson"
+
+
+def test_scalar_paths_agree(spark, long_pd, monkeypatch):
+    sdf = spark.createDataFrame(long_pd)
+    fused = {r["model"]: r for r in ev.scalars(sdf).collect()}
+    monkeypatch.setattr(ev, "MAX_BUFFERED_DISTINCT", -1)
+    dist = {r["model"]: r for r in ev.scalars(sdf).collect()}
+    for m in fused:
+        for k in ("n", "claim_rate", "cap", "threshold"):
+            assert math.isclose(fused[m][k], dist[m][k], rel_tol=1e-12), (m, k)
+
+
+def test_describe_paths_agree(spark, long_pd):
+    from claimwise.operators import profile as prof
+    sdf = spark.createDataFrame(long_pd)
+    a = {r["variable"]: r for r in prof.describe(sdf, ["predicted", "actual"]).collect()}
+    b = {r["variable"]: r for r in prof.describe(sdf, ["predicted", "actual"], max_buffered_distinct=-1).collect()}
+    for v in a:
+        for k in ("p25", "p50", "p75"):
+            assert math.isclose(a[v][k], b[v][k], rel_tol=1e-12)
+        assert math.isclose(a[v]["p50"], float(np.percentile(long_pd[v], 50)), rel_tol=1e-12)
