@@ -153,7 +153,7 @@ def exact_quantiles(df: DataFrame, value: str, probs,
     totals = counts.groupBy(*g).agg(F.sum("_n").alias("_N"))
     if prob_table is not None:
         per = totals.join(prob_table.select(*g, F.col("prob").cast("double").alias("prob")), g) if g else \
-            totals.crossJoin(prob_table.select(F.col("prob").cast("double").alias("prob")))
+            totals.withColumn("prob", prob_table.select(F.col("prob").cast("double")).scalar())
     else:
         per = totals.select(*g, "_N", F.explode(F.array(*[F.lit(x) for x in probs])).alias("prob"))
     targets = per \

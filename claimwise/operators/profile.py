@@ -95,9 +95,8 @@ def distinct_counts(df: DataFrame, cols: Sequence[str], approx: bool = False) ->
 def segment_share(df: DataFrame, col: str) -> DataFrame:
     """normalised value counts (%). The total is a one-row aggregate."""
     counts = df.groupBy(col).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
-    total = counts.agg(F.sum("n").alias("_tot"))
-    # broadcast bound: one row
-    return counts.crossJoin(F.broadcast(total)).select(col, "n", (F.col("n") * 100.0 / F.col("_tot")).alias("pct"))
+    total = counts.agg(F.sum("n")).scalar()          # scalar subquery, evaluated once
+    return counts.select(col, "n", (F.col("n") * 100.0 / total).alias("pct"))
 
 
 def segment_summary(df: DataFrame, col: str, target: str = "ClaimNb", exposure: str = "Exposure") -> DataFrame:
@@ -105,11 +104,9 @@ def segment_summary(df: DataFrame, col: str, target: str = "ClaimNb", exposure:
     g = df.groupBy(col).agg(F.count(F.lit(1)).cast("bigint").alias("policies"),
                             F.sum(target).cast("bigint").alias("claims"),
                             F.sum(exposure).alias("exposure"))
-    tot = g.agg(F.sum("policies").alias("_tp"))
-    # broadcast bound: one row
-    return g.crossJoin(F.broadcast(tot)).select(
-        col, "policies", "claims", "exposure", (F.col("claims") / F.col("exposure")).alias("frequency"),
-        (F.col("policies") * 100.0 / F.col("_tp")).alias("share_pct"))
+    tot = g.agg(F.sum("policies")).scalar()          # scalar subquery, evaluated once
+    return g.select(col, "policies", "claims", "exposure", (F.col("claims") / F.col("exposure")).alias("frequency"),
+                    (F.col("policies") * 100.0 / tot).alias("share_pct"))
 
 
 def mean_by(df: DataFrame, col: str, target: str = "ClaimNb") -> DataFrame:

@@ -221,14 +221,13 @@ SELECT round(mean_density, 6) AS mean_density, round(q90_density, 6) AS q90_dens
        CAST(count(CASE WHEN Density > q90_density THEN 1 END) AS BIGINT) AS n_above_q90
 FROM filled CROSS JOIN th GROUP BY mean_density, q90_density""")
 def q_density_thresholds(spark, sf):
-    """Scalar aggregate joined back to every row: mean and 0.9 quantile in one
-    aggregate, broadcast (one row) and compared per row."""
+    """Scalar aggregate used on every row: mean and 0.9 quantile in one
+    aggregate, evaluated once as a scalar subquery and compared per row."""
     pol = policies(spark, sf)
     cleaned, _ = feat.clean(pol)
-    th = cleaned.agg(F.avg("Density").alias("mean_density"),
-                     F.percentile(F.col("Density").cast("double"), 0.9).alias("q90_density"))
-    # broadcast bound: one row
-    j = cleaned.select("Density").crossJoin(F.broadcast(th))
+    th = cleaned.agg(F.struct(F.avg("Density").alias("mean_density"),
+                              F.percentile(F.col("Density").cast("double"), 0.9).alias("q90_density"))).scalar()
+    j = cleaned.select("Density", th.alias("th")).select("Density", "th.*")
     return j.groupBy("mean_density", "q90_density").agg(
         F.count(F.when(F.col("Density") > F.col("mean_density"), 1)).cast("bigint").alias("n_above_mean"),
         F.count(F.when(F.col("Density") > F.col("q90_density"), 1)).cast("bigint").alias("n_above_q90"),

@@ -131,3 +131,13 @@ def q_top20(spark, sf):
     for f in fitted.values():
         imp = f.importance() if imp is None else imp.unionByName(f.importance())
     return glm.ranked_importance(imp, 20)
+
+
+@query("l09_boosted_standard_scores")
+def q_boosted_standard(spark, sf):
+    """L1 as boosted trees: count target, no exposure offset."""
+    train, test, cols = model_data(spark, sf)
+    m = bst.fit_boosted(train, "standard", cols, bst.BoostParams(objective="poisson", rounds=BOOST_ROUNDS,
+                                                                 learning_rate=0.05, max_depth=5, reg_lambda=0.1),
+                        exposure_col=None)
+    return m.predict(test)
