@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from ..session import default_partitions, materialize
 
 _LOW_BITS = (1 << 33) - 1
-MAX_BROADCAST_GROUPS = 200_000   # rows of a per-group side table that may be broadcast
 
 
 def _cols(cols) -> list[Column]:
@@ -67,32 +66,30 @@ def prefix_sums(df: DataFrame, order_cols: Sequence, sum_cols: Sequence[str],
                 num_partitions: int | None = None) -> DataFrame:
     """Inclusive running sums of ``sum_cols`` in ``order_cols`` order,
     restarting at each ``group_cols`` value. The order must be total within
-    a group for the result to be deterministic."""
+    a group for the result to be deterministic.
+
+    Rows are range-partitioned on (group, order); each (partition, group)
+    piece gets its running sums locally, plus the total of the same group in
+    earlier partitions. That offset table has at most partitions + groups
+    rows, and a hot group spanning many partitions is split by partition."""
     spark = df.sparkSession
     p = num_partitions or default_partitions(spark)
-    order = [*_cols(group_cols), *_cols(order_cols)]
-    tagged = (df.repartitionByRange(p, *order).withColumn("_pid", F.spark_partition_id()))
+    g = list(group_cols)
+    order = [*_cols(g), *_cols(order_cols)]
+    tagged = df.repartitionByRange(p, *order).withColumn("_pid", F.spark_partition_id())
     tagged = materialize(tagged, "prefix")
-    w = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy("_pid", *g).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = tagged.select("*", *[F.sum(c).over(w).alias(f"_loc_{c}") for c in sum_cols])
-    sizes = tagged.groupBy("_pid").agg(*[F.sum(c).alias(c) for c in sum_cols])
-    offsets = _partition_offsets(sizes, sum_cols)
-    # broadcast bound: one row per range partition
-    glob = local.join(F.broadcast(offsets), "_pid").select(
-        *df.columns, *[(F.col(f"_off_{c}") + F.col(f"_loc_{c}")).alias(f"{prefix}{c}") for c in sum_cols])
-    if not group_cols:
-        return glob
-    # restart per group: subtract the running total just before the group's first row
-    base = glob.groupBy(*group_cols).agg(
-        *[F.min(F.col(f"{prefix}{c}") - F.col(c)).alias(f"_base_{c}") for c in sum_cols])
-    # one row per group; a hot group (a third of all rows) must not become one
-    # shuffle partition, so broadcast whenever the group count passes the check
-    base = materialize(base, "prefix-base")
-    if base.count() <= MAX_BROADCAST_GROUPS:
-        base = F.broadcast(base)
-    out = glob.join(base, [*group_cols])
-    return out.select(*df.columns, *[(F.col(f"{prefix}{c}") - F.col(f"_base_{c}")).alias(f"{prefix}{c}")
-                                     for c in sum_cols])
+    sizes = tagged.groupBy("_pid", *g).agg(*[F.sum(c).alias(c) for c in sum_cols])
+    # exclusive running totals over partitions, per group: each window holds one
+    # group's pieces, at most one per partition
+    wo = Window.partitionBy(*g).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_pid", *g, *[F.coalesce(F.sum(c).over(wo), F.lit(0)).alias(f"_off_{c}")
+                                         for c in sum_cols])
+    keys = ["_pid", *g]
+    joined = local.join(offsets, [local[k].eqNullSafe(offsets[k]) for k in keys])
+    return joined.select(*[local[c] for c in df.columns],
+                         *[(F.col(f"_off_{c}") + F.col(f"_loc_{c}")).alias(f"{prefix}{c}") for c in sum_cols])
 
 
 def exact_quantiles(df: DataFrame, value: str, probs,
