@@ -40,3 +40,14 @@ def test_sinks_roundtrip(spark, tmp_path):
     sinks.write_csv(top, str(tmp_path / "top"), single_file=True)
     csv = spark.read.option("header", True).csv(str(tmp_path / "top"))
     assert csv.count() == 30 and set(csv.columns) >= {"model", "IDpol", "abs_error"}
+
+
+def test_full_study_writes_every_table(spark, tmp_path):
+    from claimwise.plans import study
+    out = str(tmp_path / "study")
+    metrics = study.run(spark, src.policies(spark, SF), out)
+    assert set(metrics) == {"standard", "poisson", "tweedie"}
+    for name in ("features", "metrics", "lift", "pr_curve", "comparison", "importance", "summary", "histograms"):
+        assert spark.read.parquet(f"{out}/{name}").count() > 0
+    assert spark.read.option("header", True).csv(f"{out}/top_errors").count() == 30
+    assert all(0.0 <= m["f1"] <= 1.0 for m in metrics.values())
