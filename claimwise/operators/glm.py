@@ -71,11 +71,15 @@ class FittedGLM:
 
 
 def fit_glm(train: DataFrame, name: str, family: str = "poisson", variance_power: float = 1.5,
-            exposure_col: str | None = "Exposure", mode: str = "reference", reg_param: float = 1e-4,
+            exposure_col: str | None = "Exposure", mode: str = "actuarial", reg_param: float = 1e-4,
             max_iter: int = 50, feature_cols: Sequence[str] | None = None, key: str = "IDpol",
             target_col: str = "ClaimNb") -> FittedGLM:
     """L1 (no exposure), L2 (Poisson + offset), L3 (Tweedie p=1.5 + offset).
 
+    mode="actuarial" (default): claim count as label with the log-exposure
+    offset; mode="reference": the reference's capped, floored rate as label
+    with the offset as well (exposure counted twice, SURVEY Q3).
+
     Features are standardised and lightly ridge-penalised (the partitioned
     flags are collinear). The Tweedie fit drops the 1e-6 label floor, which
     the IRLS start cannot use (SURVEY §7.6); the floor stays for Poisson."""

@@ -465,7 +465,7 @@ SELECT IDpol, round(exposure_adj, 9) AS exposure_adj, round(ln(exposure_adj), 9)
 FROM t CROSS JOIN cap""", base="policies"))
 def q_target(spark, sf):
     pol = policies(spark, sf)
-    prep = tg.TargetPrep.fit(pol)
+    prep = tg.TargetPrep.fit(pol, mode="reference")
     t = prep.transform(pol)
     return t.select("IDpol", r9("exposure_adj").alias("exposure_adj"), r9("offset").alias("offset"),
                     r9("frequency").alias("frequency"), r9("target").alias("target"))
@@ -477,7 +477,7 @@ SELECT round(quantile_cont(f, 0.99), 9) AS cap, CAST(count(*) AS BIGINT) AS n_po
                                       base="policies"))
 def q_freq_cap(spark, sf):
     pol = policies(spark, sf)
-    prep = tg.TargetPrep.fit(pol)
+    prep = tg.TargetPrep.fit(pol, mode="reference")
     n = pol.where(F.col("ClaimNb") > 0).agg(F.count(F.lit(1)).cast("bigint").alias("n_positive"))
     return n.select(F.round(F.lit(prep.cap).cast("double"), 9).alias("cap"), "n_positive")
 
