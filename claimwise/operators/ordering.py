@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from ..session import default_partitions, materialize
 
 _LOW_BITS = (1 << 33) - 1
+MAX_LOOP_GROUPS = 64      # per-group constant-probability aggregates; beyond this, one distributed pass
 
 
 def _cols(cols) -> list[Column]:
@@ -119,8 +120,8 @@ def exact_quantiles(df: DataFrame, value: str, probs,
         method = "buffered" if est <= max_buffered_distinct else "distributed"
     if prob_table is not None and method in ("buffered", "approx"):
         # a constant percentage per aggregate: one small job per group
-        rows = prob_table.limit(10_001).collect()
-        if len(rows) > 10_000:
+        rows = prob_table.limit(MAX_LOOP_GROUPS + 1).collect()
+        if len(rows) > MAX_LOOP_GROUPS:
             method = "distributed"
         else:
             out = None
