@@ -66,22 +66,28 @@ def to_counts(rate, exposure_adj, nonnegative: bool = False):
     return F.greatest(out, F.lit(0.0)) if nonnegative else out
 
 
+def key_bucket(key: str = "IDpol", seed: int = 42, buckets: int = 10000):
+    """Deterministic bucket 0..buckets-1 of the key: the first 32 bits of
+    md5("seed:key"). A hash of the key (unlike ``randomSplit``) is stable under
+    repartitioning and recomputation, so a lost partition is rebuilt into the
+    same split; md5 also exists in SQL engines, so the split is checkable."""
+    h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    return (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % F.lit(buckets)).cast("int")
+
+
 def split_column(key: str = "IDpol", seed: int = 42, test_fraction: float = 0.2, rule: str = "hash"):
-    """J1: 'test' / 'train' from a hash of the key — stable under
-    repartitioning and recomputation (unlike ``randomSplit``), so lost
-    partitions are rebuilt identically. rule="modulo" (key % 5 == 0) is an
-    engine-independent alternative."""
+    """J1: 'test' / 'train' from a hash bucket of the key; rule="modulo"
+    (key % 5 == 0) is the simplest engine-independent alternative."""
     if rule == "modulo":
         is_test = (F.col(key) % int(round(1 / test_fraction))) == 0
     else:
-        bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(10000))
-        is_test = bucket < int(round(test_fraction * 10000))
+        is_test = key_bucket(key, seed) < int(round(test_fraction * 10000))
     return F.when(is_test, "test").otherwise("train")
 
 
 def fold_column(key: str = "IDpol", seed: int = 42, k: int = 5):
-    """Shuffled K-fold assignment 0..k-1 by hash of the key."""
-    return F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key)), F.lit(k)).cast("int")
+    """Shuffled K-fold assignment 0..k-1 from a hash bucket of the key."""
+    return (key_bucket(key, seed + 1, 10000 * k) % k).cast("int")
 
 
 def split(df: DataFrame, key: str = "IDpol", seed: int = 42, test_fraction: float = 0.2,

@@ -16,6 +16,7 @@ from ..operators import tune
 from ..session import materialize, parallelism
 from ..sources import tables as src
 from .catalog import query
+from .queries import sql
 
 MODEL_SPECS = {
     "standard": dict(family="poisson", exposure_col=None),
@@ -95,14 +96,19 @@ def q_boosted_tweedie(spark, sf):
     return m.predict(test)
 
 
-@query("j01_split_sizes")
+@query("j01_split_sizes", sql("""
+SELECT CASE WHEN ('0x' || substr(md5('42:' || CAST(IDpol AS VARCHAR)), 1, 8))::BIGINT % 10000 < 2000
+            THEN 'test' ELSE 'train' END AS split, CAST(count(*) AS BIGINT) AS n FROM policies GROUP BY 1""",
+                                   base="policies"))
 def q_split_sizes(spark, sf):
     """Sizes of the hash split (stable under repartitioning)."""
     pol = src.policies(spark, sf)
     return pol.groupBy(tg.split_column().alias("split")).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
 
 
-@query("j02_fold_sizes")
+@query("j02_fold_sizes", sql("""
+SELECT CAST(((('0x' || substr(md5('43:' || CAST(IDpol AS VARCHAR)), 1, 8))::BIGINT % 50000) % 5) AS INT) AS fold,
+       CAST(count(*) AS BIGINT) AS n FROM policies GROUP BY 1""", base="policies"))
 def q_fold_sizes(spark, sf):
     pol = src.policies(spark, sf)
     return pol.groupBy(tg.fold_column().alias("fold")).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
