@@ -17,6 +17,7 @@ from pyspark.ml.regression import GeneralizedLinearRegression, GeneralizedLinear
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import active_session
 from .features import model_columns, segment_codes
 from .target import TargetPrep, to_counts
 
@@ -63,7 +64,7 @@ class FittedGLM:
         coefs = [abs(float(c)) for c in self.glm.coefficients]     # one number per feature (model state)
         tot = sum(coefs) or 1.0
         rows = [(self.name, f, c / tot) for f, c in zip(self.feature_cols, coefs)]
-        return SparkSession.getActiveSession().createDataFrame(rows, "model string, feature string, importance double")
+        return active_session().createDataFrame(rows, "model string, feature string, importance double")
 
     def save(self, path: str) -> None:
         """Spark ML writer (pipeline with assembler, scaler, GLM)."""

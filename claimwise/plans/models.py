@@ -13,7 +13,7 @@ from ..operators import features as feat
 from ..operators import glm
 from ..operators import target as tg
 from ..operators import tune
-from ..session import materialize, parallelism
+from ..session import materialize, parallelism, run_parallel
 from ..sources import tables as src
 from .catalog import query
 from .queries import sql
@@ -37,7 +37,8 @@ def model_data(spark, sf) -> tuple[DataFrame, DataFrame, list[str]]:
 
 def fit_all(spark, sf):
     train, test, cols = model_data(spark, sf)
-    fitted = {m: glm.fit_glm(train, m, feature_cols=cols, **spec) for m, spec in MODEL_SPECS.items()}
+    fitted = run_parallel({m: (lambda m=m, spec=spec: glm.fit_glm(train, m, feature_cols=cols, **spec))
+                           for m, spec in MODEL_SPECS.items()})
     return fitted, train, test, cols
 
 

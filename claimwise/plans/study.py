@@ -24,7 +24,7 @@ from ..operators import glm
 from ..operators import profile as prof
 from ..operators import ranking as rk
 from ..operators import target as tg
-from ..session import materialize, parallelism
+from ..session import materialize, parallelism, run_parallel
 from ..sources import sinks
 from ..sources import tables as src
 from .catalog import ENGINEERED_NUMERIC, KEY_VARS
@@ -69,16 +69,20 @@ def run(spark: SparkSession, policies: DataFrame, out_dir: str, learner: str = "
     mf = materialize(glm.model_frame(fe), "study-model-frame", min_partitions=parallelism(spark))
     train, test = tg.split(mf)
     cols = feat.model_columns(mf)
-    scores, importance = None, None
-    for name, spec in MODEL_SPECS.items():
+    def fit_one(name):
         if learner == "glm":
-            model = glm.fit_glm(train, name, feature_cols=cols, **spec)
-            model.save(f"{out_dir.rstrip('/')}/models/{name}")
+            model = glm.fit_glm(train, name, feature_cols=cols, **MODEL_SPECS[name])
         else:
             params, exposure = BOOST_SPECS[name]
             params = dict(params, rounds=boost_rounds or params["rounds"])
             model = bst.fit_boosted(train, name, cols, bst.BoostParams(**params), exposure_col=exposure)
-            model.save(f"{out_dir.rstrip('/')}/models/{name}")
+        model.save(f"{out_dir.rstrip('/')}/models/{name}")
+        return model
+
+    # the three fits are independent: submit them concurrently
+    fitted = run_parallel({name: (lambda name=name: fit_one(name)) for name in MODEL_SPECS})
+    scores, importance = None, None
+    for name, model in fitted.items():
         s = model.predict(test).withColumn("model", F.lit(name))
         scores = s if scores is None else scores.unionByName(s)
         imp = model.importance()

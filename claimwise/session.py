@@ -89,6 +89,21 @@ def materialize(df: DataFrame, label: str = "stage", min_partitions: int | None
     return back
 
 
+def active_session() -> SparkSession:
+    """The running session from any thread (worker threads of a pool have no
+    thread-local active session of their own)."""
+    return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+
+
+def run_parallel(tasks: dict, max_workers: int = 3) -> dict:
+    """Run independent Spark jobs (e.g. three model fits) from a small thread
+    pool, as ``CrossValidator(parallelism=...)`` does; returns name -> result."""
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=max_workers) as pool:
+        futures = {name: pool.submit(fn) for name, fn in tasks.items()}
+        return {name: f.result() for name, f in futures.items()}
+
+
 def parallelism(spark: SparkSession) -> int:
     return spark.sparkContext.defaultParallelism
 
