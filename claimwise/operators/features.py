@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.exprs import at_least_one, finite_or_null, flag
-from ..session import materialize, parallelism
+from ..session import materialize, parallelism, run_parallel
 from ..sources.tables import CATEGORICAL
 from .ordering import exact_quantiles, global_row_number
 
@@ -319,9 +319,13 @@ def engineer(pol: DataFrame, impute: str = "median", variant: str = "module",
     base = materialize(pol, "policies", min_partitions=parallelism(pol.sparkSession)) if stage else pol
     prof = _profile_input(base)
     small = prof["vocab"] <= MAX_SMALL_VOCAB
-    codes = fit_codes(base, vocab_estimate=prof["vocab"])
+    # code table and fill statistics are independent (code columns hold no
+    # nulls), so their jobs run concurrently
+    fitted = run_parallel({
+        "codes": lambda: fit_codes(base, vocab_estimate=prof["vocab"]),
+        "fills": lambda: _fit_fills_and_density(blank_non_finite(base_columns(base)), prof, impute)})
+    codes, (fills, th) = fitted["codes"], fitted["fills"]
     staged = blank_non_finite(base_columns(apply_codes(base, codes, small=small)))
-    fills, th = _fit_fills_and_density(staged, prof, impute)
     cleaned = apply_fill(staged, fills)
     if th is None:
         th = fit_density_thresholds(cleaned)
