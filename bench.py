@@ -16,6 +16,14 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 
+def _sf_value(sf_dir: str):
+    name = os.path.basename(sf_dir.rstrip("/"))
+    try:
+        return float(name.replace("sf", ""))
+    except ValueError:
+        return name
+
+
 def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -23,13 +31,15 @@ def main():
 
     spark = build_session(f"local[{cpus}]", shuffle_partitions=int(cpus),
                           extra={"spark.sql.files.maxPartitionBytes": str(32 * 1024 * 1024)})
-    import claimwise.plans.models as models
+    from pyspark.sql import functions as F
+
     from claimwise.operators import boost as bst
     from claimwise.operators import evaluate as ev
     from claimwise.operators import features as feat
     from claimwise.operators import glm
     from claimwise.operators import profile as prof
     from claimwise.operators import ranking as rk
+    from claimwise.operators import target as tg
     from claimwise.session import materialize
     from claimwise.sources import tables as src
     from claimwise.plans.catalog import ENGINEERED_NUMERIC, KEY_VARS
@@ -67,7 +77,6 @@ def main():
     timed("describe", lambda: prof.describe(fe, ["Density", "LogDensity", "CompositeRiskScore",
                                                   "RiskFactorScore", "ClaimNb"]).collect())
     mf = materialize(glm.model_frame(fe), "bench-model-frame", min_partitions=spark.sparkContext.defaultParallelism)
-    from claimwise.operators import target as tg
     train, test = tg.split(mf)
     cols = feat.model_columns(mf)
     fitted = timed("glm_fit_poisson", lambda: glm.fit_glm(train, "poisson", feature_cols=cols))
@@ -76,12 +85,9 @@ def main():
                                                      bst.BoostParams(objective="poisson", rounds=10)))
     total = round(sum(timings.values()), 3)
     print(json.dumps({"metric": "sum_of_headline_query_seconds", "value": total, "unit": "sec",
-                      "queries": timings, "jobs": jobs, "sf": os.path.basename(sf_dir.rstrip("/")).replace("sf", ""),
+                      "queries": timings, "jobs": jobs, "sf": _sf_value(sf_dir),
                       "cpus": int(cpus), "driver_memory": spark.conf.get("spark.driver.memory", "?")}))
-    del models
-
 
-from pyspark.sql import functions as F  # noqa: E402
 
 if __name__ == "__main__":
     main()
