@@ -40,3 +40,24 @@ def test_entry_smoke(spark):
     rows = df.collect()
     assert {r["RiskSegment"] for r in rows} <= {"Low", "Medium", "High"}
     assert sum(r["policies"] for r in rows) == 1500
+
+
+ROWS_ONLY = sorted(set(queries()) - set(oracle_sql()))
+
+
+@pytest.mark.parametrize("name", ROWS_ONLY)
+def test_rows_only_query_runs(spark, name):
+    df = queries()[name](spark, SF)
+    rows = df.collect()
+    assert len(rows) > 0
+    # no NaN / null in the numeric results of the model queries
+    for r in rows:
+        for v in r:
+            if isinstance(v, float):
+                assert not math.isnan(v), (name, r)
+
+
+def test_every_query_name_carries_a_survey_id():
+    import re
+    for name in queries():
+        assert re.match(r"^[a-m]\d\d_[a-z0-9_]+$", name), name
