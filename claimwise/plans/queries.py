@@ -308,9 +308,17 @@ def q_error_frame(spark, sf):
 @query("h02_top_errors", sql("""
 e AS (SELECT model, IDpol, actual, predicted, predicted - actual AS error, abs(predicted - actual) AS abs_error,
              row_number() OVER (PARTITION BY model ORDER BY abs(predicted - actual) DESC, IDpol) AS rn FROM long_scores)""",
-                             "SELECT model, IDpol, actual, predicted, error, abs_error FROM e WHERE rn <= 10"))
+                             f"""SELECT e.model, e.IDpol, e.actual, e.predicted, e.error, e.abs_error,
+       {", ".join("f." + c for c in _CONTEXT)} FROM e JOIN features f ON e.IDpol = f.IDpol WHERE rn <= 10""",
+                             base="features_scored"))
 def q_top_errors(spark, sf):
-    return ev.top_errors(long_scores(spark, sf), 10, models=MODELS)
+    """H2: ten largest absolute errors per model with policy context."""
+    pol = policies(spark, sf)
+    top = ev.top_errors(src.long_scores(src.scored_from(pol)), 10, models=MODELS)
+    fe = feat.engineer(pol)[0]
+    # broadcast bound: ten rows per model
+    return fe.select("IDpol", *_CONTEXT).join(F.broadcast(top), "IDpol").select(
+        "model", "IDpol", "actual", "predicted", "error", "abs_error", *_CONTEXT)
 
 
 @query("h06_best_model_top_errors", sql(*_BEST_SQL_CTES, f"""
@@ -446,6 +454,30 @@ def q_kde(spark, sf):
                     r9("density").alias("density"))
 
 
+@query("f15_error_kde", sql(
+    "lg AS (" + " UNION ALL ".join(
+        f"SELECT '{m}' AS variable, CAST(actual - predicted AS DOUBLE) AS value FROM long_scores "
+        f"WHERE model = '{m}' AND abs(actual - predicted) < 2" for m in MODELS) + ")",
+    """st AS (SELECT variable, min(value) AS lo, max(value) AS hi, count(value) AS n, stddev_samp(value) AS sd,
+              stddev_samp(value) * pow(CAST(count(value) AS DOUBLE), -0.2) AS h FROM lg GROUP BY variable)""",
+    """bn AS (SELECT lg.variable, CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((value - lo) * 512e0 / (hi - lo)), 511) END AS INT)
+              AS b, count(*) AS c FROM lg JOIN st ON lg.variable = st.variable WHERE value IS NOT NULL GROUP BY 1, 2)""",
+    """pt AS (SELECT bn.variable, bn.c, st.lo + (bn.b + 0.5) * (st.hi - st.lo) / 512e0 AS x, st.lo, st.hi, st.n, st.h
+              FROM bn JOIN st ON bn.variable = st.variable)""",
+    """SELECT variable, CAST(g.i AS INT) AS grid_index, round(lo + (hi - lo) * g.i / 199e0, 6) AS x,
+              round(sum(c * exp(-0.5 * ((lo + (hi - lo) * g.i / 199e0 - x) / h) * ((lo + (hi - lo) * g.i / 199e0 - x) / h)))
+                    / (max(n) * max(h) * sqrt(2 * pi())), 9) AS density
+       FROM pt CROSS JOIN range(200) g(i) GROUP BY variable, g.i, lo, hi"""))
+def q_error_kde(spark, sf):
+    """F15 for the error plot: KDE of actual - predicted within |error| < 2, per model."""
+    long = long_scores(spark, sf)
+    err = long.select(F.col("model").alias("variable"), (F.col("actual") - F.col("predicted")).alias("value")) \
+              .where(F.abs(F.col("value")) < 2)
+    k = eda.kde(err)
+    return k.select("variable", F.col("grid_index").cast("int").alias("grid_index"), r6("x").alias("x"),
+                    r9("density").alias("density"))
+
+
 @query("f22_actual_vs_predicted_density", sql("""
 rg AS (SELECT model, min(predicted) AS lo, max(predicted) AS hi FROM long_scores GROUP BY model)""", """
 SELECT l.model, l.actual, CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((predicted - lo) * 50e0 / (hi - lo)), 49) END AS INT)
