@@ -152,6 +152,22 @@ def q_b00(spark, sf):
     return _feature_dump(features(spark, sf), FEATURE_COLUMNS)
 
 
+_NB_DUMP = ["IDpol", "VehPower", "VehAge", "VehAge_DrivAge_Ratio", "PowerToExperience", "BM_Power",
+            "CompositeRiskScore", "RiskSegment", "RiskFactorScore", "VehAgePower", "NewVehicle", "MatureVehicle"]
+
+
+@query("b00_feature_table_notebook", O.with_ctes(src.POLICIES_SQL, O.features_sql("mean", "notebook")) + "SELECT "
+       + ", ".join(f"round({c}, 9) AS {c}" if c in ("VehPower", "VehAge", "VehAge_DrivAge_Ratio", "PowerToExperience",
+                                                    "BM_Power", "RiskFactorScore", "VehAgePower") else c
+                   for c in _NB_DUMP) + " FROM features")
+def q_b00_notebook(spark, sf):
+    """Notebook path: mean fill (D4) and RiskFactorScore over DrivAge + 1."""
+    f = features(spark, sf, impute="mean", variant="notebook")
+    nine = {"VehPower", "VehAge", "VehAge_DrivAge_Ratio", "PowerToExperience", "BM_Power", "RiskFactorScore",
+            "VehAgePower"}
+    return f.select(*[F.round(c, 9).alias(c) if c in nine else F.col(c) for c in _NB_DUMP])
+
+
 @query("b38_risk_factor_notebook", O.FEATURES + """
 SELECT IDpol, round(VehPower * BonusMalus / (DrivAge + 1), 9) AS RiskFactorScore FROM features""")
 def q_b38_notebook(spark, sf):

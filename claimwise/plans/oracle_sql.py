@@ -95,6 +95,18 @@ features AS (
   FROM f3)"""
 
 
+def features_sql(impute: str = "median", variant: str = "module") -> str:
+    """FEATURES_SQL for the notebook variants: mean fill and/or DrivAge + 1."""
+    out = FEATURES_SQL
+    if impute == "mean":
+        out = out.replace("(SELECT median(VehPower) FROM base)", "(SELECT avg(VehPower) FROM base)") \
+                 .replace("(SELECT median(VehAge) FROM base)", "(SELECT avg(VehAge) FROM base)")
+    if variant == "notebook":
+        out = out.replace("VehPower * BonusMalus / greatest(DrivAge, 1) AS RiskFactorScore",
+                          "VehPower * BonusMalus / (DrivAge + 1) AS RiskFactorScore")
+    return out
+
+
 def with_ctes(*parts: str) -> str:
     """``WITH`` clause from CTE fragments (each 'name AS (...)', comma-joined)."""
     return "WITH " + ",\n".join(p.strip().rstrip(",") for p in parts) + "\n"
