@@ -83,14 +83,16 @@ def apply_codes(df: DataFrame, codes: DataFrame, cols=CATEGORICAL, suffix: str =
                                                          F.col("code").alias(f"_c_{c}"))
         m = F.broadcast(m) if small else m
         out = out.join(m, out[c].cast("string").eqNullSafe(m[f"_v_{c}"]), "left")
+    # a value unseen when the codes were fitted (new data, a stream) gets -1
+    code = lambda c: F.coalesce(F.col(f"_c_{c}"), F.lit(-1))
     sel = []
     for name in df.columns:
         if name in cols and not suffix:
-            sel.append(F.col(f"_c_{name}").alias(name))
+            sel.append(code(name).alias(name))
         else:
             sel.append(F.col(name))
     if suffix:
-        sel += [F.col(f"_c_{c}").alias(f"{c}{suffix}") for c in cols]
+        sel += [code(c).alias(f"{c}{suffix}") for c in cols]
     return out.select(*sel)
 
 
@@ -235,66 +237,88 @@ def bm_segment(bm: Column) -> Column:
              .when(bm <= e[1], lab[0]).when(bm <= e[2], lab[1]).when(bm <= e[3], lab[2]).otherwise(lab[3]))
 
 
+def _g(x: str) -> str:
+    """g(x) = max(x, 1), null-propagating like np.maximum (Spark's greatest skips nulls)."""
+    return f"(CASE WHEN {x} IS NULL THEN NULL ELSE greatest({x}, 1) END)"
+
+
+def _flag(cond: str) -> str:
+    """bool -> 0/1; a null comparison counts as 0 (pandas compares NaN as False)."""
+    return f"coalesce(CAST(({cond}) AS INT), 0)"
+
+
+def _dlit(x) -> str:
+    return "CAST(NULL AS DOUBLE)" if x is None else f"CAST('{float(x)!r}' AS DOUBLE)"
+
+
+def _bm_segment_sql(bm: str = "BonusMalus") -> str:
+    e, lab = BM_SEGMENT_EDGES, BM_SEGMENT_LABELS
+    return (f"CASE WHEN {bm} IS NULL OR {bm} <= {e[0]} THEN CAST(NULL AS STRING) "
+            f"WHEN {bm} <= {e[1]} THEN '{lab[0]}' WHEN {bm} <= {e[2]} THEN '{lab[1]}' "
+            f"WHEN {bm} <= {e[3]} THEN '{lab[2]}' ELSE '{lab[3]}' END")
+
+
 def derive(df: DataFrame, th: DensityThresholds, variant: str = "module") -> DataFrame:
-    """B4-B41 as one projection (three dependent layers, fused by Catalyst)."""
-    c = F.col
-    veh_age, drv_age, power, bm = c("VehAge"), c("DrivAge"), c("VehPower"), c("BonusMalus")
-    exp_ = F.greatest(drv_age - 18, F.lit(0))
-    out = df.withColumns({
-        "LogExposure": F.log1p(c("Exposure")),
-        "VehAge_DrivAge_Ratio": veh_age / at_least_one(drv_age),
-        "NewVehicle": flag(veh_age <= 1),
-        "YoungVehicle": flag((veh_age > 1) & (veh_age <= 3)),
-        "MatureVehicle": flag((veh_age > 3) & (veh_age <= 10)),
-        "OldVehicle": flag(veh_age > 10),
-        "VeryOldVehicle": flag(veh_age > 15),
-        "TeenDriver": flag((drv_age >= 18) & (drv_age < 21)),
-        "YoungDriver": flag((drv_age >= 21) & (drv_age < 25)),
-        "AdultDriver": flag((drv_age >= 25) & (drv_age < 65)),
-        "SeniorDriver": flag(drv_age >= 65),
-        "DrivExperience": exp_,
-    })
-    de = c("DrivExperience")
-    out = out.withColumns({
-        "VeryNoviceDriver": flag(de <= 1),
-        "NoviceDriver": flag((de > 1) & (de <= 3)),
-        "ModerateExperienceDriver": flag((de > 3) & (de <= 10)),
-        "ExperiencedDriver": flag(de > 10),
-        "PowerToExperience": power / at_least_one(de),
-        "LowPower": flag(power <= 5),
-        "MediumPower": flag((power > 5) & (power <= 8)),
-        "HighPower": flag((power > 8) & (power <= 10)),
-        "VeryHighPower": flag(power > 10),
-        "YoungDriverHighPower": flag((drv_age < 25) & (power > 8)),
-        "NewDriverNewCar": flag((de <= 3) & (veh_age <= 3)),
-        "InexperiencePowerRatio": power / at_least_one(de),
-        "BM_Exp": F.exp((bm - 50) / 50),
-        "BM_Power": bm * power,
-        "BM_Age": bm / at_least_one(drv_age),
-        "HighRiskBM": flag(bm > 100),
-        "ModerateRiskBM": flag((bm > 50) & (bm <= 100)),
-        "LowRiskBM": flag(bm == 50),
-        "BM_Segment": bm_segment(bm),
-        "HighDensityBM": flag((c("Density") > F.lit(th.mean)) & (bm > 75)),
-    })
+    """B4-B41 as SQL expressions in four ``selectExpr`` layers (each layer uses
+    the previous one's columns); Catalyst collapses them into one projection.
+    One call per layer keeps driver-side plan building cheap."""
     w = COMPOSITE_WEIGHTS
-    score = (c("VeryHighPower") * w["VeryHighPower"] + c("YoungDriverHighPower") * w["YoungDriverHighPower"]
-             + c("HighRiskBM") * w["HighRiskBM"] + c("TeenDriver") * w["TeenDriver"]
-             + c("VeryOldVehicle") * w["VeryOldVehicle"] + c("VeryShortExposure") * w["VeryShortExposure"]
-             + flag(c("Density") > F.lit(th.q90)) * w["DenseArea"])
-    denom = at_least_one(drv_age) if variant == "module" else (drv_age + 1)
-    out = out.withColumns({
-        "CompositeRiskScore": score.cast("int"),
-        "RiskFactorScore": power * bm / denom,
-        "Area_Region": c("Area") * c("Region"),
-        "Brand_Gas": c("VehBrand") * c("VehGas"),
-        "VehAgePower": veh_age * power,
-    })
-    out = out.withColumn("RiskSegment", F.when(c("CompositeRiskScore") >= 4, "High")
-                         .when(c("CompositeRiskScore") == 0, "Low").otherwise("Medium"))
-    order = [x for x in out.columns if x not in ("RiskSegment", "RiskFactorScore", "Area_Region",
-                                                  "Brand_Gas", "VehAgePower")]
-    return out.select(*order, "RiskSegment", "RiskFactorScore", "Area_Region", "Brand_Gas", "VehAgePower")
+    layer1 = {
+        "LogExposure": "log1p(Exposure)",
+        "VehAge_DrivAge_Ratio": f"VehAge / {_g('DrivAge')}",
+        "NewVehicle": _flag("VehAge <= 1"),
+        "YoungVehicle": _flag("VehAge > 1 AND VehAge <= 3"),
+        "MatureVehicle": _flag("VehAge > 3 AND VehAge <= 10"),
+        "OldVehicle": _flag("VehAge > 10"),
+        "VeryOldVehicle": _flag("VehAge > 15"),
+        "TeenDriver": _flag("DrivAge >= 18 AND DrivAge < 21"),
+        "YoungDriver": _flag("DrivAge >= 21 AND DrivAge < 25"),
+        "AdultDriver": _flag("DrivAge >= 25 AND DrivAge < 65"),
+        "SeniorDriver": _flag("DrivAge >= 65"),
+        "DrivExperience": "greatest(DrivAge - 18, 0)",
+    }
+    layer2 = {
+        "VeryNoviceDriver": _flag("DrivExperience <= 1"),
+        "NoviceDriver": _flag("DrivExperience > 1 AND DrivExperience <= 3"),
+        "ModerateExperienceDriver": _flag("DrivExperience > 3 AND DrivExperience <= 10"),
+        "ExperiencedDriver": _flag("DrivExperience > 10"),
+        "PowerToExperience": f"VehPower / {_g('DrivExperience')}",
+        "LowPower": _flag("VehPower <= 5"),
+        "MediumPower": _flag("VehPower > 5 AND VehPower <= 8"),
+        "HighPower": _flag("VehPower > 8 AND VehPower <= 10"),
+        "VeryHighPower": _flag("VehPower > 10"),
+        "YoungDriverHighPower": _flag("DrivAge < 25 AND VehPower > 8"),
+        "NewDriverNewCar": _flag("DrivExperience <= 3 AND VehAge <= 3"),
+        "InexperiencePowerRatio": f"VehPower / {_g('DrivExperience')}",
+        "BM_Exp": "exp((BonusMalus - 50) / 50)",
+        "BM_Power": "BonusMalus * VehPower",
+        "BM_Age": f"BonusMalus / {_g('DrivAge')}",
+        "HighRiskBM": _flag("BonusMalus > 100"),
+        "ModerateRiskBM": _flag("BonusMalus > 50 AND BonusMalus <= 100"),
+        "LowRiskBM": _flag("BonusMalus = 50"),
+        "BM_Segment": _bm_segment_sql(),
+        "HighDensityBM": _flag(f"Density > {_dlit(th.mean)} AND BonusMalus > 75"),
+    }
+    score = (f"VeryHighPower * {w['VeryHighPower']} + YoungDriverHighPower * {w['YoungDriverHighPower']}"
+             f" + HighRiskBM * {w['HighRiskBM']} + TeenDriver * {w['TeenDriver']}"
+             f" + VeryOldVehicle * {w['VeryOldVehicle']} + VeryShortExposure * {w['VeryShortExposure']}"
+             f" + {_flag(f'Density > {_dlit(th.q90)}')} * {w['DenseArea']}")
+    denom = _g("DrivAge") if variant == "module" else "(DrivAge + 1)"
+    layer3 = {
+        "CompositeRiskScore": f"CAST({score} AS INT)",
+        "RiskSegment": None,
+        "RiskFactorScore": f"VehPower * BonusMalus / {denom}",
+        "Area_Region": "Area * Region",
+        "Brand_Gas": "VehBrand * VehGas",
+        "VehAgePower": "VehAge * VehPower",
+    }
+    out = df.selectExpr("*", *[f"{v} AS {k}" for k, v in layer1.items()])
+    out = out.selectExpr("*", *[f"{v} AS {k}" for k, v in layer2.items()])
+    out = out.selectExpr("*", *[f"{v} AS {k}" for k, v in layer3.items() if v is not None])
+    segment = "CASE WHEN CompositeRiskScore >= 4 THEN 'High' WHEN CompositeRiskScore = 0 THEN 'Low' ELSE 'Medium' END"
+    tail = [k for k in layer3 if k not in ("CompositeRiskScore", "RiskSegment")]
+    head = [c for c in out.columns if c not in tail]
+    return out.selectExpr(*[f"`{c}`" for c in head], f"{segment} AS RiskSegment", *[f"`{c}`" for c in tail])
 
 
 @dataclass

@@ -114,3 +114,11 @@ def test_segment_codes(spark):
                                "BM_Segment string, RiskSegment string")
     got = [(r["BM_Segment"], r["RiskSegment"]) for r in feat.segment_codes(df).collect()]
     assert got == [(0, 0), (3, 2), (-1, 1), (-1, -1)]
+
+
+def test_unseen_category_gets_minus_one(spark):
+    fit = _policies(spark, [{"Area": "A"}, {"Area": "B"}])
+    codes = feat.fit_codes(fit, ["Area"])
+    new = _policies(spark, [{"Area": "B"}, {"Area": "Z"}])
+    got = [r["Area"] for r in feat.apply_codes(new, codes, ["Area"]).orderBy("IDpol").collect()]
+    assert got == [1, -1]
