@@ -83,21 +83,19 @@ def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
           .join(F.broadcast(n), c.c_nationkey == n.n_nationkey)
           .join(lead, o.o_orderkey == lead.l_orderkey, "left")
           .join(p, lead.lead_partkey == p.p_partkey, "left"))
-    ck = F.col("c_custkey")
-    m30 = ck % 30
-    return j.select(
-        F.col("o_orderkey").alias("IDpol"),
-        F.coalesce(F.col("claims"), F.lit(0)).cast("bigint").alias("ClaimNb"),
-        (F.col("o_totalprice") / F.lit(500000.0)).alias("Exposure"),
-        F.col("o_orderpriority").alias("Area"),
-        (F.lit(4) + F.col("p_size") % 12).cast("int").alias("VehPower"),
-        (F.col("p_size") % 21).cast("int").alias("VehAge"),
-        (F.lit(18) + ck % 73).cast("int").alias("DrivAge"),
-        F.greatest(F.lit(50), F.floor(F.col("c_acctbal") / 50) - 50).cast("int").alias("BonusMalus"),
-        F.coalesce(F.col("p_brand"), F.lit("Brand#0")).alias("VehBrand"),
-        F.when(ck % 2 == 0, F.lit("Diesel")).otherwise(F.lit("Regular")).alias("VehGas"),
-        (F.lit(1) + m30 * m30 * m30).cast("int").alias("Density"),
-        F.col("n_name").alias("Region"),
+    return j.selectExpr(
+        "o_orderkey AS IDpol",
+        "CAST(coalesce(claims, 0) AS BIGINT) AS ClaimNb",
+        "o_totalprice / 500000.0D AS Exposure",
+        "o_orderpriority AS Area",
+        "CAST(4 + p_size % 12 AS INT) AS VehPower",
+        "CAST(p_size % 21 AS INT) AS VehAge",
+        "CAST(18 + c_custkey % 73 AS INT) AS DrivAge",
+        "CAST(greatest(50, floor(c_acctbal / 50) - 50) AS INT) AS BonusMalus",
+        "coalesce(p_brand, 'Brand#0') AS VehBrand",
+        "CASE WHEN c_custkey % 2 = 0 THEN 'Diesel' ELSE 'Regular' END AS VehGas",
+        "CAST(1 + (c_custkey % 30) * (c_custkey % 30) * (c_custkey % 30) AS INT) AS Density",
+        "n_name AS Region",
     )
 
 
