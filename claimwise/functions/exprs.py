@@ -17,12 +17,6 @@ def flag(cond: Column) -> Column:
     return F.coalesce(cond.cast("int"), F.lit(0))
 
 
-def at_least_one(c) -> Column:
-    """g(x) = max(x, 1) with NaN-propagating semantics of np.maximum for nulls."""
-    c = col(c)
-    return F.when(c.isNull(), None).otherwise(F.greatest(c, F.lit(1)))
-
-
 def finite_or_null(c) -> Column:
     """NaN and +/-Inf become NULL (pandas has one missing value)."""
     c = col(c)

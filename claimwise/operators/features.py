@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exprs import at_least_one, finite_or_null, flag
+from ..functions.exprs import finite_or_null, flag
 from ..session import materialize, parallelism, run_parallel
 from ..sources.tables import CATEGORICAL
 from .ordering import exact_quantiles, global_row_number
@@ -231,12 +231,6 @@ def fit_density_thresholds(df: DataFrame) -> DensityThresholds:
     return DensityThresholds(mean, q["quantile"] if q else None)
 
 
-def bm_segment(bm: Column) -> Column:
-    e, lab = BM_SEGMENT_EDGES, BM_SEGMENT_LABELS
-    return (F.when(bm.isNull() | (bm <= e[0]), F.lit(None).cast("string"))
-             .when(bm <= e[1], lab[0]).when(bm <= e[2], lab[1]).when(bm <= e[3], lab[2]).otherwise(lab[3]))
-
-
 def _g(x: str) -> str:
     """g(x) = max(x, 1), null-propagating like np.maximum (Spark's greatest skips nulls)."""
     return f"(CASE WHEN {x} IS NULL THEN NULL ELSE greatest({x}, 1) END)"
