@@ -95,10 +95,18 @@ def active_session() -> SparkSession:
     return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
 
 
-def run_parallel(tasks: dict, max_workers: int = 3) -> dict:
+def run_parallel(tasks: dict, max_workers: int | None = None) -> dict:
     """Run independent Spark jobs (e.g. three model fits) from a small thread
-    pool, as ``CrossValidator(parallelism=...)`` does; returns name -> result."""
+    pool, as ``CrossValidator(parallelism=...)`` does; returns name -> result.
+
+    The default width comes from the session setting ``claimwise.fit.parallelism``
+    (3): concurrent fits each cache their own training instances, so a
+    memory-tight cluster sets it to 1."""
     from concurrent.futures import ThreadPoolExecutor
+    if max_workers is None:
+        max_workers = int(active_session().conf.get("claimwise.fit.parallelism", "3"))
+    if max_workers <= 1:
+        return {name: fn() for name, fn in tasks.items()}
     with ThreadPoolExecutor(max_workers=max_workers) as pool:
         futures = {name: pool.submit(fn) for name, fn in tasks.items()}
         return {name: f.result() for name, f in futures.items()}
