@@ -111,3 +111,11 @@ def test_csv_source_with_fixed_schema(spark, tmp_path):
     assert back.count() == 1500
     assert back.agg(F.sum("ClaimNb")).first()[0] == pol.agg(F.sum("ClaimNb")).first()[0]
     assert src.check_schema(pol.drop("Region")) == ["missing Region"]
+
+
+def test_split_disjoint_and_complete(spark):
+    pol = src.policies(spark, SF)
+    train, test = tg.split(pol)
+    a = {r["IDpol"] for r in train.select("IDpol").collect()}
+    b = {r["IDpol"] for r in test.select("IDpol").collect()}
+    assert not (a & b) and len(a | b) == pol.count()

@@ -153,3 +153,12 @@ def test_describe_paths_agree(spark, long_pd):
         for k in ("p25", "p50", "p75"):
             assert math.isclose(a[v][k], b[v][k], rel_tol=1e-12)
         assert math.isclose(a[v]["p50"], float(np.percentile(long_pd[v], 50)), rel_tol=1e-12)
+
+
+def test_lift_bins_balanced_and_ap_bounded(spark, long_pd):
+    sdf = spark.createDataFrame(long_pd)
+    lift = rk.lift_table(sdf).toPandas()
+    for _, g in lift.groupby("model"):
+        assert g["count"].max() - g["count"].min() <= 1
+    for r in rk.pr_summary(sdf).collect():
+        assert 0.0 <= r["average_precision"] <= 1.0
