@@ -117,10 +117,12 @@ def mean_by(df: DataFrame, col: str, target: str = "ClaimNb") -> DataFrame:
 
 def mean_by_categories(df: DataFrame, cols: Sequence[str], target: str = "ClaimNb") -> DataFrame:
     """F8: mean target per value of several categories, one shuffle:
-    (variable, value, mean_claims) via unpivot before the groupBy."""
+    (variable, value, mean_claims) via unpivot before the groupBy, sorted by
+    mean descending within each variable."""
     long = df.select(F.col(target), *[F.col(c).cast("string").alias(c) for c in cols]) \
              .unpivot([target], list(cols), "variable", "value")
-    return long.groupBy("variable", "value").agg(F.avg(target).alias("mean_claims"))
+    return long.groupBy("variable", "value").agg(F.avg(target).alias("mean_claims")) \
+               .orderBy("variable", F.desc("mean_claims"), "value")
 
 
 def category_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
