@@ -157,6 +157,29 @@ def exact_quantiles(df: DataFrame, value: str, probs,
     targets = per \
         .withColumn("_pos", (F.col("_N") - 1) * F.col("prob")) \
         .withColumn("_lo", F.floor("_pos")).withColumn("_hi", F.ceil("_pos"))
+    if not g:
+        # ungrouped: the wanted order statistics are a handful of literal
+        # positions, so a filter finds them (no join at all)
+        want = targets.collect()                    # one row per probability
+        ks = sorted({int(r[c]) for r in want for c in ("_lo", "_hi")})
+        hit = F.lit(False)
+        for k in ks:
+            hit = hit | ((F.col("cum__n") - F.col("_n") <= k) & (F.lit(k) < F.col("cum__n")))
+        found = cum.where(hit).select("_v", "_n", "cum__n").collect()   # at most len(ks) rows
+
+        def value_at(k):
+            for r in found:
+                if r["cum__n"] - r["_n"] <= k < r["cum__n"]:
+                    return r["_v"]
+            return None
+        out = []
+        for r in want:
+            lo, hi, pos = int(r["_lo"]), int(r["_hi"]), r["_pos"]
+            vlo, vhi = value_at(lo), value_at(hi)
+            q = vlo if (hi == lo or vhi == vlo) else (hi - pos) * vlo + (pos - lo) * vhi
+            out.append((float(r["prob"]), q))
+        return df.sparkSession.createDataFrame(out, "prob double, quantile double")
+
     # the k-th (0-based) value is the row whose count interval [cum - n, cum) holds k
     def at(kcol: str, name: str) -> DataFrame:
         t = targets.alias("t")
