@@ -203,14 +203,14 @@ def _fit_fills_and_density(staged: DataFrame, prof: dict, impute: str,
 
 
 def clean(df: DataFrame, impute: str = "median", codes: DataFrame | None = None,
-          fills: dict | None = None) -> tuple[DataFrame, CleanState]:
+          fills: dict | None = None, vocab_small: bool | None = None) -> tuple[DataFrame, CleanState]:
     """load_and_preprocess: D1 codes -> B1-B3 -> D2 -> D3/D4 (fitted unless given)."""
     if codes is None:
         prof = _profile_input(df)
         codes = fit_codes(df, vocab_estimate=prof["vocab"])
         small = prof["vocab"] <= MAX_SMALL_VOCAB
     else:
-        small = None
+        small = vocab_small
     out = blank_non_finite(base_columns(apply_codes(df, codes, small=small)))
     if fills is None:
         fills = fit_fill_values(out, impute)
@@ -332,7 +332,7 @@ def engineer(pol: DataFrame, impute: str = "median", variant: str = "module",
     density thresholds. With ``state`` the fitted values are reused (scoring
     new data, streams) and no job runs."""
     if state is not None:
-        cleaned, _ = clean(pol, impute, state.clean.codes, state.clean.fills)
+        cleaned, _ = clean(pol, impute, state.clean.codes, state.clean.fills, state.clean.vocab_small)
         return derive(cleaned, state.density, state.variant), state
     base = materialize(pol, "policies", min_partitions=parallelism(pol.sparkSession)) if stage else pol
     prof = _profile_input(base)
