@@ -67,6 +67,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or _LOCAL_DIRS[key]
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """Folder for this application's intermediates: one per application under
+    the shared checkpoint folder, so a finished run is removed with one delete
+    (or by the folder's retention policy)."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/claimwise-{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame, label: str = "stage", min_partitions: int | None = None) -> DataFrame:
     """Write ``df`` once to the checkpoint folder as parquet and read it back.
 
@@ -78,8 +85,7 @@ def materialize(df: DataFrame, label: str = "stage", min_partitions: int | None
     file count already exceeds it and nothing extra happens.
     """
     spark = df.sparkSession
-    base = checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/claimwise-{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     back = spark.read.parquet(path)
     if min_partitions and back.rdd.getNumPartitions() < min_partitions:
