@@ -110,6 +110,10 @@ def exact_quantiles(df: DataFrame, value: str, probs,
 
     ``probs`` is a list of constants, or a DataFrame ``(group..., prob)`` of
     data-dependent probabilities (one per group, e.g. 1 - claim rate).
+
+    ``group_cols`` name caller-bounded groups (models, variables, claim
+    classes): the distributed path broadcasts one lookup row per group and
+    probability, while the rows of any group - however hot - stay spread.
     """
     g = list(group_cols)
     v = F.col(value)
