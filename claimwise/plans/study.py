@@ -34,6 +34,8 @@ MODEL_SPECS = {
     "poisson": dict(family="poisson", exposure_col="Exposure"),
     "tweedie": dict(family="tweedie", exposure_col="Exposure"),
 }
+# The reference's standard model uses learning rate 0.05, depth 5, lambda 0.1 and 200 rounds;
+# the Poisson and Tweedie models use the BoostParams defaults with 300 rounds.
 BOOST_SPECS = {
     "standard": (dict(objective="poisson", learning_rate=0.05, max_depth=5, reg_lambda=0.1, rounds=200), None),
     "poisson": (dict(objective="poisson", rounds=300), "Exposure"),
