@@ -48,29 +48,37 @@ def _write(df: DataFrame, out_dir: str, name: str) -> None:
     df.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/{name}")
 
 
+def _write_all(out_dir: str, tables: dict) -> None:
+    """Build and write independent tables from a small thread pool."""
+    run_parallel({name: (lambda name=name, fn=fn: _write(fn(), out_dir, name)) for name, fn in tables.items()})
+
+
 def run(spark: SparkSession, policies: DataFrame, out_dir: str, learner: str = "glm",
         boost_rounds: int | None = None, impute: str = "median") -> dict:
     """Runs the study; returns the per-model metric rows (small) for display."""
     fe, _ = feat.engineer(policies, impute=impute)
     fe = materialize(fe, "study-features", min_partitions=parallelism(spark))
-    _write(fe, out_dir, "features")
-    # profiles and distribution tables
-    _write(prof.value_counts(fe, "ClaimNb"), out_dir, "claim_counts")
-    _write(prof.claim_shares(fe), out_dir, "claim_shares")
-    _write(prof.segment_summary(fe, "RiskSegment"), out_dir, "risk_segments")
-    _write(prof.mean_by(fe, "BM_Segment"), out_dir, "claims_by_bm_segment")
-    _write(prof.category_counts(fe, src.CATEGORICAL), out_dir, "category_counts")
-    _write(prof.correlation_pairs(fe, KEY_VARS + ENGINEERED_NUMERIC), out_dir, "correlation")
-    _write(prof.class_means(fe, src.CONTINUOUS), out_dir, "claim_class_means")
     long_vars = eda.to_long(fe, src.CONTINUOUS)
-    _write(eda.histogram(long_vars, 30), out_dir, "histograms")
-    _write(eda.kde(long_vars), out_dir, "kde")
-    _write(eda.box_stats(eda.to_long(fe.where("ClaimNb < 5"), src.CONTINUOUS, ids=["ClaimNb"]),
-                         ["variable", "ClaimNb"]), out_dir, "box_by_claims")
+    # profiles and distribution tables (F1-F23): independent jobs, submitted concurrently
+    _write_all(out_dir, {
+        "features": lambda: fe,
+        "claim_counts": lambda: prof.value_counts(fe, "ClaimNb"),
+        "claim_shares": lambda: prof.claim_shares(fe),
+        "risk_segments": lambda: prof.segment_summary(fe, "RiskSegment"),
+        "claims_by_bm_segment": lambda: prof.mean_by(fe, "BM_Segment"),
+        "category_counts": lambda: prof.category_counts(fe, src.CATEGORICAL),
+        "correlation": lambda: prof.correlation_pairs(fe, KEY_VARS + ENGINEERED_NUMERIC),
+        "claim_class_means": lambda: prof.class_means(fe, src.CONTINUOUS),
+        "histograms": lambda: eda.histogram(long_vars, 30),
+        "kde": lambda: eda.kde(long_vars),
+        "box_by_claims": lambda: eda.box_stats(eda.to_long(fe.where("ClaimNb < 5"), src.CONTINUOUS, ids=["ClaimNb"]),
+                                               ["variable", "ClaimNb"]),
+    })
     # split and fit (J1, K, L)
     mf = materialize(glm.model_frame(fe), "study-model-frame", min_partitions=parallelism(spark))
     train, test = tg.split(mf)
     cols = feat.model_columns(mf)
+
     def fit_one(name):
         if learner == "glm":
             model = glm.fit_glm(train, name, feature_cols=cols, **MODEL_SPECS[name])
@@ -90,20 +98,22 @@ def run(spark: SparkSession, policies: DataFrame, out_dir: str, learner: str = "
         imp = model.importance()
         importance = imp if importance is None else importance.unionByName(imp)
     scores = materialize(scores.select("model", "IDpol", "actual", "predicted"), "study-scores")
-    _write(scores, out_dir, "scores")
-    # evaluation (M), ranking (G), diagnostics (F19-F22), errors (E, H)
     metrics = materialize(ev.metric_rows(scores), "study-metrics")
-    _write(metrics, out_dir, "metrics")
-    _write(ev.class_metrics(scores), out_dir, "class_metrics")
-    _write(ev.notebook_metrics(scores), out_dir, "notebook_metrics")
-    _write(ev.key_comparison(metrics, list(MODEL_SPECS)), out_dir, "comparison")
-    _write(rk.lift_table(scores), out_dir, "lift")
-    _write(rk.pr_curve(scores), out_dir, "pr_curve")
-    _write(rk.pr_summary(scores), out_dir, "pr_summary")
     err = scores.select(F.col("model").alias("variable"), (F.col("actual") - F.col("predicted")).alias("value"))
-    _write(eda.histogram(err.where(F.abs("value") < 2), 50), out_dir, "error_histograms")
-    _write(eda.scatter_density(scores), out_dir, "actual_vs_predicted")
-    _write(glm.ranked_importance(importance), out_dir, "importance")
+    # evaluation (M), ranking (G), diagnostics (F19-F22), importance (H1): concurrent writes
+    _write_all(out_dir, {
+        "scores": lambda: scores,
+        "metrics": lambda: metrics,
+        "class_metrics": lambda: ev.class_metrics(scores),
+        "notebook_metrics": lambda: ev.notebook_metrics(scores),
+        "comparison": lambda: ev.key_comparison(metrics, list(MODEL_SPECS)),
+        "lift": lambda: rk.lift_table(scores),
+        "pr_curve": lambda: rk.pr_curve(scores),
+        "pr_summary": lambda: rk.pr_summary(scores),
+        "error_histograms": lambda: eda.histogram(err.where(F.abs("value") < 2), 50),
+        "actual_vs_predicted": lambda: eda.scatter_density(scores),
+        "importance": lambda: glm.ranked_importance(importance),
+    })
     top = ev.top_errors(scores, 10, models=list(MODEL_SPECS))
     # broadcast bound: 10 rows per model
     top = F.broadcast(top)
