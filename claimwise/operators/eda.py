@@ -72,6 +72,8 @@ def kde(long: DataFrame, grid: int = 200, fine_bins: int = 512, group_cols: Sequ
     z = (gx - F.col("_x")) / F.col("_h")
     contrib = F.col("_c") * F.exp(-0.5 * z * z)
     norm = F.col("_n") * F.col("_h") * F.lit(math.sqrt(2 * math.pi))
+    # a constant variable has no spread (h = 0) and gets no density rows
+    pts = pts.where(F.col("_h") > 0)
     return pts.groupBy(*g, "grid_index").agg(F.first(gx).alias("x"), (F.sum(contrib) / F.first(norm)).alias("density"))
 
 

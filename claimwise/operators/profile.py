@@ -16,6 +16,11 @@ from pyspark.sql import types as T
 from .ordering import exact_quantiles
 
 
+def _ratio(a, b):
+    """a / b, null when b is zero (ANSI mode raises on division by zero)."""
+    return F.when(b != 0, a / b)
+
+
 def shape(df: DataFrame) -> DataFrame:
     """A2: (n_rows, n_columns)."""
     return df.agg(F.count(F.lit(1)).cast("bigint").alias("n_rows")) \
@@ -105,7 +110,7 @@ def segment_summary(df: DataFrame, col: str, target: str = "ClaimNb", exposure:
                             F.sum(target).cast("bigint").alias("claims"),
                             F.sum(exposure).alias("exposure"))
     tot = g.agg(F.sum("policies")).scalar()          # scalar subquery, evaluated once
-    return g.select(col, "policies", "claims", "exposure", (F.col("claims") / F.col("exposure")).alias("frequency"),
+    return g.select(col, "policies", "claims", "exposure", _ratio(F.col("claims"), F.col("exposure")).alias("frequency"),
                     (F.col("policies") * 100.0 / tot).alias("share_pct"))
 
 
@@ -176,7 +181,7 @@ def class_means(df: DataFrame, cols: Sequence[str], target: str = "ClaimNb") ->
     base = long.where(F.col("claim_class") == "none").select("variable", F.col("mean").alias("_base"))
     # broadcast bound: one row per variable
     return long.join(F.broadcast(base), "variable", "left").select(
-        "claim_class", "variable", "mean", (F.col("mean") / F.col("_base")).alias("ratio_to_none"))
+        "claim_class", "variable", "mean", _ratio(F.col("mean"), F.col("_base")).alias("ratio_to_none"))
 
 
 def imbalance(df: DataFrame, target: str = "ClaimNb") -> DataFrame:
@@ -196,9 +201,9 @@ def relativities(df: DataFrame, segments: dict, target: str = "ClaimNb", exposur
         inside = F.coalesce(cond, F.lit(False))
         aggs.append(F.struct(
             F.count(F.when(inside, 1)).cast("bigint").alias("policies"),
-            (F.sum(F.when(inside, F.col(target)).otherwise(0))
-             / F.sum(F.when(inside, F.col(exposure)).otherwise(0.0))).alias("freq_in"),
-            (F.sum(F.when(~inside, F.col(target)).otherwise(0))
-             / F.sum(F.when(~inside, F.col(exposure)).otherwise(0.0))).alias("freq_out")).alias(name))
+            _ratio(F.sum(F.when(inside, F.col(target)).otherwise(0)),
+                   F.sum(F.when(inside, F.col(exposure)).otherwise(0.0))).alias("freq_in"),
+            _ratio(F.sum(F.when(~inside, F.col(target)).otherwise(0)),
+                   F.sum(F.when(~inside, F.col(exposure)).otherwise(0.0))).alias("freq_out")).alias(name))
     rows = df.agg(*aggs).unpivot([], list(segments), "segment", "s").select("segment", "s.*")
-    return rows.withColumn("relativity", F.col("freq_in") / F.col("freq_out"))
+    return rows.withColumn("relativity", _ratio(F.col("freq_in"), F.col("freq_out")))

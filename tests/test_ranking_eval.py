@@ -162,3 +162,16 @@ def test_lift_bins_balanced_and_ap_bounded(spark, long_pd):
         assert g["count"].max() - g["count"].min() <= 1
     for r in rk.pr_summary(sdf).collect():
         assert 0.0 <= r["average_precision"] <= 1.0
+
+
+def test_zero_denominators_do_not_raise_under_ansi(spark):
+    from claimwise.operators import eda
+    from claimwise.operators import profile as prof
+    df = spark.createDataFrame([(1, 0, 0.0, 0.0, 5.0), (2, 0, 0.0, 0.0, 5.0), (3, 1, 0.0, 1.0, 5.0)],
+                               "IDpol long, ClaimNb long, Exposure double, x double, c double")
+    r = prof.relativities(df, {"empty": F.col("x") > 10}).first()
+    assert r["freq_in"] is None and r["relativity"] is None
+    assert prof.segment_summary(df, "ClaimNb").where("ClaimNb = 0").first()["frequency"] is None
+    m = {(x["claim_class"], x["variable"]): x["ratio_to_none"] for x in prof.class_means(df, ["x"]).collect()}
+    assert m[("one", "x")] is None
+    assert eda.kde(eda.to_long(df, ["c"])).count() == 0
