@@ -352,14 +352,17 @@ def engineer(pol: DataFrame, impute: str = "median", variant: str = "module",
 
 
 # ---------------------------------------------------------------- D5 / L7
-def segment_codes(df: DataFrame) -> DataFrame:
-    """BM_Segment in bin order 0..3, RiskSegment lexical; unknown -> -1."""
+def segment_codes(df: DataFrame, risk: bool = True) -> DataFrame:
+    """BM_Segment in bin order 0..3, RiskSegment lexical; unknown -> -1.
+    ``risk=False`` leaves RiskSegment as it is (already coded another way)."""
     bm = F.lit(-1)
     for i, lab in reversed(list(enumerate(BM_SEGMENT_LABELS))):
         bm = F.when(F.col("BM_Segment") == lab, i).otherwise(bm)
     rs = F.lit(-1)
     for lab, i in RISK_SEGMENT_CODES.items():
         rs = F.when(F.col("RiskSegment") == lab, i).otherwise(rs)
+    if not risk:
+        return df.withColumn("BM_Segment", bm.cast("int"))
     return df.withColumns({"BM_Segment": bm.cast("int"), "RiskSegment": rs.cast("int")})
 
 

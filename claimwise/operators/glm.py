@@ -18,13 +18,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import active_session
-from .features import model_columns, segment_codes
+from .features import apply_codes, model_columns, segment_codes
 from .target import TargetPrep, to_counts
 
 
-def model_frame(features: DataFrame) -> DataFrame:
-    """Numeric-only feature frame (segment codes applied; key/target kept)."""
-    return segment_codes(features)
+def model_frame(features: DataFrame, first_appearance: DataFrame | None = None) -> DataFrame:
+    """Numeric-only feature frame (segment codes applied; key/target kept).
+
+    Default: BM_Segment in bin order and RiskSegment in lexical order (the
+    modules' category codes). ``first_appearance``: a code table from
+    ``fit_codes(train, ["RiskSegment"], order="first")`` (the notebook's
+    factorize path), fitted once and applied to every split."""
+    if first_appearance is None:
+        return segment_codes(features)
+    # code-table join in place of the column (broadcast after the vocabulary check), no self-join
+    return segment_codes(apply_codes(features, first_appearance, ["RiskSegment"]), risk=False)
 
 
 def assembler(cols: Sequence[str], out: str = "features_raw") -> VectorAssembler:

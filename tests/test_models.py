@@ -119,3 +119,14 @@ def test_split_disjoint_and_complete(spark):
     a = {r["IDpol"] for r in train.select("IDpol").collect()}
     b = {r["IDpol"] for r in test.select("IDpol").collect()}
     assert not (a & b) and len(a | b) == pol.count()
+
+
+def test_model_frame_first_appearance_codes(spark):
+    fe, _ = feat.engineer(src.policies(spark, SF))
+    first = feat.fit_codes(fe, ["RiskSegment"], order="first")
+    mf = glm.model_frame(fe, first_appearance=first)
+    assert mf.columns == glm.model_frame(fe).columns
+    order = [r["RiskSegment"] for r in fe.groupBy("RiskSegment").agg(F.min("IDpol").alias("m")).orderBy("m").collect()]
+    got = {r["IDpol"]: r["RiskSegment"] for r in mf.select("IDpol", "RiskSegment").collect()}
+    seg = {r["IDpol"]: r["RiskSegment"] for r in fe.select("IDpol", "RiskSegment").collect()}
+    assert all(got[k] == order.index(v) for k, v in seg.items())
