@@ -28,6 +28,8 @@ from .common import strings
 ROUNDS = 10
 DAY0, DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal() - datetime.date(1900, 1, 1).toordinal()
 
+HEX = "0123456789abcdef"
+
 #: One scan of a text; a candidate is replaced only if it is valid.
 CANDIDATE = re.compile(r"""
     (?P<email>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})
@@ -65,8 +67,10 @@ class Permutation:
 
 
 def _by_class(permute: Permutation, name: str, text: str) -> str:
-    """Letters to letters and digits to digits, all at once; other characters stay."""
+    """Letters to letters and digits to digits, hexadecimal strings to such, all at once; other characters stay."""
     kinds = (string.digits, string.ascii_lowercase, string.ascii_uppercase)
+    if len(text) > 8 and set(text) <= set(HEX) and set(text) & set(string.digits):
+        kinds = (HEX,)
     sets = [next((k for k in kinds if c in k), None) for c in text]
     n, x = 1, 0
     for c, k in zip(text, sets):
