@@ -204,7 +204,7 @@ def _scan(shared, window: int, shard_words: int):
     return run
 
 
-def _merge(key, table: pa.Table) -> pa.Table:
+def _merge(key, table):
     by: dict[str, dict] = {}
     for m in (m for part in table["matches"].to_pylist() for m in part):
         if m["n_words"] > by.get(m["item_id"], {"n_words": 0})["n_words"]:
