@@ -290,9 +290,10 @@ def labelled_pages(sample: list[str], composed: int = COMPOSED_PAGES) -> list[tu
 
 
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE_PAGES) -> Field:
-    rows = (pages.select(F.md5(F.col(id_col).cast("string")).alias("h"), strings(pages, html_col).alias("html"))
-            .filter("html is not null").orderBy("h", "html").limit(sample).collect())   # bounded by sample
-    return fit(labelled_pages([r["html"] for r in rows]))
+    rows = pages.filter(F.col(html_col).isNotNull()).select(F.md5(F.col(id_col).cast("string")).alias("h"), F.xxhash64(html_col).alias("x"), strings(pages, html_col).alias("html"))
+    chosen = rows.select("h", "x").distinct().orderBy("h", "x").limit(sample)
+    found = rows.join(F.broadcast(chosen), ["h", "x"], "left_semi").distinct().orderBy("h", "x").collect()   # bounded by sample
+    return fit(labelled_pages([r["html"] for r in found]))
 
 
 def main_text(page: str | None, field: Field) -> str:
