@@ -10,16 +10,24 @@ similarity >= ``threshold``; components follow the links.
 2. Signatures are cut into bands. A band value that several classes share is a
    bucket. With 48 bands of 6 rows a pair at 0.8 is missed with probability
    (1 - 0.8^6)^48 < 5e-7.
-3. Star rounds: every member of a bucket is compared with the bucket's leader
-   (another one each round) unless both are in one component already. Members of a
-   large group of copies so cost one comparison each, not one per pair.
-4. What the stars leave: pairs of a bucket's members in different components.
-   So each candidate pair is either compared or already connected, and no link is
-   lost.
-5. A comparison reads the signatures batch by batch and drops the pair when the
+3. First star round: every member of a bucket is compared with the bucket's first
+   member. Copies of one text so cost one comparison each, not one per pair.
+   Buckets whose members are in one component by now are closed: further links
+   within it change nothing.
+4. In open buckets, a shingle that one open member alone has is in no intersection. A
+   member whose other shingles are too few for the threshold, against any size of
+   partner, is out; so is a pair in which one side's are too few for the two sizes.
+   A second star round compares with the member that has the smallest share of
+   such shingles of its own, the one nearest to what the copies have in common.
+5. What the stars leave open: members in different components of one bucket. Buckets
+   are cut into blocks of ``BLOCK`` members and each two blocks meet in one task, which
+   compares signatures there, so pairs are not rows; a pair that shares several
+   buckets is looked at in the first. So each candidate pair is either
+   compared, ruled out by counts or already connected, and no link is lost.
+6. A comparison reads the signatures batch by batch and drops the pair when the
    posterior probability of similarity >= threshold (uniform prior, matches so far)
    is below ``miss``; survivors are verified on the full sets, from the texts.
-6. Components by least-label propagation over the verified links.
+7. Components by least-label propagation over the verified links.
 
 Null ids: such rows take part; a component's id is its smallest non-null doc_id,
 null if it has none. Repeated rows are copies of one document and have the same
@@ -43,8 +51,8 @@ from .hashing import U, WordHash, mix
 
 BANDS, ROWS = 48, 6
 BATCH = 32                  # signature values compared between two looks at the posterior
-MISS = 1e-6
-STAR_ROUNDS = 2
+MISS = 1e-4
+BLOCK = 1_024                # members of a bucket that are compared in one task with as many others
 SEED = 20_240_607
 BROADCAST_IDS = 500_000     # ids in a broadcast filter; beyond it a shuffle join
 
@@ -119,43 +127,102 @@ def _fingerprint(shingle_words: int, size: int):
     return run
 
 
+def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
+    """A 64-bit key per signature and band."""
+    bands = sig.shape[1] // rows
+    with np.errstate(over="ignore"):
+        key = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(sig), bands)).copy()
+        for r in range(rows):
+            key = mix(key * U(0x9E3779B97F4A7C15) + sig[:, r:bands * rows:rows].astype(np.uint64) + U(1))
+    return key.view(np.int64)
+
+
+def signatures(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), -1)
+
+
 def _bands(rows: int):
     def run(batches):
         for batch in batches:
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(batch.num_rows, -1)
-            bands = sig.shape[1] // rows if batch.num_rows else 0
-            with np.errstate(over="ignore"):
-                key = np.broadcast_to(np.arange(bands, dtype=np.uint64), (batch.num_rows, bands)).copy()
-                for r in range(rows):
-                    key = mix(key * U(0x9E3779B97F4A7C15) + sig[:, r:bands * rows:rows].astype(np.uint64) + U(1))
-            at = np.arange(batch.num_rows + 1, dtype=np.int32) * bands
-            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.ListArray.from_arrays(pa.array(at), pa.array(key.reshape(-1).view(np.int64)))],
-                                             names=["cls", "keys"])
+            if not batch.num_rows:
+                continue
+            key = band_keys(signatures(batch.column("sig")), rows)
+            at = np.arange(batch.num_rows + 1, dtype=np.int32) * key.shape[1]
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.ListArray.from_arrays(pa.array(at), pa.array(key.reshape(-1)))], names=["cls", "keys"])
     return run
 
 
+def alike(a: np.ndarray, b: np.ndarray, looks: list[tuple[int, int]]) -> np.ndarray:
+    """Indices of the rows of a and b (signatures) that no look at the posterior drops."""
+    alive, matches, done = np.arange(len(a)), np.zeros(len(a), np.int64), 0
+    for n, least in looks:
+        matches = matches + (a[alive, done:n] == b[alive, done:n]).sum(axis=1)
+        keep = matches >= least
+        alive, matches, done = alive[keep], matches[keep], n
+    return alive
+
+
 def _prune(looks: list[tuple[int, int]]):
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
-            alive, matches, done = np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64), 0
-            for n, least in looks:
-                matches = matches + (a[alive, done:n] == b[alive, done:n]).sum(axis=1)
-                keep = matches >= least
-                alive, matches, done = alive[keep], matches[keep], n
-            yield batch.select(["a", "b"]).take(pa.array(alive))
+            if batch.num_rows:
+                alive = alike(signatures(batch.column("sig_a")), signatures(batch.column("sig_b")), looks)
+                yield batch.select(["a", "b"]).take(pa.array(alive))
     return run
 
 
+def _compare_blocks(looks: list[tuple[int, int]], rows: int, num: int, den: int):
+    """Members of two blocks of a bucket to the pairs that go on to verification."""
+    def run(key, table):
+        bucket, one, two = (k.as_py() for k in key)
+        blk, n, common = (table[c].to_numpy() for c in ("blk", "n_shingles", "common"))
+        comp = np.unique(np.array(table["comp"].to_pylist(), object), return_inverse=True)[1]
+        sig, cls = signatures(table["sig"]), np.array(table["cls"].to_pylist(), object)
+        keys, out = band_keys(sig, rows), [(np.zeros(0, object), np.zeros(0, object))]
+        left, right = np.flatnonzero(blk == one), np.flatnonzero(blk == two)
+        for at in range(0, len(left), 64):
+            i, j = (x.reshape(-1) for x in np.meshgrid(left[at:at + 64], right, indexing="ij"))
+            need = num * (n[i] + n[j])
+            keep = (comp[i] != comp[j]) & ((num + den) * np.minimum(common[i], common[j]) >= need)
+            if one == two:
+                keep &= i < j
+            i, j = i[keep], j[keep]
+            keep = keys[i, (keys[i] == keys[j]).argmax(axis=1)] == bucket
+            i, j = i[keep], j[keep]
+            alive = alike(sig[i], sig[j], looks)
+            out.append((cls[i[alive]], cls[j[alive]]))
+        a, b = (np.concatenate(x) for x in zip(*out))
+        return pa.table({"p": pa.array(a.tolist(), pa.binary()), "q": pa.array(b.tolist(), pa.binary())})
+    return run
+
+
+def _prints(shingle_words: int):
+    """(cls, ztext) to (c1, c2, prints): the class as two numbers and its fingerprints."""
+    def run(batches):
+        hashes, unzip = WordHash(), zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            sets = [shingle_set(unzip(t).decode(), hashes, shingle_words) for t in batch.column("ztext").to_pylist()]
+            ids = np.frombuffer(b"".join(batch.column("cls").to_pylist()), "<i8").reshape(-1, 2)
+            upto = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.ListArray.from_arrays(pa.array(upto), pa.array(flat.view(np.int64)))],
+                                             names=["c1", "c2", "prints"])
+    return run
+
+
+def _halves(batches):
+    for batch in batches:
+        ids = np.frombuffer(b"".join(batch.column("cls").to_pylist()), "<i8").reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids[:, 0]), pa.array(ids[:, 1])], names=[*batch.schema.names, "c1", "c2"])
+
+
 def _verify(threshold: Fraction, shingle_words: int):
     def run(batches):
         hashes, packed, last = WordHash(), None, None
         unzip = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             keep = []
-            for i, (x, y) in enumerate(zip(batch.column("text_a"), batch.column("text_b"))):
+            for i, (x, y) in enumerate(zip(batch.column("ztext_a"), batch.column("ztext_b"))):
                 x = x.as_py()
                 if x != packed:
                     packed, last = x, shingle_set(unzip(x).decode(), hashes, shingle_words)
@@ -210,7 +277,8 @@ class NearDuplicates:
         self.parts = input_partitions(self.docs)
         marked = materialize(self.docs.mapInArrow(_fingerprint(shingle_words, bands * rows), schema), "nd-marked")
         self.marked = marked.drop("sig")
-        self.classes = materialize(marked.filter("cls is not null").groupBy("cls").agg(F.min(id_col).alias("rep"), F.first("sig").alias("sig")), "nd-classes")
+        self.classes = materialize(marked.filter("cls is not null").groupBy("cls").agg(
+            F.min(id_col).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "nd-classes")
 
     def buckets(self) -> DataFrame:
         """(key, cls) of the band values that several classes share."""
@@ -219,49 +287,77 @@ class NearDuplicates:
         shared = keyed.groupBy("key").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).filter("x <> y").select("key")
         return materialize(keyed.join(shared, "key", "left_semi"), "nd-buckets")
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose sets are as similar as the threshold asks."""
-        sig = self.classes.select("cls", "sig")
-        pairs = materialize(pairs.join(sig.select(F.col("cls").alias("a"), F.col("sig").alias("sig_a")), "a")
-                            .join(sig.select(F.col("cls").alias("b"), F.col("sig").alias("sig_b")), "b")
-                            .mapInArrow(_prune(self.looks), "a binary, b binary"), "nd-survivors")
-        needed = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-        wanted = materialize(self.classes.select("cls", "rep").join(needed, "cls", "left_semi"), "nd-wanted")
+    def members(self, buckets: DataFrame) -> DataFrame:
+        """(cls, n_shingles, sig, ztext) of the classes in the buckets."""
+        wanted = materialize(self.classes.join(buckets.select("cls").distinct(), "cls", "left_semi"), "nd-wanted")
         reps = wanted.select("rep").distinct()
         if wanted.count() <= BROADCAST_IDS:
             reps = F.broadcast(reps)
         found = self.docs.join(reps, self.docs[self.id_col].eqNullSafe(reps["rep"]), "left_semi")
-        texts = (found.select("text").mapInArrow(_texts(self.k), "cls binary, ztext binary").filter("cls is not null")
-                 .join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("ztext").alias("ztext")))
-        texts = materialize(texts, "nd-texts")
-        return materialize(pairs.join(texts.select(F.col("cls").alias("b"), F.col("ztext").alias("text_b")), "b")
-                           .join(texts.select(F.col("cls").alias("a"), F.col("ztext").alias("text_a")), "a")
+        texts = found.select("text").mapInArrow(_texts(self.k), "cls binary, ztext binary").filter("cls is not null")
+        texts = texts.groupBy("cls").agg(F.first("ztext").alias("ztext"))
+        return materialize(wanted.drop("rep").join(texts, "cls"), "nd-members")
+
+    def verified(self, members: DataFrame, pairs: DataFrame, pruned: bool = False) -> DataFrame:
+        """The pairs (a, b) whose sets are as similar as the threshold asks."""
+        side = lambda column, name: members.select(F.col("cls").alias(name), F.col(column).alias(f"{column}_{name}"))
+        pairs = pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+        if not pruned:
+            pairs = pairs.join(side("sig", "a"), "a").join(side("sig", "b"), "b").mapInArrow(_prune(self.looks), "a binary, b binary")
+            pairs = materialize(pairs, "nd-survivors")
+        return materialize(pairs.join(side("ztext", "b"), "b").join(side("ztext", "a"), "a")
                            .mapInArrow(_verify(self.threshold, self.k), "a binary, b binary"), "nd-links")
 
+    def open_members(self, buckets: DataFrame, comp: DataFrame) -> DataFrame:
+        """The rows of buckets whose members are in several components."""
+        rows = buckets.drop("comp").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+        several = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
+        return materialize(rows.join(several, "key", "left_semi"), "nd-open")
+
+    def counted(self, members: DataFrame, open_: DataFrame) -> DataFrame:
+        """(cls, n_shingles, sig, common) of the open members that can still have a link;
+        ``common``: shingles that another open member has."""
+        held = materialize(members.join(open_.select("cls").distinct(), "cls", "left_semi"), "nd-held")
+        alone = (held.select("cls", "ztext").mapInArrow(_prints(self.k), "c1 bigint, c2 bigint, prints array<bigint>")
+                 .select("c1", "c2", F.explode("prints").alias("h")).groupBy("h").agg(F.count("*").alias("n"), F.min("c1").alias("c1"), F.min("c2").alias("c2"))
+                 .filter("n = 1").groupBy("c1", "c2").agg(F.count("*").alias("own")))
+        halves = held.select("cls", "n_shingles", "sig").mapInArrow(_halves, "cls binary, n_shingles bigint, sig binary, c1 bigint, c2 bigint")
+        num, den = self.threshold.numerator, self.threshold.denominator
+        return materialize(halves.join(alone, ["c1", "c2"], "left").withColumn("common", F.col("n_shingles") - F.coalesce("own", F.lit(0)))
+                           .filter(den * F.col("common") >= num * F.col("n_shingles")).select("cls", "n_shingles", "sig", "common"), "nd-counted")
+
     def class_components(self) -> DataFrame:
         buckets = self.buckets()
-        links = comp = None
-        for turn in range(STAR_ROUNDS + 1):
-            members = buckets.withColumn("comp", F.col("cls")) if comp is None else (
-                buckets.join(comp, "cls", "left").select("key", "cls", F.coalesce("comp", "cls").alias("comp")))
-            if turn:
-                open_ = members.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
-                members = materialize(members.join(open_, "key", "left_semi"), "nd-open")
-                if members.isEmpty():
-                    break
-            if turn < STAR_ROUNDS:
-                order = F.col("cls") if not turn else F.sha1(F.concat("cls", F.lit(str(turn))))
-                lead = members.groupBy("key").agg(F.min_by(F.struct("cls", "comp"), order).alias("lead"))
-                pairs = members.join(lead, "key").filter("lead.comp <> comp").select(F.col("lead.cls").alias("p"), F.col("cls").alias("q"))
-            else:
-                other = members.select("key", F.col("cls").alias("q"), F.col("comp").alias("comp_q"))
-                pairs = members.join(other, "key").filter("comp <> comp_q and cls < q").select(F.col("cls").alias("p"), "q")
-            pairs = pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-            new = self.verified(pairs)
-            if comp is None or not new.isEmpty():
-                links = new if links is None else links.union(new)
-                comp = components(links)
-        return comp
+        members = self.members(buckets)
+        lead = buckets.groupBy("key").agg(F.min("cls").alias("p"))
+        links = self.verified(members, buckets.join(lead, "key").filter("p <> cls").select("p", F.col("cls").alias("q")))
+        comp = components(links)
+        open_ = self.open_members(buckets, comp)
+        if open_.isEmpty():
+            return comp
+
+        num, den = self.threshold.numerator, self.threshold.denominator
+        counted = self.counted(members, open_)
+        open_ = self.open_members(open_.join(counted.select("cls"), "cls", "left_semi"), comp)
+        facts = open_.join(counted.select("cls", "n_shingles", "common"), "cls")
+        lead = facts.groupBy("key").agg(F.min_by(F.struct("cls", "comp", "n_shingles", "common"), F.struct(-F.col("common") / F.col("n_shingles"), "cls")).alias("lead"))
+        pairs = (facts.join(lead, "key").filter("lead.comp <> comp")
+                 .filter((num + den) * F.least("common", "lead.common") >= num * (F.col("n_shingles") + F.col("lead.n_shingles"))))
+        new = self.verified(members, pairs.select(F.col("lead.cls").alias("p"), F.col("cls").alias("q")))
+        if not new.isEmpty():
+            links = links.union(new)
+            comp = components(links)
+            open_ = self.open_members(open_, comp)
+        if open_.isEmpty():
+            return comp
+
+        sizes = open_.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        dealt = (open_.join(counted, "cls").join(sizes, "key").withColumn("blk", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+                 .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
+        pairs = (dealt.select("key", F.least("blk", "other").alias("one"), F.greatest("blk", "other").alias("two"), "blk", "cls", "comp", "n_shingles", "common", "sig")
+                 .groupBy("key", "one", "two").applyInArrow(_compare_blocks(self.looks, self.rows, num, den), "p binary, q binary"))
+        new = self.verified(members, pairs, pruned=True)
+        return comp if new.isEmpty() else components(links.union(new))
 
     def result(self) -> DataFrame:
         """(id, n_shingles, component_id, kept)."""
