@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import default_partitions, materialize, scratch_root
 
-__all__ = ["default_partitions", "materialize", "scratch_root", "scratch_path", "table", "strings", "input_partitions"]
+__all__ = ["default_partitions", "materialize", "scratch_root", "scratch_path", "table", "strings", "bounded_batches", "pieces", "input_partitions"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +31,29 @@ def strings(df: DataFrame, column: str):
     return F.col(column) if isinstance(kind, T.StringType) else F.col(column).cast("string")
 
 
+#: Rows and bytes of an Arrow batch between the JVM and a Python worker.
+BATCH_ROWS, BATCH_BYTES = 1_000, 4_000_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batch limits to BATCH_ROWS and BATCH_BYTES where they are
+    unset: the default of 10,000 texts a batch may hold hundreds of MB."""
+    for name, value in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if not spark.sparkContext.getConf().contains(key):
+            spark.conf.set(key, str(value))
+
+
+def pieces(batch: pa.RecordBatch, text: str, limit: int = 2_000_000):
+    """Slices of the batch whose texts have about ``limit`` bytes, or one row."""
+    upto = np.cumsum([0, *(pc.binary_length(batch.column(text)).fill_null(0).to_pylist())])
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(upto, upto[at] + limit, side="right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def input_partitions(df: DataFrame) -> int:
     """Partitions for a shuffle whose volume follows the input: at least the
     session's setting, at least one per input split."""

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, strings
+from .common import materialize, pieces, strings
 from .hashing import U, WordHash, mix
 
 WORDS_PER_EDIT = 10
@@ -93,7 +93,7 @@ def line_hashes(words: list[list[bytes]], hashes: WordHash):
 def _lines(words_per_edit: int):
     def run(batches):
         hashes = WordHash()
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b, "text")):
             owner, number, words = split_lines(batch.column("text").to_pylist())
             if not owner:
                 continue
@@ -115,7 +115,7 @@ def _lines(words_per_edit: int):
 
 def _chosen_lines(batches):
     """Rows (doc, th, text, lines array<struct<line, h1, h2>>) to one row per listed line with its words."""
-    for batch in batches:
+    for batch in (p for b in batches for p in pieces(b, "text")):
         h1, h2, words = [], [], []
         for text, lines in zip(batch.column("text").to_pylist(), batch.column("lines").to_pylist()):
             split = (text or "").encode().split(b"\n")
@@ -128,9 +128,7 @@ def _chosen_lines(batches):
 
 def _variants(batches):
     hashes = WordHash()
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in (p for b in batches for p in pieces(b, "words")):
         words = [w.encode().split(b" ") for w in batch.column("words").to_pylist()]
         _, _, n, s, e, rolls = line_hashes(words, hashes)
         line = np.repeat(np.arange(len(n)), n)
@@ -154,7 +152,7 @@ def within_one_edit(a: list, b: list) -> bool:
 
 def _verify(words_per_edit: int):
     def run(batches):
-        for batch in batches:
+        for batch in (p for x in batches for p in pieces(x, "words")):
             keep = []
             for k, (a, b) in enumerate(zip(batch.column("words").to_pylist(), batch.column("words_b").to_pylist())):
                 a, b = a.split(" "), b.split(" ")
@@ -166,7 +164,7 @@ def _verify(words_per_edit: int):
 
 def _rebuild(schema_names: list[str], text_col: str):
     def run(batches):
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b, text_col)):
             text, removed = [], []
             for t, lines in zip(batch.column(text_col).to_pylist(), batch.column("_gone").to_pylist()):
                 if lines:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ann, bpe, decontam, html_extract, line_dedup, near_dedup, pii, quality, token_counts, warc
-from .common import table
+from .common import bounded_batches, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: The key of the registered query; a production run passes its own secret.
@@ -40,7 +42,8 @@ def op6_line_dedup(spark, sf_dir) -> DataFrame:
 
 
 def op7_byte_bpe(spark, sf_dir) -> DataFrame:
-    return bpe.digests(bpe.run(spark, table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN))
+    ranks = bpe.load_ranks(RANKS)
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
 
 
 def op8_quality_classifier(spark, sf_dir) -> DataFrame:
@@ -102,5 +105,14 @@ SELECT page_id, payload_bytes,
 FROM p JOIN f USING (x)""",
 }
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_benchmark_decontamination, op3_pii_pseudonyms, op4_html_extraction, op5_nearest_neighbours,
+
+def _bounded(query):
+    @functools.wraps(query)
+    def run(spark, sf_dir):
+        bounded_batches(spark)
+        return query(spark, sf_dir)
+    return run
+
+
+QUERIES = {f.__name__: _bounded(f) for f in (op1_minhash_near_dedup, op2_benchmark_decontamination, op3_pii_pseudonyms, op4_html_extraction, op5_nearest_neighbours,
                                    op6_line_dedup, op7_byte_bpe, op8_quality_classifier, op9_warc, op10_token_counts)}

@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimwise.llm import bpe, decontam, line_dedup, near_dedup, quality
-from claimwise.llm.common import materialize, table
+from claimwise.llm.common import bounded_batches, materialize, table
 from claimwise.llm.queries import RANKS
 
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts; learned from labelled rows outside the held-out ones."""
+    bounded_batches(spark)
     model = quality.train(docs, table(spark, sf_dir, "labels"), usable=lambda i: ~quality.held_out(i))
     return quality.drop_poor(docs, model)
 
@@ -25,6 +26,7 @@ def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated lines; n_chars follows the text. A document that loses
     every line it had goes: others hold all of it."""
+    bounded_batches(spark)
     out = line_dedup.dedup_lines(docs)
     emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"\S")
     return out.filter(~emptied).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
@@ -32,17 +34,21 @@ def line_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group (five-word shingles, similarity 0.8)."""
+    bounded_batches(spark)
     return near_dedup.drop_near_duplicates(docs)
 
 
 def decontamination_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no benchmark passage contaminates."""
+    bounded_batches(spark)
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoding_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, token ids and the SHA-256 of the decoded bytes, which are the text's."""
-    done = bpe.run(spark, docs, RANKS, public_tokenizers.PATTERN)
+    bounded_batches(spark)
+    ranks = bpe.load_ranks(RANKS)
+    done = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
     return done.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
