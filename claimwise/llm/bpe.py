@@ -16,7 +16,8 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .words import CHUNK_CHARS, per_document, ragged
@@ -65,50 +66,60 @@ def token_bytes(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.nda
     return np.cumsum(used) - used, lens, np.frombuffer(b"".join(t or b"" for t in by_id), np.uint8)
 
 
+def _joined(column: pa.Array, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, where each row's begin, their bytes, and where each row's begin; ids join the table by position."""
+    starts, lens, flat = table
+    ids = column.flatten()
+    if ids.null_count:
+        raise ValueError("a list holds a null id")
+    ids = ids.to_numpy(zero_copy_only=False)
+    if len(ids) and (ids.min() < 0 or ids.max() >= len(lens) or lens[ids].min() < 0):
+        raise ValueError("an id has no token")
+    rows = np.concatenate([[0], np.cumsum(pc.fill_null(column.value_lengths(), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    body = ragged(flat, starts[ids], lens[ids]) if len(ids) else flat[:0]
+    return ids, rows, body, np.concatenate([[0], np.cumsum(lens[ids])])[rows]
+
+
+def _slices(batches, ids_col: str):
+    """The batches in slices of a few hundred thousand ids, or of one row."""
+    for batch in batches:
+        upto = np.concatenate([[0], np.cumsum(pc.fill_null(batch.column(ids_col).value_lengths(), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(upto, upto[at] + 300_000, side="right")) - 1)
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def decode(tokens: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """The rows with ``out_col`` binary: the bytes of their ids in order. Null ids give
     no bytes; an id outside the table, or a null within a list, is an error."""
     shared = tokens.sparkSession.sparkContext.broadcast(token_bytes(ranks))
 
     def run(batches):
-        starts, lens, flat = shared.value
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index(ids_col))
-            ids = column.flatten()
-            if ids.null_count:
-                raise ValueError("a list holds a null id")
-            ids = ids.to_numpy(zero_copy_only=False).astype(np.int64)
-            if len(ids) and (ids.min() < 0 or ids.max() >= len(lens) or lens[ids].min() < 0):
-                raise ValueError("an id has no token")
-            sizes = np.array([x or 0 for x in column.value_lengths().to_pylist()], np.int64)
-            body = ragged(flat, starts[ids], lens[ids]) if len(ids) else flat[:0]
-            at = np.concatenate([[0], np.cumsum(lens[ids])])[np.concatenate([[0], np.cumsum(sizes)])]
-            out = pa.Array.from_buffers(pa.binary(), len(column), [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(body.tobytes())])
+        for batch in _slices(batches, ids_col):
+            _, _, body, at = _joined(batch.column(ids_col), shared.value)
+            out = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(body.tobytes())])
             yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, out_col])
 
     return tokens.mapInArrow(run, T.StructType([*tokens.schema.fields, T.StructField(out_col, T.BinaryType())]))
 
 
-def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256): the digest columns of encoded and decoded rows."""
-    source = decoded.select(id_col, "ids", "decoded")
+def digests(tokens: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256): decoded as ``decode`` does, with digests of
+    the ids (little-endian, 32 bits) and the bytes in place of the bytes."""
+    source = tokens.select(id_col, ids_col)
+    shared = tokens.sparkSession.sparkContext.broadcast(token_bytes(ranks))
+    sha = lambda x: hashlib.sha256(x).hexdigest()
 
     def run(batches):
-        for batch in batches:
-            lens = np.array([x or 0 for x in batch.column(1).value_lengths().to_pylist()], np.int64)
-            raw = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-            ends = (4 * np.cumsum(lens)).tolist()
+        for batch in _slices(batches, ids_col):
+            ids, rows, body, at = _joined(batch.column(1), shared.value)
+            raw = ids.astype("<u4")
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(lens, pa.int64()),
-                pa.array([hashlib.sha256(raw[e - 4 * n:e]).hexdigest() for e, n in zip(ends, lens.tolist())], pa.string()),
-                pa.array([hashlib.sha256(x.as_py() or b"").hexdigest() for x in batch.column(2)], pa.string()),
-            ], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+                batch.column(0), pa.array(np.diff(rows), pa.int64()), pa.array([sha(raw[a:b].tobytes()) for a, b in zip(rows, rows[1:])], pa.string()),
+                pa.array([sha(body[a:b].tobytes()) for a, b in zip(at, at[1:])], pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return source.mapInArrow(run, T.StructType([
         source.schema[id_col], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
         T.StructField("decoded_sha256", T.StringType())]))
-
-
-def run(spark: SparkSession, docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    ranks = load_ranks(path)
-    return decode(encode(docs, ranks, pattern), ranks)

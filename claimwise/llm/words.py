@@ -8,7 +8,7 @@ is valued once, and the values return to their chunks, where the rows are
 reassembled in position order.
 
 One exchange carries both kinds of rows (key ``c…`` for a chunk's positions, ``b…``
-for a word bucket); a hot word costs one entry per chunk, whatever its count.
+for a word bucket) and is read twice, so texts are split once; a hot word costs one entry per chunk, whatever its count.
 A chunk is the pair (input partition, ordinal), so the input has to be a
 deterministic scan, as a table read is: a recomputed partition then gives the
 same chunks.
@@ -20,6 +20,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 import zstandard
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 
 from .common import input_partitions, strings
 
-CHUNK_CHARS = 8_000_000
+CHUNK_CHARS = 4_000_000
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -138,6 +139,7 @@ def _valuer(value_of: Callable[[list[str]], list[np.ndarray]]):
     def run(batches):
         known: dict[str, np.ndarray] = {}
         for batch in batches:
+            batch = batch.filter(pc.greater_equal(batch.column("bucket"), 0))
             rows = [unpack_words(x) for x in batch.column("data").to_pylist()]
             new = sorted({w for words in rows for w in words} - known.keys())
             known.update(zip(new, value_of(new)))
@@ -145,6 +147,8 @@ def _valuer(value_of: Callable[[list[str]], list[np.ndarray]]):
             for words in rows:
                 values = [known[w] for w in words]
                 data.append(pack(np.fromiter(map(len, values), np.int64, len(values)), np.concatenate(values)))
+            if not rows:
+                continue
             yield pa.RecordBatch.from_arrays(
                 [batch.column("chunk"), batch.column("bucket"), pa.array(data, pa.binary())], names=["key", "bucket", "data"])
 
@@ -154,6 +158,7 @@ def _valuer(value_of: Callable[[list[str]], list[np.ndarray]]):
 def _assembler(reduce, id_type: pa.DataType, value_type: pa.DataType, id_name: str):
     def run(chunk: pa.Table, values: pa.Table) -> pa.Table:
         out_ids, outs = [], []
+        chunk = chunk.filter(pc.less(chunk["bucket"], 0))   # word rows are the other side's input
         if chunk.num_rows:
             blocks = [unpack(x) for _, x in sorted(zip(values["bucket"].to_pylist(), values["data"].to_pylist()))]
             lens = np.concatenate([b[0] for b in blocks]).astype(np.int64) if blocks else np.zeros(0, np.int64)
@@ -188,11 +193,9 @@ def per_document(docs: DataFrame, id_col: str, text_col: str, pattern: str, valu
         T.StructType([T.StructField("key", T.StringType()), T.StructField("chunk", T.StringType()),
                       T.StructField("bucket", T.IntegerType()), T.StructField("data", T.BinaryType()),
                       T.StructField("ids", T.ArrayType(id_field.dataType))])).repartition(n, "key")
-    values = (pre.filter("bucket >= 0")
-              .mapInArrow(_valuer(value_of), "key string, bucket int, data binary").repartition(n, "key"))
-    chunks = pre.filter("bucket < 0")
+    values = pre.mapInArrow(_valuer(value_of), "key string, bucket int, data binary").repartition(n, "key")
     schema = T.StructType([id_type[0], T.StructField("value", value_type)])
-    return (chunks.groupBy("key").cogroup(values.groupBy("key"))
+    return (pre.groupBy("key").cogroup(values.groupBy("key"))
             .applyInArrow(_assembler(reduce, arrow_id, arrow_type, id_col), schema))
 
 
