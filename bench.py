@@ -32,7 +32,8 @@ def main():
     from claimwise.session import build_session
 
     spark = build_session(f"local[{cpus}]", shuffle_partitions=int(cpus),
-                          extra={"spark.sql.files.maxPartitionBytes": str(32 * 1024 * 1024)})
+                          extra={"spark.sql.files.maxPartitionBytes": str(32 * 1024 * 1024),
+                                 "spark.driver.memory": os.environ.get("CLAIMWISE_DRIVER_MEMORY", "8g")})
     from pyspark.sql import functions as F
 
     from claimwise.operators import boost as bst
@@ -61,7 +62,7 @@ def main():
         long = src.long_scores(sc)
         timed("metric_rows", lambda: ev.metric_rows(long).collect())
         timed("lift_table", lambda: rk.lift_table(long).collect())
-        timed("pr_curve", lambda: rk.pr_curve(long).count())
+        timed("pr_curve", lambda: rk.pr_curve(long).write.format("noop").mode("overwrite").save())
         timed("pr_summary", lambda: rk.pr_summary(long).collect())
         timed("correlation_matrix", lambda: prof.correlation_pairs(fe, KEY_VARS + ENGINEERED_NUMERIC).collect())
         timed("describe", lambda: prof.describe(fe, ["Density", "LogDensity", "CompositeRiskScore",

@@ -23,6 +23,13 @@ def finite_or_null(c) -> Column:
     return F.when(F.isnan(c) | (F.abs(c) == F.lit(INF)), F.lit(None).cast("double")).otherwise(c)
 
 
+def nan_to_null(c) -> Column:
+    """NaN becomes NULL, infinities stay: the one rule for what statistics and
+    percentiles skip (as pandas does), on every path."""
+    c = col(c).cast("double")
+    return F.when(~F.isnan(c), c)
+
+
 def is_finite(c) -> Column:
     c = col(c)
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(INF))

@@ -116,9 +116,10 @@ def scatter_density(long: DataFrame, bins: int = 50, group_cols: Sequence[str] =
     """counts of (actual value, predicted bin) - a bounded stand-in for
     an alpha scatter plot."""
     g = list(group_cols)
+    long = long.where(F.col("predicted").isNotNull() & ~F.isnan("predicted"))   # before the range: NaN sorts last
     rng = long.groupBy(*g).agg(F.min("predicted").alias("_lo"), F.max("predicted").alias("_hi"))
     # broadcast bound: one row per model
-    j = long.where(F.col("predicted").isNotNull() & ~F.isnan("predicted")).join(F.broadcast(rng), g)
+    j = long.join(F.broadcast(rng), g)
     width = F.col("_hi") - F.col("_lo")
     b = F.when(width == 0, F.lit(0)).otherwise(
         F.least(F.floor((F.col("predicted") - F.col("_lo")) * F.lit(float(bins)) / width), F.lit(bins - 1))).cast("int")

@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import poisson_deviance_term
+from ..functions.exprs import nan_to_null, poisson_deviance_term
 from .ordering import exact_quantiles
 
 # Metric names of the comparison, model order for ties.
@@ -58,7 +58,7 @@ def scalars(long: DataFrame, group_cols: Sequence[str] = ("model",), actual: str
     values, bounded by the estimate check. Many models or high-cardinality
     scores use the distributed ``exact_quantiles`` path instead."""
     g = list(group_cols)
-    y, p = F.col(actual), F.col(predicted)
+    y, p = nan_to_null(actual), nan_to_null(predicted)   # one rule for both paths: NaN and null are skipped
     first = long.groupBy(*g).agg(F.count(F.lit(1)).alias("n"), F.avg((y > 0).cast("double")).alias("claim_rate"),
                                  F.approx_count_distinct(F.when(y > 0, y)).alias("_dpos"),
                                  F.approx_count_distinct(p).alias("_dpred"))
@@ -100,10 +100,10 @@ def metric_rows(long: DataFrame, group_cols: Sequence[str] = ("model",), actual:
     # broadcast bound: one row per model
     j = long.join(F.broadcast(sc), g)
     y, p = F.col(actual).cast("double"), F.col(predicted).cast("double")
-    pc = F.least(p, F.col("cap"))
+    pc = F.when(F.isnan(p), p).otherwise(F.least(p, F.col("cap")))   # NaN stays NaN: it is not scored as the cap
     e2, ea = (y - pc) * (y - pc), F.abs(y - pc)
     r2, ra = (y - p) * (y - p), F.abs(y - p)
-    pos_a, pos_p = y > 0, p > F.col("threshold")
+    pos_a, pos_p = y > 0, (p > F.col("threshold")) & ~F.isnan(p)
 
     def cls(cond, name):
         return [F.sqrt(F.sum(F.when(cond, r2)) / F.count(F.when(cond, 1))).alias(f"{name}_rmse"),

@@ -164,7 +164,7 @@ def exact_quantiles(df: DataFrame, value: str, probs,
     if not g:
         # ungrouped: the wanted order statistics are a handful of literal
         # positions, so a filter finds them (no join at all)
-        want = targets.collect()                    # one row per probability
+        want = targets.where(F.col("_N").isNotNull()).collect()   # one row per probability; none without values
         ks = sorted({int(r[c]) for r in want for c in ("_lo", "_hi")})
         hit = F.lit(False)
         for k in ks:

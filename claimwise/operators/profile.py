@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.exprs import nan_to_null
 from .ordering import exact_quantiles
 
 
@@ -69,6 +70,8 @@ def describe(df: DataFrame, cols: Sequence[str], max_buffered_distinct: int = 20
     ``percentile``; other columns take the distributed exact path."""
     cols = list(cols)
     spark = df.sparkSession
+    # one rule for both paths: NaN and null are skipped
+    df = df.select(*[nan_to_null(c).alias(c) for c in cols])
     stats = df.agg(*[F.struct(F.count(c).cast("bigint").alias("count"), F.avg(c).alias("mean"),
                               F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"),
                               F.max(c).cast("double").alias("max"),
@@ -145,12 +148,13 @@ def correlation_pairs(df: DataFrame, cols: Sequence[str], chunk: int = 16) -> Da
     centred cross-product sums S_xy (numerically stable, a single plain
     ``sum`` buffer per pair, so whole-stage codegen survives hundreds of
     pairs); r = S_xy / sqrt(S_xx S_yy). Columns with nulls fall back to
-    pairwise-complete ``corr`` in chunks of ``chunk`` aggregates per job."""
+    pairwise-complete ``corr`` in chunks of ``chunk`` aggregates per job; NaN
+    counts as null."""
     cols = list(cols)
     pairs = [(cols[i], cols[j]) for i in range(len(cols)) for j in range(i)]
-    x = {c: F.col(c).cast("double") for c in cols}
+    x = {c: nan_to_null(c) for c in cols}
     first = df.agg(*[F.avg(x[c]).alias(f"m\u0001{c}") for c in cols],
-                   *[F.count(F.when(x[c].isNull() | F.isnan(x[c]), 1)).alias(f"n\u0001{c}") for c in cols]).first()
+                   *[F.count(F.when(x[c].isNull(), 1)).alias(f"n\u0001{c}") for c in cols]).first()
     spark = df.sparkSession
     if all(first[f"n\u0001{c}"] == 0 for c in cols):
         d = {c: x[c] - F.lit(first[f"m\u0001{c}"]) for c in cols}

@@ -379,7 +379,7 @@ RELATIVITY_SEGMENTS_SQL = {
     "power_above_10": "VehPower > 10",
     "vehicle_age_0_2": "VehAge <= 2",
     "density_above_1000": "Density > 1000",
-    "exposure_below_0_1": "Exposure < 1e-1",
+    "exposure_below_0_1": "Exposure < CAST(0.1 AS DOUBLE)",
 }
 
 
@@ -391,7 +391,7 @@ RELATIVITY_SEGMENTS_SQL = {
     f" / (sum(CASE WHEN NOT ({v}) THEN ClaimNb ELSE 0 END) / sum(CASE WHEN NOT ({v}) THEN Exposure ELSE 0 END)), 6)"
     f" AS relativity FROM features" for k, v in RELATIVITY_SEGMENTS_SQL.items()))
 def q_relativities(spark, sf):
-    segs = {k: F.expr(v.replace("1e-1", "0.1D")) for k, v in RELATIVITY_SEGMENTS_SQL.items()}
+    segs = {k: F.expr(v) for k, v in RELATIVITY_SEGMENTS_SQL.items()}
     r = prof.relativities(features(spark, sf), segs)
     return r.select("segment", "policies", r6("freq_in").alias("freq_in"), r6("freq_out").alias("freq_out"),
                     r6("relativity").alias("relativity"))

@@ -11,6 +11,7 @@ from ..operators import evaluate as ev
 from ..operators import features as feat
 from ..operators import ranking as rk
 from ..operators import target as tg
+from ..operators.ordering import global_row_number
 from ..sources import tables as src
 from . import oracle_sql as O
 from .catalog import features, policies, query, r6
@@ -340,17 +341,22 @@ def q_best_top_errors(spark, sf):
         "model", "IDpol", "actual", "predicted", "error", *_CONTEXT)
 
 
+FIRST_N = 10_000   # rows of the H5 subset, as the reference study takes
+
+
 @query("h05_first_n_subset", sql("SELECT " + ", ".join(
     f"round({c}, 6) AS {c}" if c in ("LogDensity", "LogExposure", "BM_Exp") else c for c in [
         "IDpol", "ClaimNb", "Exposure", "Area", "VehPower", "VehAge", "DrivAge", "BonusMalus", "VehBrand", "VehGas",
         "Density", "Region", "VeryShortExposure", "LogDensity", "DensityGroup", "LogExposure", "BM_Exp",
-        "CompositeRiskScore", "RiskSegment"]) + " FROM features ORDER BY IDpol LIMIT 10000", base="features"))
-def q_first_n(spark, sf):
+        "CompositeRiskScore", "RiskSegment"]) + " FROM features ORDER BY IDpol LIMIT {FIRST_N}".replace("{FIRST_N}", str(FIRST_N)), base="features"))
+def q_first_n(spark, sf, n: int = FIRST_N):
+    """H5: the first n rows by key, by a distributed rank."""
     from .catalog import _feature_dump
     cols = ["IDpol", "ClaimNb", "Exposure", "Area", "VehPower", "VehAge", "DrivAge", "BonusMalus", "VehBrand",
             "VehGas", "Density", "Region", "VeryShortExposure", "LogDensity", "DensityGroup", "LogExposure", "BM_Exp",
             "CompositeRiskScore", "RiskSegment"]
-    return _feature_dump(features(spark, sf), cols).orderBy("IDpol").limit(10000)
+    ranked = global_row_number(_feature_dump(features(spark, sf), cols), ["IDpol"])
+    return ranked.filter(F.col("rn") <= n).select(*cols)
 
 
 # ------------------------------------------------------------------ F14-F19, F22: EDA tables

@@ -31,8 +31,9 @@ def build_session(master: str | None = None, app: str = "claimwise",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.driver.memory": os.environ.get("CLAIMWISE_DRIVER_MEMORY", "16g"),
     }
+    if os.environ.get("CLAIMWISE_DRIVER_MEMORY"):
+        conf["spark.driver.memory"] = os.environ["CLAIMWISE_DRIVER_MEMORY"]
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})

@@ -12,7 +12,7 @@ SF_MID = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     from claimwise.session import build_session, checkpoint_dir
-    s = build_session("local[4]", app="claimwise-tests", shuffle_partitions=8)
+    s = build_session("local[4]", app="claimwise-tests", shuffle_partitions=8, extra={"spark.driver.memory": "6g"})
     checkpoint_dir(s)
     yield s
     s.stop()
