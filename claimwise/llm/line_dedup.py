@@ -187,14 +187,13 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     occ = materialize(source.mapInArrow(_lines(words_per_edit), T.StructType(
         [doc, T.StructField("th", T.LongType()), T.StructField("line", T.IntegerType()), *fields, T.StructField("n", T.IntegerType()), *keys])), "ld-lines")
     place = F.struct(F.col("doc").isNull().alias("no_id"), "doc", "th", "line")
-    first = materialize(occ.groupBy("h1", "h2").agg(F.min(F.struct(*place_fields(), "n", "k1", "k2", "k3", "k4")).alias("m"))
-                        .select("h1", "h2", F.struct("m.no_id", "m.doc", "m.th", "m.line").alias("f"), "m.n", "m.k1", "m.k2", "m.k3", "m.k4"), "ld-first")
-
-    halves = first.filter("k1 is not null").select("h1", "h2", F.explode(F.array("k1", "k2", "k3", "k4")).alias("key"))
-    shared = (halves.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.min("h2").alias("c"), F.max("h2").alias("d"))
-              .filter("a <> b or c <> d").select("key"))
-    chosen = halves.join(shared, "key", "left_semi").select("h1", "h2").distinct()
-    listed = materialize(first.join(chosen, ["h1", "h2"], "left_semi").select("h1", "h2", "f"), "ld-chosen")
+    first = materialize(occ.select("h1", "h2", place.alias("f")).groupBy("h1", "h2").agg(F.min("f").alias("f")), "ld-first")
+
+    # a line stands for itself by h1 alone here: one more with that hash only adds a candidate
+    halves = occ.filter("k1 is not null").select("h1", F.explode(F.array("k1", "k2", "k3", "k4")).alias("key"))
+    shared = halves.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("key")
+    chosen = halves.join(shared, "key", "left_semi").select("h1").distinct()
+    listed = materialize(first.join(chosen, "h1", "left_semi").select("h1", "h2", "f"), "ld-chosen")
     by_doc = listed.groupBy(F.col("f.doc").alias("d"), F.col("f.th").alias("t")).agg(F.collect_list(F.struct(F.col("f.line").alias("line"), "h1", "h2")).alias("lines"))
     small = listed.count() <= BROADCAST_ROWS
     on = source["doc"].eqNullSafe(F.col("d")) & (source["th"] == F.col("t"))
@@ -222,10 +221,6 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return materialize(gone, "ld-gone")
 
 
-def place_fields():
-    return [F.col("doc").isNull().alias("no_id"), F.col("doc"), F.col("th"), F.col("line")]
-
-
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_edit: int = WORDS_PER_EDIT,
                 count_col: str = "n_removed") -> DataFrame:
     """The documents with their repeated lines taken out, and the number of lines removed."""
