@@ -13,11 +13,14 @@ def brute(rows, items, window=13):
     out = []
     for i, t in rows:
         w = dc.words_of(t)
+        whole = b" ".join(w)
         hit, names = set(), set()
         for name, text in items:
             q = dc.words_of(text)
             k = min(window, len(q))
             for p in range(len(q) - k + 1 if k else 0):
+                if b" ".join(q[p:p + k]) not in whole:
+                    continue
                 for a in range(len(w) - k + 1):
                     if w[a:a + k] == q[p:p + k]:
                         hit.update(range(a, a + k))

@@ -25,7 +25,8 @@ def brute(rows, words_per_edit=10):
             if w:
                 place = (i is None, i or 0, j)
                 places[w] = min(places.get(w, place), place)
-    dropped = {w for w, p in places.items() if any(q < p and max(len(w), len(v)) >= words_per_edit and edits(w, v) <= 1 for v, q in places.items() if v != w)}
+    dropped = {w for w, p in places.items() if any(q < p and max(len(w), len(v)) >= words_per_edit and abs(len(w) - len(v)) <= 1
+                                             and len(set(w) ^ set(v)) <= 2 and edits(w, v) <= 1 for v, q in places.items() if v != w)}
     out = []
     for i, t in rows:
         keep, n = [], 0
