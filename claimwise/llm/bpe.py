@@ -39,10 +39,13 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     """(id, ids array<int>): every text's ids, each match of ``pattern`` encoded by itself."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
+    encoder = []   # one per task
+
     def value_of(words: list[str]) -> list[np.ndarray]:
         import tiktoken
-        whole = tiktoken.Encoding("pieces", pat_str=r"(?s:.+)", mergeable_ranks=shared.value, special_tokens={})
-        return [np.asarray(x, np.uint32) for x in whole.encode_ordinary_batch(words, num_threads=1)]
+        if not encoder:
+            encoder.append(tiktoken.Encoding("pieces", pat_str=r"(?s:.+)", mergeable_ranks=shared.value, special_tokens={}))
+        return [np.asarray(x, np.uint32) for x in encoder[0].encode_ordinary_batch(words, num_threads=1)]
 
     def reduce(sizes, seq, lens, flat):
         starts = np.cumsum(lens) - lens

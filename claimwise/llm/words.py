@@ -158,7 +158,6 @@ def _valuer(value_of: Callable[[list[str]], list[np.ndarray]]):
 def _assembler(reduce, id_type: pa.DataType, value_type: pa.DataType, id_name: str):
     def run(chunk: pa.Table, values: pa.Table) -> pa.Table:
         out_ids, outs = [], []
-        chunk = chunk.filter(pc.less(chunk["bucket"], 0))   # word rows are the other side's input
         if chunk.num_rows:
             blocks = [unpack(x) for _, x in sorted(zip(values["bucket"].to_pylist(), values["data"].to_pylist()))]
             lens = np.concatenate([b[0] for b in blocks]).astype(np.int64) if blocks else np.zeros(0, np.int64)
@@ -195,7 +194,9 @@ def per_document(docs: DataFrame, id_col: str, text_col: str, pattern: str, valu
                       T.StructField("ids", T.ArrayType(id_field.dataType))])).repartition(n, "key")
     values = pre.mapInArrow(_valuer(value_of), "key string, bucket int, data binary").repartition(n, "key")
     schema = T.StructType([id_type[0], T.StructField("value", value_type)])
-    return (pre.groupBy("key").cogroup(values.groupBy("key"))
+    # a condition on a row number stays above the exchange, which both sides then share
+    positions = pre.filter(F.when(F.monotonically_increasing_id() >= 0, F.col("bucket") < 0))
+    return (positions.groupBy("key").cogroup(values.groupBy("key"))
             .applyInArrow(_assembler(reduce, arrow_id, arrow_type, id_col), schema))
 
 
