@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..session import default_partitions, materialize, scratch_root
 
-__all__ = ["default_partitions", "materialize", "scratch_root", "scratch_path", "table", "strings", "bounded_batches", "pieces", "input_partitions"]
+__all__ = ["default_partitions", "materialize", "scratch_root", "scratch_path", "table", "strings", "bounded_batches", "pieces", "giving_back", "input_partitions"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +55,18 @@ def pieces(batch: pa.RecordBatch, text: str, limit: int = 2_000_000):
         at = to
 
 
+def giving_back(run):
+    """The batch function, after which the task's freed memory goes back to the system:
+    Python workers stay for later tasks and stages."""
+    def around(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)   # where the C library has it
+        if trim:
+            trim(0)
+    return around
+
+
 def input_partitions(df: DataFrame) -> int:
     """Partitions for a shuffle whose volume follows the input: at least the
     session's setting, at least one per input split."""

@@ -29,9 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, strings
+from .common import giving_back, materialize, strings
 
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 500_000       # about 40 bytes each while a shard is searched
+WINDOWS = 100_000           # windows searched at a time
 BLOCK_CHARS = 64_000_000    # benchmark text that is broadcast at a time
 
 #: ASCII: A-Z to a-z, digits and a-z kept, all else to a space; other bytes kept.
@@ -46,26 +47,26 @@ def suffix_array(tokens: np.ndarray, depth: int) -> np.ndarray:
     """Positions in the order of the suffixes' first ``depth`` tokens at least. ``tokens``: ids >= 0."""
     n = len(tokens)
     if not n:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int32)
     bits = max(1, int(tokens.max()).bit_length())
     h = max(1, min(depth, 63 // bits))
-    padded = np.concatenate([tokens.astype(np.int64), np.zeros(h, np.int64)])
-    key = padded[:n].copy()
+    key = tokens.astype(np.int64)
     for i in range(1, h):
-        key = (key << bits) | padded[i:i + n]
-    order = np.argsort(key, kind="stable")
+        key <<= bits
+        key[:max(0, n - i)] |= tokens[i:]
+    order = np.argsort(key, kind="stable").astype(np.int32)
     key = key[order]
     first = np.concatenate([[True], key[1:] != key[:-1]])
-    starts = np.maximum.accumulate(np.where(first, np.arange(n), 0))
-    rank = np.empty(n + 1, np.int64)
-    rank[order], rank[n] = starts + 1, 0
+    del key
+    rank = np.zeros(n + 1, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(first, np.arange(n, dtype=np.int32), np.int32(0))) + 1
     while h < depth:
         alone = first & np.concatenate([first[1:], [True]])
         slots = np.flatnonzero(~alone)
         if not len(slots):
             break
         at = order[slots]
-        pair = rank[at] * (n + 2) + rank[np.minimum(at + h, n)]
+        pair = rank[at].astype(np.int64) * (n + 2) + rank[np.minimum(at.astype(np.int64) + h, n)]
         by = np.argsort(pair, kind="stable")
         at, pair = at[by], pair[by]
         order[slots] = at
@@ -76,11 +77,11 @@ def suffix_array(tokens: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
-def find(tokens: np.ndarray, order: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ranges of ``order`` whose suffixes begin with each row of ``windows``, by binary search."""
+def find(tail: np.ndarray, order: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges of ``order`` whose suffixes begin with each row of ``windows``, by binary
+    search. ``tail``: the tokens and, after them, -1 for as many as a row is long."""
     n, w = len(order), windows.shape[1]
-    padded = np.concatenate([tokens, np.full(w, -1, tokens.dtype)])
-    offsets = np.arange(w)
+    offsets = np.arange(w, dtype=np.int32)
 
     def bound(upper: bool) -> np.ndarray:
         low, high = np.zeros(len(windows), np.int64), np.full(len(windows), n, np.int64)
@@ -89,7 +90,7 @@ def find(tokens: np.ndarray, order: np.ndarray, windows: np.ndarray) -> tuple[np
             if not len(open_):
                 return low
             mid = (low[open_] + high[open_]) >> 1
-            there = padded[order[mid][:, None] + offsets]
+            there = tail[order[mid][:, None] + offsets]
             differs = there != windows[open_]
             at = differs.argmax(axis=1)
             rows = np.arange(len(open_))
@@ -101,54 +102,66 @@ def find(tokens: np.ndarray, order: np.ndarray, windows: np.ndarray) -> tuple[np
     return bound(False), bound(True)
 
 
-def search_shard(texts: list[list[bytes]], items: list[list[bytes]], window: int):
-    """Per text: word count, hit spans [(start, end)), {item: (longest, item start, text start)}."""
-    index: dict[bytes, int] = {}
-    new = index.setdefault
-    lens = np.fromiter(map(len, texts), np.int64, len(texts))
-    starts = np.cumsum(lens + 1) - lens - 1
-    tokens = np.zeros(int((lens + 1).sum()), np.int64)
-    for s, words in zip(starts.tolist(), texts):
-        tokens[s:s + len(words)] = [new(w, len(index) + 1) for w in words]
-    coded = [np.array([index.get(w, -1) for w in words], np.int64) for words in items]
-    depth = max((len(c) for c in coded), default=1)
-    spans: list[list] = [[] for _ in texts]
-    found: list[dict] = [{} for _ in texts]
-    queries: dict[int, list] = {}
-    for i, c in enumerate(coded):
-        w = min(window, len(c))
-        if not w:
-            continue
-        for p in range(len(c) - w + 1):
-            if c[p:p + w].min() >= 0:
-                queries.setdefault(w, []).append((i, p))
-    if not queries:
+class Shard:
+    """Whole documents as word ids, gathered until they are searched together."""
+
+    def __init__(self):
+        self.index: dict[bytes, int] = {}
+        self.texts: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, words: list[bytes]) -> None:
+        new, index = self.index.setdefault, self.index
+        self.texts.append(np.fromiter((new(w, len(index) + 1) for w in words), np.int32, len(words)))
+        self.size += len(words) + 1
+
+    def search(self, items: list[list[bytes]], window: int):
+        """Per text: word count, hit spans [(start, end)), {item: (longest, item start, text start)}."""
+        lens = np.fromiter(map(len, self.texts), np.int64, len(self.texts))
+        starts = np.cumsum(lens + 1) - lens - 1
+        tokens = np.zeros(int((lens + 1).sum()), np.int32)
+        for s, text in zip(starts.tolist(), self.texts):
+            tokens[s:s + len(text)] = text
+        coded = [np.array([self.index.get(w, -1) for w in words], np.int32) for words in items]
+        spans: list[list] = [[] for _ in self.texts]
+        found: list[dict] = [{} for _ in self.texts]
+        places: dict[int, list] = {}   # by window length: (item, first word) of the windows whose words the shard has
+        for i, c in enumerate(coded):
+            w = min(window, len(c))
+            if w:
+                known = np.concatenate([[0], np.cumsum(c >= 0)])
+                at = np.flatnonzero(known[w:] - known[:-w] == w)
+                places.setdefault(w, []).append(np.stack([np.full(len(at), i), at], axis=1))
+        places = {w: np.concatenate(x) for w, x in places.items()}
+        if not any(map(len, places.values())):
+            return lens, spans, found
+        depth = max(map(len, coded))
+        order = suffix_array(tokens, depth)
+        order = order[tokens[order] > 0]
+        tail = np.concatenate([tokens, np.full(depth + 1, -1, np.int32)])
+        for w, all_ in places.items():
+            for part in (all_[x:x + WINDOWS] for x in range(0, len(all_), WINDOWS)):
+                windows = np.array([coded[i][p:p + w] for i, p in part.tolist()], np.int32).reshape(len(part), w)
+                low, high = find(tail, order, windows)
+                for k in np.flatnonzero(high > low):
+                    i, p = part[k].tolist()
+                    at = np.sort(order[low[k]:high[k]]).astype(np.int64)
+                    size = np.full(len(at), w, np.int64)
+                    going = np.arange(len(at))
+                    for q in range(p + w, len(coded[i])):
+                        going = going[tail[at[going] + (q - p)] == coded[i][q]]
+                        if not len(going):
+                            break
+                        size[going] += 1
+                    doc = np.searchsorted(starts, at, side="right") - 1
+                    for d, a, s in zip(doc.tolist(), (at - starts[doc]).tolist(), size.tolist()):
+                        if spans[d] and spans[d][-1][0] <= a <= spans[d][-1][1]:
+                            spans[d][-1] = (spans[d][-1][0], max(spans[d][-1][1], a + s))
+                        else:
+                            spans[d].append((a, a + s))
+                        if s > found[d].get(i, (0,))[0]:
+                            found[d][i] = (s, p, a)
         return lens, spans, found
-    order = suffix_array(tokens, depth)
-    order = order[tokens[order] > 0]
-    tail = np.concatenate([tokens, np.full(depth + 1, -1, np.int64)])
-    for w, places in queries.items():
-        windows = np.array([coded[i][p:p + w] for i, p in places])
-        low, high = find(tokens, order, windows)
-        for k in np.flatnonzero(high > low):
-            i, p = places[k]
-            at = np.sort(order[low[k]:high[k]])
-            size = np.full(len(at), w, np.int64)
-            going = np.arange(len(at))
-            for q in range(p + w, len(coded[i])):
-                going = going[tail[at[going] + (q - p)] == coded[i][q]]
-                if not len(going):
-                    break
-                size[going] += 1
-            doc = np.searchsorted(starts, at, side="right") - 1
-            for d, a, s in zip(doc.tolist(), (at - starts[doc]).tolist(), size.tolist()):
-                if spans[d] and spans[d][-1][0] <= a <= spans[d][-1][1]:
-                    spans[d][-1] = (spans[d][-1][0], max(spans[d][-1][1], a + s))
-                else:
-                    spans[d].append((a, a + s))
-                if s > found[d].get(i, (0,))[0]:
-                    found[d][i] = (s, p, a)
-    return lens, spans, found
 
 
 def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -171,10 +184,10 @@ def _scan(shared, window: int, shard_words: int):
         names, items = shared.value
         task = TaskContext.get()
         row = (task.partitionId() if task else 0) << 33
-        ids, rows, texts, size = [], [], [], 0
+        ids, rows, shard = [], [], Shard()
 
         def flush():
-            lens, spans, found = search_shard(texts, items, window)
+            lens, spans, found = shard.search(items, window)
             best: list[list] = []
             for f in found:
                 by: dict[str, tuple] = {}
@@ -190,18 +203,17 @@ def _scan(shared, window: int, shard_words: int):
         for batch in batches:
             column = batch.column(1)
             for k in range(batch.num_rows):
-                words = words_of(column[k].as_py())
-                ids.append(batch.column(0).slice(k, 1))
-                texts.append(words)
+                shard.add(words_of(column[k].as_py()))
+                ids.append(pa.array([batch.column(0)[k].as_py()], batch.column(0).type))
                 rows.append(row)
-                row, size = row + 1, size + len(words) + 1
-                if size >= shard_words:
+                row += 1
+                if shard.size >= shard_words:
                     yield flush()
-                    ids, rows, texts, size = [], [], [], 0
+                    ids, rows, shard = [], [], Shard()
         if ids:
             yield flush()
 
-    return run
+    return giving_back(run)
 
 
 def _merge(key, table):

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, pieces, strings
+from .common import giving_back, materialize, pieces, strings
 from .hashing import U, WordHash, mix
 
 WORDS_PER_EDIT = 10
@@ -110,9 +110,10 @@ def _lines(words_per_edit: int):
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc").take(take), batch.column("th").take(take), pa.array(number, pa.int32()), *signed, pa.array(n, pa.int32()), *halves],
                 names=["doc", "th", "line", "h1", "h2", "n", "k1", "k2", "k3", "k4"])
-    return run
+    return giving_back(run)
 
 
+@giving_back
 def _chosen_lines(batches):
     """Rows (doc, th, text, lines array<struct<line, h1, h2>>) to one row per listed line with its words."""
     for batch in (p for b in batches for p in pieces(b, "text")):
@@ -126,6 +127,7 @@ def _chosen_lines(batches):
         yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(words, pa.string())], names=["h1", "h2", "words"])
 
 
+@giving_back
 def _variants(batches):
     hashes = WordHash()
     for batch in (p for b in batches for p in pieces(b, "words")):
@@ -159,7 +161,7 @@ def _verify(words_per_edit: int):
                 if max(len(a), len(b)) >= words_per_edit and within_one_edit(a, b):
                     keep.append(k)
             yield batch.select(["h1", "h2"]).take(pa.array(keep, pa.int64()))
-    return run
+    return giving_back(run)
 
 
 def _rebuild(schema_names: list[str], text_col: str):
@@ -174,7 +176,7 @@ def _rebuild(schema_names: list[str], text_col: str):
                 removed.append(len(lines or ()))
             columns = {n: batch.column(n) for n in schema_names} | {text_col: pa.array(text, pa.string())}
             yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(removed, pa.int64())], names=[*columns, "_n_removed"])
-    return run
+    return giving_back(run)
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_edit: int = WORDS_PER_EDIT) -> DataFrame:

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import input_partitions, materialize, strings
+from .common import giving_back, input_partitions, materialize, strings
 from .hashing import U, WordHash, mix
 
 BANDS, ROWS = 48, 6
@@ -124,7 +124,7 @@ def _fingerprint(shingle_words: int, size: int):
                 sig.append(signature(prints, mult, add).tobytes() if len(prints) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cls, pa.binary()), pa.array(n, pa.int64()),
                                               pa.array(sig, pa.binary())], names=[batch.schema.names[0], "cls", "n_shingles", "sig"])
-    return run
+    return giving_back(run)
 
 
 def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
@@ -149,7 +149,7 @@ def _bands(rows: int):
             key = band_keys(signatures(batch.column("sig")), rows)
             at = np.arange(batch.num_rows + 1, dtype=np.int32) * key.shape[1]
             yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.ListArray.from_arrays(pa.array(at), pa.array(key.reshape(-1)))], names=["cls", "keys"])
-    return run
+    return giving_back(run)
 
 
 def alike(a: np.ndarray, b: np.ndarray, looks: list[tuple[int, int]]) -> np.ndarray:
@@ -168,7 +168,7 @@ def _prune(looks: list[tuple[int, int]]):
             if batch.num_rows:
                 alive = alike(signatures(batch.column("sig_a")), signatures(batch.column("sig_b")), looks)
                 yield batch.select(["a", "b"]).take(pa.array(alive))
-    return run
+    return giving_back(run)
 
 
 def _compare_blocks(looks: list[tuple[int, int]], rows: int, num: int, den: int):
@@ -207,7 +207,7 @@ def _prints(shingle_words: int):
             flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.ListArray.from_arrays(pa.array(upto), pa.array(flat.view(np.int64)))],
                                              names=["c1", "c2", "prints"])
-    return run
+    return giving_back(run)
 
 
 def _halves(batches):
@@ -231,7 +231,7 @@ def _verify(threshold: Fraction, shingle_words: int):
                 if threshold.denominator * same >= threshold.numerator * (len(last) + len(other) - same):
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
-    return run
+    return giving_back(run)
 
 
 def _texts(shingle_words: int):
@@ -245,7 +245,7 @@ def _texts(shingle_words: int):
                 cls.append(set_digest(prints) if len(prints) else None)
                 out.append(zip_((text or "").encode()))
             yield pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), pa.array(out, pa.binary())], names=["cls", "ztext"])
-    return run
+    return giving_back(run)
 
 
 def components(links: DataFrame) -> DataFrame:

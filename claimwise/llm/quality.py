@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import strings
+from .common import giving_back, strings
 
 MAX_TRAINING_ROWS = 20_000
 TREES, DEPTH, BINS, RATE, LAMBDA = 80, 4, 32, 0.15, 1.0
@@ -173,4 +173,4 @@ def drop_poor(docs: DataFrame, model: Trees, text_col: str = "text", threshold:
             x = np.array([statistics(t.as_py()) for t in column], np.float64).reshape(batch.num_rows, len(STATISTICS))
             yield batch.filter(pa.array(model.score(x) >= threshold, pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(giving_back(run), schema)

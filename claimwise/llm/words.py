@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import input_partitions, strings
+from .common import giving_back, input_partitions, strings
 
 CHUNK_CHARS = 4_000_000
 
@@ -131,7 +131,7 @@ def _pretokenizer(pattern: str, buckets: int, bucket_chars: int, chunk_chars: in
         if ids:
             yield flush()
 
-    return run
+    return giving_back(run)
 
 
 def _valuer(value_of: Callable[[list[str]], list[np.ndarray]]):
@@ -152,7 +152,7 @@ def _valuer(value_of: Callable[[list[str]], list[np.ndarray]]):
             yield pa.RecordBatch.from_arrays(
                 [batch.column("chunk"), batch.column("bucket"), pa.array(data, pa.binary())], names=["key", "bucket", "data"])
 
-    return run
+    return giving_back(run)
 
 
 def _assembler(reduce, id_type: pa.DataType, value_type: pa.DataType, id_name: str):
