@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import nan_to_null, poisson_deviance_term
+from ..session import materialize
 from .ordering import exact_quantiles
 
 # Metric names of the comparison, model order for ties.
@@ -96,7 +97,9 @@ def metric_rows(long: DataFrame, group_cols: Sequence[str] = ("model",), actual:
                 predicted: str = "predicted", sc: DataFrame | None = None) -> DataFrame:
     """One wide row per model (module semantics)."""
     g = list(group_cols)
-    sc = sc if sc is not None else scalars(long, g, actual, predicted)
+    if sc is None:
+        long = materialize(long.select(*g, actual, predicted), "scores")   # read by three passes: computed once
+        sc = scalars(long, g, actual, predicted)
     # broadcast bound: one row per model
     j = long.join(F.broadcast(sc), g)
     y, p = F.col(actual).cast("double"), F.col(predicted).cast("double")
@@ -147,6 +150,7 @@ def notebook_metrics(long: DataFrame, group_cols: Sequence[str] = ("model",), ac
                      predicted: str = "predicted") -> DataFrame:
     """M6 + M9: notebook deviance (capped input) and zero / non-zero RMSE, MAE."""
     g = list(group_cols)
+    long = materialize(long.select(*g, actual, predicted), "scores")   # read by three passes: computed once
     sc = scalars(long, g, actual, predicted)
     # broadcast bound: one row per model
     j = long.join(F.broadcast(sc), g)

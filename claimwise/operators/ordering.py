@@ -87,8 +87,8 @@ def prefix_sums(df: DataFrame, order_cols: Sequence, sum_cols: Sequence[str],
     wo = Window.partitionBy(*g).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_pid", *g, *[F.coalesce(F.sum(c).over(wo), F.lit(0)).alias(f"_off_{c}")
                                          for c in sum_cols])
-    keys = ["_pid", *g]
-    joined = local.join(offsets, [local[k].eqNullSafe(offsets[k]) for k in keys])
+    # _pid is never null: plain equality keeps it a join key; groups may be null
+    joined = local.join(offsets, [local["_pid"] == offsets["_pid"], *[local[k].eqNullSafe(offsets[k]) for k in g]])
     return joined.select(*[local[c] for c in df.columns],
                          *[(F.col(f"_off_{c}") + F.col(f"_loc_{c}")).alias(f"{prefix}{c}") for c in sum_cols])
 

@@ -62,7 +62,7 @@ def lift_table(df: DataFrame, n_bins: int = 10, group_cols: Sequence[str] = ("mo
     per_bin = r.groupBy(*g, b.alias("bin")).agg(
         F.avg(actual).alias("avg_actual"), F.avg(predicted).alias("avg_predicted"),
         F.count(F.lit(1)).cast("bigint").alias("count"))
-    overall = valid.groupBy(*g).agg(F.avg(actual).alias("_overall"))
+    overall = r.groupBy(*g).agg(F.avg(actual).alias("_overall"))   # from the staged ranks, not the source again
     # broadcast bound: one row per group
     return per_bin.join(F.broadcast(overall), g).select(
         *g, "bin", "avg_actual", "avg_predicted", "count",
@@ -70,11 +70,11 @@ def lift_table(df: DataFrame, n_bins: int = 10, group_cols: Sequence[str] = ("mo
         .alias("lift")).where(F.col("avg_actual").isNotNull() & F.col("avg_predicted").isNotNull())
 
 
-def _two_class_groups(valid: DataFrame, g: list[str], actual: str) -> DataFrame:
-    """F21 guard: groups with both classes present (one row per group)."""
-    return valid.groupBy(*g).agg(F.countDistinct(F.col(actual) > 0).alias("_k"),
-                                 F.sum((F.col(actual) > 0).cast("long")).alias("total_pos")) \
-                .where(F.col("_k") == 2).drop("_k")
+def _two_class_groups(per_score: DataFrame, g: list[str]) -> DataFrame:
+    """F21 guard: groups with both classes present (one row per group), from the
+    positives ``p`` and rows ``k`` per distinct score."""
+    return per_score.groupBy(*g).agg(F.sum("p").alias("total_pos"), F.sum("k").alias("_n")) \
+                    .where((F.col("total_pos") > 0) & (F.col("total_pos") < F.col("_n"))).drop("_n")
 
 
 def pr_curve(df: DataFrame, group_cols: Sequence[str] = ("model",), actual: str = "actual",
@@ -87,7 +87,7 @@ def pr_curve(df: DataFrame, group_cols: Sequence[str] = ("model",), actual: str
     per_score = valid.groupBy(*g, F.col(predicted).cast("double").alias("threshold")).agg(
         F.sum((F.col(actual) > 0).cast("long")).alias("p"), F.count(F.lit(1)).alias("k"))
     cum = prefix_sums(per_score, [F.col("threshold").desc()], ["p", "k"], group_cols=g)
-    totals = _two_class_groups(valid, g, actual)
+    totals = _two_class_groups(cum, g)
     # broadcast bound: one row per group
     pts = cum.join(F.broadcast(totals), g).select(
         *g, "threshold", "p",
