@@ -12,11 +12,13 @@ whether or not that one is kept itself.
 2. Two lines within one edit agree in the longer one's first or second half, so
    only lines whose half key another line has can have a near line. The others need
    no neighbourhood: this loses nothing and leaves the copies' lines.
-3. Those lines emit all variants with one word deleted, as hashes. Lines that
-   differ in word i have the same variant at i: all lines with one (variant, i) are
-   within one edit of each other, so the group's earliest is everyone's partner
-   and no pairs are made. A line one word longer has a variant that equals the
-   shorter line itself.
+3. Those of ``words_per_edit`` words or more emit all variants with one word
+   deleted, as hashes. Lines that differ in word i have the same variant at i: all
+   lines with one (variant, i) are within one edit of each other, so the group's
+   earliest is everyone's partner and no pairs are made. A line one word longer has
+   a variant that equals the shorter line itself; a shorter line, which may be one
+   word below ``words_per_edit``, needs no variants for that, and two such lines are
+   not near each other. So each candidate is a near line, and one is enough.
 4. Each line's earliest partner is verified by edit distance on the words.
 5. Each occurrence but the kept first ones goes; documents are rebuilt.
 
@@ -127,20 +129,23 @@ def _chosen_lines(batches):
         yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(words, pa.string())], names=["h1", "h2", "words"])
 
 
-@giving_back
-def _variants(batches):
-    hashes = WordHash()
-    for batch in (p for b in batches for p in pieces(b, "words")):
-        words = [w.encode().split(b" ") for w in batch.column("words").to_pylist()]
-        _, _, n, s, e, rolls = line_hashes(words, hashes)
-        line = np.repeat(np.arange(len(n)), n)
-        at = np.arange(int(n.sum()))
-        v = [finish(r.without(s[line], e[line], at), n[line] - 1, k) for k, r in enumerate(rolls)]
-        take = pa.array(line)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("h1").take(take), batch.column("h2").take(take), batch.column("f").take(take),
-             pa.array(v[0].view(np.int64)), pa.array(v[1].view(np.int64)), pa.array((at - s[line]).astype(np.int32)), pa.array(n[line].astype(np.int32))],
-            names=["h1", "h2", "f", "v1", "v2", "i", "n"])
+def _variants(words_per_edit: int):
+    """Rows (h1, h2, f, words) to one row per word left out, of the lines with ``words_per_edit`` words or more."""
+    def run(batches):
+        hashes = WordHash()
+        for batch in (p for b in batches for p in pieces(b, "words")):
+            words = [w.encode().split(b" ") for w in batch.column("words").to_pylist()]
+            _, _, n, s, e, rolls = line_hashes(words, hashes)
+            line = np.repeat(np.arange(len(n)), n)
+            at = np.flatnonzero(n[line] >= words_per_edit)
+            line = line[at]
+            v = [finish(r.without(s[line], e[line], at), n[line] - 1, k) for k, r in enumerate(rolls)]
+            take = pa.array(line)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("h1").take(take), batch.column("h2").take(take), batch.column("f").take(take),
+                 pa.array(v[0].view(np.int64)), pa.array(v[1].view(np.int64)), pa.array((at - s[line]).astype(np.int32)), pa.array(n[line].astype(np.int32))],
+                names=["h1", "h2", "f", "v1", "v2", "i", "n"])
+    return giving_back(run)
 
 
 def within_one_edit(a: list, b: list) -> bool:
@@ -203,7 +208,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
              .mapInArrow(_chosen_lines, "h1 bigint, h2 bigint, words string").groupBy("h1", "h2").agg(F.min("words").alias("words")))
     lines = materialize(listed.join(words, ["h1", "h2"]), "ld-words")
 
-    variants = materialize(lines.mapInArrow(_variants, T.StructType(
+    variants = materialize(lines.mapInArrow(_variants(words_per_edit), T.StructType(
         [*fields, lines.schema["f"], *[T.StructField(n, T.LongType()) for n in ("v1", "v2")], T.StructField("i", T.IntegerType()), T.StructField("n", T.IntegerType())])), "ld-variants")
     key = ["v1", "v2", "i", "n"]
     groups = (variants.groupBy(key).agg(F.min(F.struct("f", "h1", "h2")).alias("p"), F.max(F.struct("f", "h1", "h2")).alias("q"))

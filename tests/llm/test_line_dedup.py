@@ -87,6 +87,14 @@ def test_nulls_blank_repeated_rows_and_extra_columns(documents):
     assert result(out) == brute(rows)
 
 
+def test_short_lines_are_no_partners_of_each_other(documents):
+    """Two 9-word lines one word apart are not near; the earlier one must not hide the 10-word line that is."""
+    rows = [(1, "a b c d e f g h X"), (2, "a b c d e f g h i y"), (3, "a b c d e f g h i"), (4, "p q r s t u v w 1"), (5, "p q r s t u v w 2")]
+    got = result(ld.dedup_lines(documents(rows)))
+    assert got == brute(rows)
+    assert [n for *_, n in got] == [0, 0, 1, 0, 0]
+
+
 def test_empty_table(documents):
     assert result(ld.dedup_lines(documents([]))) == []
 
