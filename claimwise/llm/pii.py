@@ -8,6 +8,11 @@ same shape with the check digits made right again. The permutation depends on ke
 and format alone, so equal values have equal pseudonyms in every document, and
 different ones have different ones.
 
+Digits or capitals after a card or an IBAN may be read with it (expiry, CVV,
+currency): where the longest run is not valid, shorter ends between groups are
+tried, for an IBAN also its country's length. All calendar dates of the years 1 to
+9999 count; those from 1900 to 2099 stay in that range, the others outside it.
+
 Everything happens within a row: no shuffle. Null text stays null, with 0 values;
 extra columns pass through.
 """
@@ -28,6 +33,14 @@ from .common import strings
 ROUNDS = 10
 DAY0, DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal() - datetime.date(1900, 1, 1).toordinal()
 
+FAR = datetime.date.max.toordinal() - DAYS   # days before and after those
+
+#: Length of an IBAN by country.
+IBAN_LENGTH = {c: n for n, cs in {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC"}.items() for c in cs.split()}
+
 HEX = "0123456789abcdef"
 
 #: One scan of a text; a candidate is replaced only if it is valid.
@@ -66,10 +79,10 @@ class Permutation:
                 return x
 
 
-def _by_class(permute: Permutation, name: str, text: str) -> str:
-    """Letters to letters and digits to digits, hexadecimal strings to such, all at once; other characters stay."""
+def _by_class(permute: Permutation, name: str, text: str, hexadecimal: bool = True) -> str:
+    """Letters to letters and digits to digits, hexadecimal strings to such if they may be some, all at once; other characters stay."""
     kinds = (string.digits, string.ascii_lowercase, string.ascii_uppercase)
-    if len(text) > 8 and set(text) <= set(HEX) and set(text) & set(string.digits):
+    if hexadecimal and len(text) > 8 and set(text) <= set(HEX) and set(text) & set(string.digits):
         kinds = (HEX,)
     sets = [next((k for k in kinds if c in k), None) for c in text]
     n, x = 1, 0
@@ -103,6 +116,34 @@ def _card(permute, value: str) -> str | None:
     return _refill(value, body + str(-luhn(body + "0") % 10))
 
 
+DIGIT_GROUPS = re.compile(r"\d+(?:[ -]\d+)*")
+
+
+def _shorter_card(text: str, start: int, end: int) -> int | None:
+    """The end of the card that begins at ``start``, where the run to ``end`` is none: the
+    longest valid run of whole groups, unless it meets a longer one that begins later."""
+    stop = min(len(text), end + 40)
+    groups = [g.span() for g in re.finditer(r"\d+", DIGIT_GROUPS.match(text, start, stop)[0])]
+    if start + groups[-1][1] == stop < len(text) and text[stop].isdigit():
+        groups.pop()   # cut
+    valid = []
+    for i, (s, _) in enumerate(groups):
+        if start + s >= end or s and text[start + s - 1] == "-":
+            continue
+        digits = ""
+        for a, b in groups[i:]:
+            digits += text[start + a:start + b]
+            if len(digits) > 19:
+                break
+            if len(digits) >= 13 and digits.strip("0") and not luhn(digits):
+                valid.append((len(digits), -s, b))
+    best = None
+    while valid:
+        best = max(valid)
+        valid = [v for v in valid if v[2] <= -best[1]]
+    return start + best[2] if best and best[1] == 0 else None
+
+
 def _ssn(permute, value: str) -> str | None:
     area, group, serial = map(int, value.split("-"))
     if area in (0, 666) or area > 899 or not group or not serial:
@@ -131,16 +172,24 @@ def _phone(permute, value: str) -> str | None:
 
 
 def _day(year: int, month: int, day: int) -> int | None:
+    """Days from DAY0; negative or from DAYS on outside the years 1900 to 2099."""
     try:
-        x = datetime.date(year, month, day).toordinal() - DAY0
+        return datetime.date(year, month, day).toordinal() - DAY0
     except ValueError:
         return None
-    return x if 0 <= x < DAYS else None
+
+
+def _other_day(permute, name: str, x: int) -> datetime.date:
+    """A day of 1900 to 2099 for such a day, one outside for one outside."""
+    if 0 <= x < DAYS:
+        return datetime.date.fromordinal(DAY0 + permute(name, DAYS, x))
+    y = permute(name + "/far", FAR, x + DAY0 - 1 - (DAYS if x >= DAYS else 0))
+    return datetime.date.fromordinal(y + 1 + (DAYS if y + 1 >= DAY0 else 0))
 
 
 def _iso(permute, value: str) -> str | None:
     x = _day(*map(int, value.split("-")))
-    return None if x is None else datetime.date.fromordinal(DAY0 + permute("iso", DAYS, x)).isoformat()
+    return None if x is None else _other_day(permute, "iso", x).isoformat()
 
 
 #: Days past the 12th, where day and month cannot be taken for each other.
@@ -155,11 +204,14 @@ def _numeric(permute, value: str, late: list[int], late_at: dict[int, int]) -> s
     x = _day(year := int(year), int(b if day_first else a), int(a if day_first else b))
     if x is None:
         return None
-    if day_first and sep == "/":
-        x = late[permute("late", len(late), late_at[x])]
+    if not (day_first and sep == "/"):
+        d = _other_day(permute, "numeric" + sep, x)
+    elif x in late_at:
+        d = datetime.date.fromordinal(DAY0 + late[permute("late", len(late), late_at[x])])
     else:
-        x = permute("numeric" + sep, DAYS, x)
-    d = datetime.date.fromordinal(DAY0 + x)
+        d = _other_day(permute, "late", x)
+        while d.day <= 12:   # walk the cycle until the day is a late one again
+            d = _other_day(permute, "late", d.toordinal() - DAY0)
     first, second = (d.day, d.month) if day_first else (d.month, d.day)
     return f"{first:02d}{sep}{second:02d}{sep}{d.year:04d}"
 
@@ -169,11 +221,19 @@ def _iban(permute, value: str) -> str | None:
     number = lambda s: int("".join(str(int(c, 36)) for c in s))
     if not 15 <= len(flat) <= 34 or number(flat[4:] + flat[:4]) % 97 != 1:
         return None
-    body = _by_class(permute, "iban" + flat[:2], flat[4:])
+    body = _by_class(permute, "iban" + flat[:2], flat[4:], hexadecimal=False)   # all digits stay digits
     it = iter(flat[:2] + f"{98 - number(body + flat[:2] + '00') % 97:02d}" + body)
     return "".join(c if c == " " else next(it) for c in value)
 
 
+def _iban_ends(value: str) -> list[int]:
+    """Ends to try: the country's length if a group ends there, all, shorter ones between groups, the country's length within a group."""
+    n, at = IBAN_LENGTH.get(value[:2], 0), [i for i, c in enumerate(value) if c != " "]
+    own = [at[n - 1] + 1] if 0 < n <= len(at) else []
+    groups = [len(value), *(i for i in range(len(value) - 1, 0, -1) if value[i] == " ")]
+    return list(dict.fromkeys([*(e for e in own if e in groups), *groups, *own]))
+
+
 class Pseudonymizer:
     def __init__(self, key: bytes):
         self.permute = Permutation(key)
@@ -198,14 +258,20 @@ class Pseudonymizer:
         out, at, n, pos = [], 0, 0, 0
         while m := CANDIDATE.search(text, pos):
             kind = next(k for k in ("email", "secret", "key", "iban", "iso", "numeric", "ip", "ssn", "phone", "card") if m[k] is not None)
-            new = self.value(kind, m[kind])
+            start, end = m.span(kind)
+            if kind == "iban":
+                new, end = next(((v, start + e) for e in _iban_ends(m[kind]) if (v := self.value(kind, m[kind][:e])) is not None), (None, end))
+            else:
+                new = self.value(kind, m[kind])
+            if new is None and kind == "card" and (e := _shorter_card(text, start, end)):
+                new, end = self.value(kind, text[start:e]), e
             if new is None:   # not valid as this: something else may begin within it
                 pos = m.start() + 1
                 while pos < m.end() and text[pos].isalnum():
                     pos += 1
                 continue
-            out += [text[at:m.start(kind)], new]
-            at = pos = m.end(kind)
+            out += [text[at:start], new]
+            at = pos = end
             n += 1
         return "".join([*out, text[at:]]), n
 

@@ -25,6 +25,28 @@ def test_values_are_replaced_in_their_format(text, count):
     assert pii.Pseudonymizer(b"k").text(new)[1] == n    # what replaces a valid value is valid
 
 
+@pytest.mark.parametrize("value,around", [
+    ("4041 8949 7460 8795", "{} 12/27"), ("4041894974608795", "{} 123"), ("4041894974608795", "{}-123"), ("4041 8949 7460 8795", "12 {}"), ("4041 8949 7460 8795", "123456789 {} 12"),
+    ("4041 8949 7460 8795", "x {} 4041 8949 7460 8796"), ("BE68 5390 0754 7034", "{} EUR"), ("BE68539007547034", "{} 2024"), ("BE68 5390 0754 7034", "{} PAID TODAY"), ("BE68539007547034", "{}EUR"),
+    ("1884-02-29", "born {}."), ("2100-01-01", "until {}"), ("24/12/1899", "on {}"), ("12/24/2150", "on {}"), ("31.01.1850", "on {}")])
+def test_values_among_digits_and_capitals_and_far_dates(value, around):
+    p = pii.Pseudonymizer(b"k")
+    new, n = p.text(around.format(value))
+    alone, one = p.text(value)
+    assert n == one == 1 and alone != value
+    assert new == around.format(alone)   # the same pseudonym, and nothing else changed
+    assert p.text(alone)[1] == 1
+
+
+def test_far_dates_are_one_to_one():
+    p = pii.Pseudonymizer(b"k")
+    days = [d for y in (1899, 2099) for d in (datetime.date(y, 6, 1) + datetime.timedelta(i) for i in range(400))]
+    for form in ("{0:04d}-{1:02d}-{2:02d}", "{2:02d}.{1:02d}.{0:04d}", "{1:02d}/{2:02d}/{0:04d}", "{2:02d}/{1:02d}/{0:04d}"):
+        values = {form.format(d.year, d.month, d.day) for d in days}
+        new = {p.text(v) for v in values}
+        assert len({t for t, _ in new}) == len(values) and all(n == 1 for _, n in new)
+
+
 def test_dates_are_one_to_one():
     p = pii.Pseudonymizer(b"k")
     days = [datetime.date(1999, 1, 1) + datetime.timedelta(i) for i in range(400)]
