@@ -268,13 +268,17 @@ def verdicts(found: DataFrame, id_col: str = "doc_id", share: int = 20) -> DataF
         "longest_match", F.coalesce(F.array_max("longest_words"), F.lit(0))).drop("longest_words")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that are not contaminated. Documents are told apart by their id."""
-    bad = materialize(verdicts(matches(docs, benchmark, id_col=id_col, **options), id_col)
-                      .filter("contaminated").select(F.col(id_col).alias("bad")).distinct(), "dc-bad")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents that are not contaminated. Rows are told apart by id and text, so rows
+    with a null or repeated id each go by their own text."""
+    th = F.xxhash64(strings(docs, text_col))
+    kind = T.StructType([T.StructField("bad", docs.schema[id_col].dataType), T.StructField("bad_th", T.LongType())])   # nullable, as Arrow gives it back
+    placed = docs.select(F.struct(F.col(id_col), th).cast(kind).alias("place"), strings(docs, text_col).alias("text"))
+    bad = materialize(verdicts(matches(placed, benchmark, id_col="place", **options), "place")
+                      .filter("contaminated").select("place.*").distinct(), "dc-bad")
     if bad.count() <= 500_000:
         bad = F.broadcast(bad)
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("bad")), "left_anti")
+    return docs.join(bad, docs[id_col].eqNullSafe(bad["bad"]) & (th == bad["bad_th"]), "left_anti")
 
 
 def items_digest(item_ids: list[str]) -> str:

@@ -75,6 +75,15 @@ def test_decontaminate_keeps_clean_rows(spark, documents):
     assert out.columns == docs.columns and sorted(r[0] for r in out.collect()) == [2, 3, 4]
 
 
+@pytest.mark.parametrize("options", [{}, {"block_chars": 40}])
+def test_decontaminate_judges_each_row_by_its_own_text(spark, documents, options):
+    item = " ".join(f"q{i}" for i in range(20))
+    docs = documents([(None, item), (None, "clean text"), (None, None), (1, item), (1, "other clean text")], {"place": F.lit(0), "bad": F.lit("clash"), "bad_th": F.lit(1)})
+    out = dc.decontaminate(docs, spark.createDataFrame([(8, item)], "item_id long, text string"), **options)
+    assert out.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr) == sorted([(None, "clean text"), (None, None), (1, "other clean text")], key=repr)
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_suffix_array_order(seed):
     rng = np.random.default_rng(seed)
