@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontam, html_extract, line_dedup, near_dedup, pii, quality, token_counts, warc
+from . import ann, bpe, decontam, fill_middle, html_extract, line_dedup, near_dedup, pii, quality, token_counts, warc
 from .common import bounded_batches, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -62,6 +62,12 @@ def op10_token_counts(spark, sf_dir) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), scores, public_tokenizers.PATTERN)
 
 
+def op13_fill_in_middle(spark, sf_dir) -> DataFrame:
+    done = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(fill_middle.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLES = {
@@ -103,6 +109,21 @@ SELECT page_id, payload_bytes,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
 FROM p JOIN f USING (x)""",
+    "op13_fill_in_middle": """
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+h AS (
+  SELECT doc_id, text, u, len(u) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(u) + 1) AS x, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(u) + 1) AS y,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 90 THEN 'plain'
+      WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM t),
+c AS (
+  SELECT doc_id, text, n, form, coalesce(array_to_string(u[:least(x, y)], ''), '') AS p, coalesce(array_to_string(u[least(x, y) + 1:greatest(x, y)], ''), '') AS m,
+    coalesce(array_to_string(u[greatest(x, y) + 1:], ''), '') AS s FROM h)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM c""",
 }
 
 
@@ -115,4 +136,4 @@ def _bounded(query):
 
 
 QUERIES = {f.__name__: _bounded(f) for f in (op1_minhash_near_dedup, op2_benchmark_decontamination, op3_pii_pseudonyms, op4_html_extraction, op5_nearest_neighbours,
-                                   op6_line_dedup, op7_byte_bpe, op8_quality_classifier, op9_warc, op10_token_counts)}
+                                   op6_line_dedup, op7_byte_bpe, op8_quality_classifier, op9_warc, op10_token_counts, op13_fill_in_middle)}
