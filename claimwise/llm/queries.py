@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontam, fill_middle, html_extract, line_dedup, near_dedup, pii, quality, token_counts, warc
+from . import ann, bpe, decontam, fill_middle, hard_negatives, html_extract, line_dedup, near_dedup, pii, quality, token_counts, warc
 from .common import bounded_batches, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -62,6 +62,11 @@ def op10_token_counts(spark, sf_dir) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), scores, public_tokenizers.PATTERN)
 
 
+def op12_hard_negatives(spark, sf_dir) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, label)
+
+
 def op13_fill_in_middle(spark, sf_dir) -> DataFrame:
     done = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
@@ -109,6 +114,16 @@ SELECT page_id, payload_bytes,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
 FROM p JOIN f USING (x)""",
+    "op12_hard_negatives": """
+WITH e AS (
+  SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS a, a.label AS own, r.vec_id AS b, r.label, CAST(list_dot_product(a.v, r.v) AS BIGINT) AS s FROM e a JOIN e r ON a.vec_id <> r.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT a, own, b, s FROM s WHERE label = own QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.b) AS INTEGER) AS rank,
+  n.b AS negative_id, p.s AS positive_score, n.s AS negative_score
+FROM p JOIN s n ON n.a = p.a AND n.label <> p.own AND 50 * p.s <= 100 * n.s AND 100 * n.s <= 95 * p.s QUALIFY rank <= 3""",
     "op13_fill_in_middle": """
 WITH t AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
@@ -136,4 +151,4 @@ def _bounded(query):
 
 
 QUERIES = {f.__name__: _bounded(f) for f in (op1_minhash_near_dedup, op2_benchmark_decontamination, op3_pii_pseudonyms, op4_html_extraction, op5_nearest_neighbours,
-                                   op6_line_dedup, op7_byte_bpe, op8_quality_classifier, op9_warc, op10_token_counts, op13_fill_in_middle)}
+                                   op6_line_dedup, op7_byte_bpe, op8_quality_classifier, op9_warc, op10_token_counts, op12_hard_negatives, op13_fill_in_middle)}

@@ -60,7 +60,7 @@ def test_held_out_rule(spark):
 def test_queries_equal_their_sql(spark):
     import duckdb
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     for name, sql in ORACLES.items():
         rows = QUERIES[name](spark, SF)
