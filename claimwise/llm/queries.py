@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontam, fill_middle, hard_negatives, html_extract, line_dedup, near_dedup, pii, quality, token_counts, warc
+from . import ann, bpe, decontam, fill_middle, hard_negatives, html_extract, line_dedup, near_dedup, piece_bpe, pii, quality, token_counts, warc
 from .common import bounded_batches, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 #: The key of the registered query; a production run passes its own secret.
 DEMONSTRATION_KEY = b"claimwise demonstration key"
 
@@ -62,6 +63,11 @@ def op10_token_counts(spark, sf_dir) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), scores, public_tokenizers.PATTERN)
 
 
+def op11_sentencepiece(spark, sf_dir) -> DataFrame:
+    model = piece_bpe.load_model(PIECES)
+    return piece_bpe.digests(piece_bpe.encode(table(spark, sf_dir, "documents"), model), model)
+
+
 def op12_hard_negatives(spark, sf_dir) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, label)
@@ -151,4 +157,4 @@ def _bounded(query):
 
 
 QUERIES = {f.__name__: _bounded(f) for f in (op1_minhash_near_dedup, op2_benchmark_decontamination, op3_pii_pseudonyms, op4_html_extraction, op5_nearest_neighbours,
-                                   op6_line_dedup, op7_byte_bpe, op8_quality_classifier, op9_warc, op10_token_counts, op12_hard_negatives, op13_fill_in_middle)}
+                                   op6_line_dedup, op7_byte_bpe, op8_quality_classifier, op9_warc, op10_token_counts, op11_sentencepiece, op12_hard_negatives, op13_fill_in_middle)}
