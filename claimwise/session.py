@@ -75,6 +75,22 @@ def scratch_root(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/claimwise-{spark.sparkContext.applicationId}"
 
 
+def staged(df: DataFrame, label: str = "stage") -> tuple[DataFrame, str]:
+    """``df`` written once as Parquet under the checkpoint folder and read back, and the folder."""
+    spark = df.sparkSession
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that ``staged`` has written and that a newer one replaces."""
+    if not path.startswith(scratch_root(spark) + "/"):
+        raise ValueError(f"{path} is not one of this application's intermediates")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def materialize(df: DataFrame, label: str = "stage", min_partitions: int | None = None) -> DataFrame:
     """Write ``df`` once to the checkpoint folder as parquet and read it back.
 
@@ -86,9 +102,7 @@ def materialize(df: DataFrame, label: str = "stage", min_partitions: int | None
     file count already exceeds it and nothing extra happens.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    back = spark.read.parquet(path)
+    back, path = staged(df, label)
     if min_partitions and back.rdd.getNumPartitions() < min_partitions:
         path2 = f"{path}-spread"
         back.repartition(min_partitions).write.mode("overwrite").parquet(path2)

@@ -55,23 +55,6 @@ def test_boosting_lowers_training_deviance(spark, frame):
     assert math.isclose(imp["importance"].sum(), 1.0)
 
 
-def test_boosted_leaf_value_is_newton_step(spark, frame):
-    """Unregularised leaf weight -G/H equals the hessian-weighted mean of
-    z = -g/h that the Spark tree stores in the same leaf."""
-    from pyspark.ml.feature import VectorSlicer
-    mf, cols = frame
-    p = bst.BoostParams(objective="tweedie", rounds=1, reg_alpha=0.0, reg_lambda=0.0, subsample=1.0,
-                        colsample_bytree=1.0)
-    m = bst.fit_boosted(mf, "tweedie", cols, p)
-    idx, tree, weights = m.trees[0]
-    assert len(weights) <= 2 ** p.max_depth
-    data = glm.assembler(cols, "_fv").transform(m.prep.transform(mf))
-    data = VectorSlicer(inputCol="_fv", outputCol="_fs", indices=idx).transform(data)
-    out = tree.copy().setFeaturesCol("_fs").setLeafCol("_leaf").transform(data).select("_leaf", "prediction").collect()
-    for r in out:
-        assert abs(r["prediction"] - weights[r["_leaf"]]) < 1e-9 * max(1.0, abs(r["prediction"]))
-
-
 def test_split_is_stable_and_disjoint(spark):
     pol = src.policies(spark, SF)
     a = {r["IDpol"]: r["s"] for r in pol.select("IDpol", tg.split_column().alias("s")).collect()}
