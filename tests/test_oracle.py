@@ -4,7 +4,10 @@ import math
 
 import pytest
 
-from __spark_entry__ import oracle_sql, queries
+import __spark_entry__  # registers the queries
+from claimwise.plans.catalog import REGISTRY
+
+ORACLES = {name: sql for name, (_, sql) in REGISTRY.items() if sql}
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,11 +25,11 @@ def _rows(rows, cols):
     return sorted((tuple(_norm(r[i]) for i in order) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_oracle(spark, duck, name):
-    sdf = queries()[name](spark, SF)
+    sdf = REGISTRY[name][0](spark, SF)
     srows = [tuple(r) for r in sdf.collect()]
-    cur = duck.execute(oracle_sql()[name])
+    cur = duck.execute(ORACLES[name])
     drows = cur.fetchall()
     dcols = [d[0] for d in cur.description]
     assert sorted(sdf.columns) == sorted(dcols)
@@ -35,19 +38,18 @@ def test_query_matches_oracle(spark, duck, name):
 
 
 def test_entry_smoke(spark):
-    from __spark_entry__ import entry
-    df = entry(spark)
+    df = __spark_entry__.entry(spark)
     rows = df.collect()
     assert {r["RiskSegment"] for r in rows} <= {"Low", "Medium", "High"}
     assert sum(r["policies"] for r in rows) == 1500
 
 
-ROWS_ONLY = sorted(set(queries()) - set(oracle_sql()))
+ROWS_ONLY = sorted(set(REGISTRY) - set(ORACLES))
 
 
 @pytest.mark.parametrize("name", ROWS_ONLY)
 def test_rows_only_query_runs(spark, name):
-    df = queries()[name](spark, SF)
+    df = REGISTRY[name][0](spark, SF)
     rows = df.collect()
     assert len(rows) > 0
     # no NaN / null in the numeric results of the model queries
@@ -59,5 +61,23 @@ def test_rows_only_query_runs(spark, name):
 
 def test_every_query_name_carries_a_survey_id():
     import re
-    for name in queries():
+    for name in REGISTRY:
         assert re.match(r"^[a-m]\d\d_[a-z0-9_]+$", name), name
+
+
+def test_entry_without_training_data_operators(tmp_path):
+    """A copy without claimwise/llm and corpus_pipeline.py registers all other queries."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.abspath(__spark_entry__.__file__))
+    shutil.copytree(f"{root}/claimwise", tmp_path / "claimwise", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; print(len(e.queries())); print(len(e.oracle_sql()))"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    got = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, check=True).stdout.split()
+    assert got == [str(len(REGISTRY)), str(len(ORACLES))]
+    # the pipeline left behind, the operators gone
+    shutil.copy(f"{root}/corpus_pipeline.py", tmp_path) if os.path.exists(f"{root}/corpus_pipeline.py") else None
+    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, check=True).stdout.split() == got
