@@ -44,6 +44,38 @@ def align(actuals: DataFrame, predictions: DataFrame, key: str = "IDpol") -> tup
     return j.where(has_p & has_a), check
 
 
+class Misaligned(ValueError):
+    """Actuals and predictions do not hold the same keys; ``report`` has one row per side."""
+
+    def __init__(self, report: list[dict]):
+        self.report = report
+        super().__init__("; ".join(f"{r['n']} {r['side']}, first keys {r['first_keys']}" for r in report if r["n"]))
+
+
+def mismatches(actuals: DataFrame, predictions: DataFrame, key: str = "IDpol", listed: int = 20, matched: bool = False) -> DataFrame:
+    """M1: rows (side, n, first_keys) for ``missing_prediction``, ``missing_actual``, ``repeated_actual``
+    and ``repeated_prediction`` keys: counts and the smallest ``listed`` keys, from keyed anti-joins and key
+    counts. Null keys match nothing: each is missing on the other side."""
+    a, p = (d.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("c")) for d in (actuals, predictions))
+    sides = {"missing_prediction": a.join(p, "k", "left_anti"), "missing_actual": p.join(a, "k", "left_anti"),
+             "repeated_actual": a.where((F.col("c") > 1) & F.col("k").isNotNull()), "repeated_prediction": p.where((F.col("c") > 1) & F.col("k").isNotNull())}
+    out = None
+    for side, keys in sides.items():
+        # a list of ``listed`` keys at most: the first of each partition, then the first of those
+        first = keys.where(F.col("k").isNotNull()).orderBy("k").limit(listed).agg(F.array_sort(F.collect_list("k")).alias("first_keys"))
+        n = keys.agg(F.coalesce(F.sum(F.when(F.col("k").isNull(), F.col("c")).otherwise(1)), F.lit(0)).cast("bigint").alias("n"))
+        one = n.withColumn("one", F.lit(1)).join(first.withColumn("one", F.lit(1)), "one").select(F.lit(side).alias("side"), "n", "first_keys")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def require_aligned(actuals: DataFrame, predictions: DataFrame, key: str = "IDpol", listed: int = 20) -> None:
+    """Stops with ``Misaligned`` unless both sides hold the same keys, each once."""
+    report = [r.asDict() for r in mismatches(actuals, predictions, key, listed).collect()]     # four rows
+    if any(r["n"] for r in report):
+        raise Misaligned(report)
+
+
 MAX_BUFFERED_DISTINCT = 200_000
 MAX_FUSED_GROUPS = 64
 
@@ -155,7 +187,7 @@ def notebook_metrics(long: DataFrame, group_cols: Sequence[str] = ("model",), ac
     # broadcast bound: one row per model
     j = long.join(F.broadcast(sc), g)
     y, p = F.col(actual).cast("double"), F.col(predicted).cast("double")
-    pc = F.least(p, F.col("cap"))
+    pc = F.when(F.isnan(p), p).otherwise(F.least(p, F.col("cap")))   # as in metric_rows: NaN is not scored as the cap
     r2, ra = (y - p) * (y - p), F.abs(y - p)
     return j.groupBy(*g).agg(
         F.avg(poisson_deviance_term(y, pc, "notebook")).alias("poisson_deviance_nb"),
@@ -225,3 +257,11 @@ def top_errors(long: DataFrame, n: int = 10, group_cols: Sequence[str] = ("model
         t = base.where(F.col(group_cols[0]) == m).orderBy(F.desc("abs_error"), key).limit(n)
         out = t if out is None else out.unionByName(t)
     return out
+
+
+def best_model_errors(long: DataFrame, model: str, features: DataFrame, n: int = 10, key: str = "IDpol") -> DataFrame:
+    """H6: the model's n largest absolute errors (ties by key) with all columns of ``features``."""
+    e = long.where(F.col("model") == model).select("model", key, "actual", "predicted", F.abs(F.col("actual") - F.col("predicted")).alias("error"))
+    # broadcast bound: n rows
+    return features.join(F.broadcast(e.orderBy(F.desc("error"), key).limit(n)), key).select(
+        "model", key, "actual", "predicted", "error", *[c for c in features.columns if c != key])

@@ -9,7 +9,7 @@ log-exposure offset). ``boost.py`` has the tree version.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -75,8 +75,21 @@ class FittedGLM:
         return active_session().createDataFrame(rows, "model string, feature string, importance double")
 
     def save(self, path: str) -> None:
-        """Spark ML writer (pipeline with assembler, scaler, GLM)."""
+        """Spark ML writer (pipeline with assembler, scaler, GLM), and beside it the
+        target preparation, the columns and the clamp as one row of JSON."""
+        import json
         self.pipeline.write().overwrite().save(path)
+        meta = {"version": 1, "name": self.name, "prep": asdict(self.prep), "feature_cols": self.feature_cols, "nonnegative": self.nonnegative,
+                "offset_at_predict": self.offset_at_predict}
+        active_session().createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/state")
+
+    @classmethod
+    def load(cls, path: str) -> "FittedGLM":
+        import json
+        meta = json.loads(active_session().read.text(f"{path}/state").first()[0])
+        if meta.pop("version") != 1:
+            raise ValueError(f"{path}: another version of a saved model")
+        return cls(meta["name"], PipelineModel.load(path), TargetPrep(**meta["prep"]), meta["feature_cols"], meta["nonnegative"], meta["offset_at_predict"])
 
 
 def fit_glm(train: DataFrame, name: str, family: str = "poisson", variance_power: float = 1.5,
@@ -116,10 +129,12 @@ def load_glm(path: str, name: str, prep: TargetPrep, feature_cols: Sequence[str]
 
 def ranked_importance(imp: DataFrame, top: int | None = None) -> DataFrame:
     """H1/H3/H4: sorted by importance desc (feature breaks ties); with ``top``,
-    the first ``top`` per model (the window holds one model's feature list,
-    bounded by the feature count)."""
-    w = Window.partitionBy("model").orderBy(F.desc("importance"), "feature")
-    r = imp.withColumn("rank", F.row_number().over(w))
+    the first ``top`` per model by one aggregate (buffer and window hold one
+    model's feature list, bounded by the feature count)."""
     if top is not None:
-        r = r.where(F.col("rank") <= top)
-    return r
+        first = F.array_sort(F.collect_list(F.struct((-F.col("importance")).alias("i"), "feature")))
+        kept = imp.groupBy("model").agg(F.slice(first, 1, top).alias("_t"))
+        return kept.select("model", F.posexplode("_t").alias("_p", "_f")).select(
+            "model", F.col("_f.feature").alias("feature"), (-F.col("_f.i")).alias("importance"), (F.col("_p") + 1).alias("rank"))
+    w = Window.partitionBy("model").orderBy(F.desc("importance"), "feature")
+    return imp.withColumn("rank", F.row_number().over(w))

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -140,16 +142,17 @@ def category_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
                .orderBy("variable", F.desc("count"), "value")
 
 
-def correlation_pairs(df: DataFrame, cols: Sequence[str], chunk: int = 16) -> DataFrame:
+def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pearson correlation, lower triangle without diagonal (pair (x, y)
     with y before x in ``cols``).
 
     Two passes instead of one ``corr`` per pair: means and null counts, then
     centred cross-product sums S_xy (numerically stable, a single plain
     ``sum`` buffer per pair, so whole-stage codegen survives hundreds of
-    pairs); r = S_xy / sqrt(S_xx S_yy). Columns with nulls fall back to
-    pairwise-complete ``corr`` in chunks of ``chunk`` aggregates per job; NaN
-    counts as null."""
+    pairs); r = S_xy / sqrt(S_xx S_yy). With nulls every pair counts the rows
+    where both are there: block-wise products of the centred columns and of
+    their masks give all pairs' sums in one job (``_masked_products``). NaN counts
+    as null; a pair with an infinite value has no correlation."""
     cols = list(cols)
     pairs = [(cols[i], cols[j]) for i in range(len(cols)) for j in range(i)]
     x = {c: nan_to_null(c) for c in cols}
@@ -165,14 +168,41 @@ def correlation_pairs(df: DataFrame, cols: Sequence[str], chunk: int = 16) -> Da
             den = (sums[f"s\u0001{a}\u0001{a}"] * sums[f"s\u0001{b}\u0001{b}"]) ** 0.5
             rows.append((a, b, sums[f"s\u0001{a}\u0001{b}"] / den if den else None))
         return spark.createDataFrame(rows, "var_x string, var_y string, corr double")
+    means = [first[f"m\u0001{c}"] for c in cols]
+    means = [v if v is not None and abs(v) < float("inf") else 0.0 for v in means]      # any shift gives the same result
+    values = F.array(*[F.coalesce(x[c], F.lit(float("nan"))) for c in cols])
+    cells = df.select(values.alias("x")).mapInArrow(_masked_products(means), "cell int, v double").groupBy("cell").agg(F.sum("v").alias("v")).collect()
+    sums = np.zeros((5, len(cols), len(cols)))       # bounded by the columns, not the rows
+    for r in cells:
+        sums.reshape(-1)[r["cell"]] = r["v"]
+    dd, dm, qm, mm, im = sums
     out = []
-    for k in range(0, len(pairs), chunk):
-        part = pairs[k:k + chunk]
-        r = df.agg(*[F.corr(x[a], x[b]).alias(f"{a}\u0001{b}") for a, b in part]).first()
-        out += [(a, b, r[f"{a}\u0001{b}"]) for a, b in part]
+    for i in range(len(cols)):
+        for j in range(i):
+            n, value = mm[i, j], None
+            if n and not im[i, j] and not im[j, i]:
+                den = (qm[i, j] - dm[i, j] ** 2 / n) * (qm[j, i] - dm[j, i] ** 2 / n)
+                value = float((dd[i, j] - dm[i, j] * dm[j, i] / n) / den ** 0.5) if den > 0 else None
+            out.append((cols[i], cols[j], value))
     return spark.createDataFrame(out, "var_x string, var_y string, corr double")
 
 
+def _masked_products(means: list):
+    """Rows (cell, v): entries of the five matrices of sums over the rows where both columns of a
+    pair are there: products, values, squares, rows, infinite values."""
+    width = len(means)
+
+    def run(batches):
+        total = np.zeros((5, width, width))
+        for batch in batches:
+            x = np.asarray(batch.column(0).flatten().to_numpy(zero_copy_only=False), float).reshape(batch.num_rows, width)
+            there, endless = (~np.isnan(x)).astype(float), np.isinf(x)
+            d = np.where(np.isfinite(x), x - np.array(means), 0.0)
+            total += [d.T @ d, d.T @ there, (d * d).T @ there, there.T @ there, endless.T.astype(float) @ there]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size), pa.int32()), pa.array(total.reshape(-1))], names=["cell", "v"])
+    return run
+
+
 def claim_class(target: str = "ClaimNb"):
     y = F.col(target)
     return F.when(y == 0, "none").when(y == 1, "one").when(y > 1, "many")

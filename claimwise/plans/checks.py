@@ -4,18 +4,24 @@ operators that the other queries use only inside a model."""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import nan_to_num
+from ..functions.exprs import finite_or_null, nan_to_num
 from ..operators import evaluate as ev
-from ..operators import ordering
+from ..operators import features as feat
+from ..operators import glm, ordering
 from ..operators import profile as prof
 from ..operators import ranking as rk
 from ..operators import target as tg
+from ..session import materialize, scratch_root
+from ..sources import sinks
 from ..sources import tables as src
 from . import oracle_sql as O
-from .catalog import query
+from .catalog import FEATURE_COLUMNS, query
 
 
 def with_bad_rows(df: DataFrame, cols, kinds=("nan", "inf", "-inf", None), key: str = "IDpol") -> DataFrame:
@@ -108,12 +114,102 @@ def q_finite_pairs(spark, sf):
     return rk.finite_pair_counts(_scores(spark, sf))
 
 
-@query("m10_threshold_injected", _LONG + ", s AS (SELECT model, count(*) AS n, avg(CASE WHEN actual > 0 THEN 1.0 ELSE 0.0 END) AS rate FROM bad GROUP BY model) "
-       "SELECT b.model, CAST(any_value(s.n) AS BIGINT) AS n, round(any_value(s.rate), 9) AS claim_rate, "
-       "round(quantile_cont(CASE WHEN actual > 0 THEN CAST(actual AS DOUBLE) END, 0.999) * 1.5, 6) AS cap FROM bad b JOIN s USING (model) GROUP BY b.model")
+_THRESHOLD_SQL = _LONG + (
+    ", s AS (SELECT model, count(*) AS n, avg(CASE WHEN actual > 0 THEN 1.0 ELSE 0.0 END) AS rate, "
+    "quantile_cont(CASE WHEN actual > 0 THEN CAST(actual AS DOUBLE) END, 0.999) * 1.5 AS cap FROM bad GROUP BY model), "
+    "v AS (SELECT b.model, b.predicted AS x, row_number() OVER (PARTITION BY b.model ORDER BY b.predicted) - 1 AS i, count(*) OVER (PARTITION BY b.model) AS k "
+    "FROM bad b WHERE b.predicted IS NOT NULL AND NOT isnan(b.predicted)), "
+    "q AS (SELECT v.model, any_value((k - 1) * (1 - s.rate)) AS pos, max(CASE WHEN i = floor((k - 1) * (1 - s.rate)) THEN x END) AS lo, "
+    "max(CASE WHEN i = ceil((k - 1) * (1 - s.rate)) THEN x END) AS hi FROM v JOIN s ON s.model = v.model GROUP BY v.model) "
+    "SELECT s.model, CAST(s.n AS BIGINT) AS n, round(s.rate, 9) AS claim_rate, round(s.cap, 6) AS cap, "
+    "round(CASE WHEN q.lo = q.hi THEN q.lo ELSE (ceil(q.pos) - q.pos) * q.lo + (q.pos - floor(q.pos)) * q.hi END, 6) AS threshold FROM s JOIN q ON q.model = s.model")
+
+
+def _scalar_row(spark, sf):
+    return ev.scalars(_scores(spark, sf)).select("model", "n", F.round("claim_rate", 9).alias("claim_rate"), F.round("cap", 6).alias("cap"),
+                                                 F.round("threshold", 6).alias("threshold"))
+
+
+@query("m10_threshold_injected", _THRESHOLD_SQL)
 def q_scalars(spark, sf):
-    """M2/M10 scalars do not move with NaN predictions."""
-    return ev.scalars(_scores(spark, sf)).select("model", "n", F.round("claim_rate", 9).alias("claim_rate"), F.round("cap", 6).alias("cap"))
+    """M2/M10 scalars where predictions hold NaN (skipped), nulls (skipped) and infinities (kept)."""
+    return _scalar_row(spark, sf)
+
+
+@query("m10_threshold_injected_distributed", _THRESHOLD_SQL)
+def q_scalars_distributed(spark, sf):
+    """The same with nothing buffered."""
+    before, ev.MAX_BUFFERED_DISTINCT = ev.MAX_BUFFERED_DISTINCT, 0
+    try:
+        return materialize(_scalar_row(spark, sf), "scalars")
+    finally:
+        ev.MAX_BUFFERED_DISTINCT = before
+
+
+@query("m06_notebook_deviance_injected", _LONG + (
+    ", s AS (SELECT model, quantile_cont(CASE WHEN actual > 0 THEN CAST(actual AS DOUBLE) END, 0.999) * 1.5 AS cap FROM bad GROUP BY model), "
+    "d AS (SELECT b.model, CASE WHEN isnan(predicted) THEN predicted ELSE greatest(least(predicted, s.cap), 1e-10) END AS p, greatest(CAST(actual AS DOUBLE), 1e-10) AS y "
+    "FROM bad b JOIN s ON s.model = b.model WHERE predicted IS NOT NULL), "
+    "t AS (SELECT model, CASE WHEN isnan(p) THEN 0 ELSE 2 * (y * ln(y / p) - (y - p)) END AS dev FROM d) "
+    "SELECT model, round(avg(least(dev, 1e6)), 6) AS poisson_deviance_nb FROM t GROUP BY model"))
+def q_notebook_deviance(spark, sf):
+    """M6 notebook deviance: a NaN prediction counts 0 (D8), not as the cap."""
+    long = _scores(spark, sf).where("predicted IS NOT NULL")
+    return ev.notebook_metrics(long).select("model", F.round("poisson_deviance_nb", 6).alias("poisson_deviance_nb"))
+
+
+_CORR = ["Density", "Exposure", "BonusMalus", "DrivAge"]
+
+
+@query("f09_correlation_injected", _with(", gaps AS (SELECT IDpol, " + ", ".join(f"{bad_sql(c, k)} AS {c}" for c, k in zip(_CORR, [("nan", None), (None, "nan", "nan"), ("nan",), ()]))
+       + " FROM policies), g AS (SELECT " + ", ".join(f"CASE WHEN NOT isnan({c}) THEN {c} END AS {c}" for c in _CORR) + " FROM gaps) ").replace("CASE  ELSE", "CASE WHEN FALSE THEN NULL ELSE")
+       + " UNION ALL ".join(f"SELECT '{_CORR[i]}' AS var_x, '{_CORR[j]}' AS var_y, round(corr({_CORR[i]}, {_CORR[j]}), 9) AS corr FROM g" for i in range(4) for j in range(i)))
+def q_correlation(spark, sf):
+    """F9 where NaN and nulls differ from column to column: each pair over its complete rows."""
+    df = src.policies(spark, sf).select("IDpol", *_CORR)
+    for c, kinds in zip(_CORR, [("nan", None), (None, "nan", "nan"), ("nan",), ()]):
+        df = with_bad_rows(df, [c], kinds)
+    return prof.correlation_pairs(df, _CORR).select("var_x", "var_y", F.round("corr", 9).alias("corr"))
+
+
+@query("d02_blank_non_finite", _with(_BAD) + "SELECT IDpol, " + ", ".join(f"CASE WHEN isfinite({c}) THEN {c} END AS {c}" for c in _COLS) + " FROM bad")
+def q_blank(spark, sf):
+    """NaN and infinities become null."""
+    return _policies(spark, sf).select("IDpol", *[finite_or_null(c).alias(c) for c in _COLS])
+
+
+@query("a06_csv_sink", O.POLICIES + "SELECT IDpol, ClaimNb, Exposure, VehPower, VehAge, DrivAge, BonusMalus, Density FROM policies")
+def q_csv(spark, sf):
+    """Rows written as CSV with a header and read back."""
+    p = src.policies(spark, sf).select("IDpol", "ClaimNb", "Exposure", "VehPower", "VehAge", "DrivAge", "BonusMalus", "Density")
+    path = f"{scratch_root(spark)}/csv-{uuid.uuid4().hex}"
+    sinks.write_csv(p, path)
+    return spark.read.schema(p.schema).option("header", True).csv(path)
+
+
+_MODEL_COLUMNS = [c for c in FEATURE_COLUMNS if c not in ("IDpol", "ClaimNb")]
+
+
+def _coded(c: str) -> str:
+    if c == "BM_Segment":
+        return ("CASE BM_Segment WHEN 'Base (50)' THEN 0 WHEN 'Moderate (51-75)' THEN 1 WHEN 'High (76-100)' THEN 2 WHEN 'Very High (>100)' THEN 3 ELSE -1 END")
+    return "CASE RiskSegment WHEN 'High' THEN 0 WHEN 'Low' THEN 1 WHEN 'Medium' THEN 2 ELSE -1 END" if c == "RiskSegment" else c
+
+
+@query("l07_model_matrix", O.FEATURES + " UNION ALL ".join(
+    f"SELECT {i} AS position, '{c}' AS column_name, round(avg(CAST({_coded(c)} AS DOUBLE)), 6) AS mean, round(stddev_pop(CAST({_coded(c)} AS DOUBLE)), 6) AS sd FROM features"
+    for i, c in enumerate(_MODEL_COLUMNS)))
+def q_matrix(spark, sf):
+    """C6 + L7: the 51 assembled inputs, without key and target, in their order, with the mean and
+    sd of each place of the assembled vector."""
+    frame = glm.model_frame(feat.engineer(src.policies(spark, sf))[0])
+    cols = feat.model_columns(frame)
+    vectors = glm.assembler(cols, "v").transform(frame).select(vector_to_array("v").alias("v"))
+    at = [F.col("v")[i] for i in range(len(cols))]
+    row = vectors.agg(F.array(*[F.avg(c) for c in at]).alias("m"), F.array(*[F.stddev_pop(c) for c in at]).alias("s"))
+    return row.select(F.posexplode(F.arrays_zip("m", "s")).alias("position", "x")).select(
+        F.col("position").cast("int").alias("position"), F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("position") + 1).alias("column_name"),
+        F.round("x.m", 6).alias("mean"), F.round("x.s", 6).alias("sd"))
 
 
 @query("l04_to_counts", O.POLICIES + "SELECT IDpol, round(least(ClaimNb / 2.0, 1.0) * greatest(Exposure, 0.05), 9) AS n, "

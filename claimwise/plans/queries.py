@@ -14,7 +14,7 @@ from ..operators import target as tg
 from ..operators.ordering import global_row_number
 from ..sources import tables as src
 from . import oracle_sql as O
-from .catalog import features, policies, query, r6
+from .catalog import FEATURE_COLUMNS, TRANSCENDENTAL, _feature_dump, features, policies, query, r6
 
 MODELS = src.MODELS
 
@@ -290,7 +290,8 @@ def q_best_model(spark, sf):
 
 
 # ------------------------------------------------------------------ E / H: errors
-_CONTEXT = ["Exposure", "VehPower", "VehAge", "DrivAge", "BonusMalus", "Density"]
+# The policy columns beside each error, as the reference study shows them.
+CONTEXT = ["Exposure", "VehPower", "VehAge", "DrivAge", "BonusMalus", "Density"]
 
 
 @query("e01_error_frame", sql(f"""
@@ -298,19 +299,19 @@ SELECT s.IDpol, s.actual, s.predicted_standard, s.predicted_poisson, s.predicted
        s.predicted_standard - s.actual AS error_standard, abs(s.predicted_standard - s.actual) AS abs_error_standard,
        s.predicted_poisson - s.actual AS error_poisson, abs(s.predicted_poisson - s.actual) AS abs_error_poisson,
        s.predicted_tweedie - s.actual AS error_tweedie, abs(s.predicted_tweedie - s.actual) AS abs_error_tweedie,
-       {", ".join("f." + c for c in _CONTEXT)}
+       {", ".join("f." + c for c in CONTEXT)}
 FROM scored s LEFT JOIN features f ON s.IDpol = f.IDpol""", base="features_scored"))
 def q_error_frame(spark, sf):
     pol = policies(spark, sf)
     fe = feat.engineer(pol)[0]
-    return ev.error_frame(src.scored_from(pol), fe, MODELS, context_cols=_CONTEXT)
+    return ev.error_frame(src.scored_from(pol), fe, MODELS, context_cols=CONTEXT)
 
 
 @query("h02_top_errors", sql("""
 e AS (SELECT model, IDpol, actual, predicted, predicted - actual AS error, abs(predicted - actual) AS abs_error,
              row_number() OVER (PARTITION BY model ORDER BY abs(predicted - actual) DESC, IDpol) AS rn FROM long_scores)""",
                              f"""SELECT e.model, e.IDpol, e.actual, e.predicted, e.error, e.abs_error,
-       {", ".join("f." + c for c in _CONTEXT)} FROM e JOIN features f ON e.IDpol = f.IDpol WHERE rn <= 10""",
+       {", ".join("f." + c for c in CONTEXT)} FROM e JOIN features f ON e.IDpol = f.IDpol WHERE rn <= 10""",
                              base="features_scored"))
 def q_top_errors(spark, sf):
     """H2: ten largest absolute errors per model with policy context."""
@@ -318,27 +319,25 @@ def q_top_errors(spark, sf):
     top = ev.top_errors(src.long_scores(src.scored_from(pol)), 10, models=MODELS)
     fe = feat.engineer(pol)[0]
     # broadcast bound: ten rows per model
-    return fe.select("IDpol", *_CONTEXT).join(F.broadcast(top), "IDpol").select(
-        "model", "IDpol", "actual", "predicted", "error", "abs_error", *_CONTEXT)
+    return fe.select("IDpol", *CONTEXT).join(F.broadcast(top), "IDpol").select(
+        "model", "IDpol", "actual", "predicted", "error", "abs_error", *CONTEXT)
+
+
+_ALL_FEATURES = ", ".join(f"round(f.{c}, 6) AS {c}" if c in TRANSCENDENTAL else f"f.{c}" for c in FEATURE_COLUMNS if c != "IDpol")
 
 
 @query("h06_best_model_top_errors", sql(*_BEST_SQL_CTES, f"""
 e AS (SELECT l.model, l.IDpol, l.actual, l.predicted, abs(l.actual - l.predicted) AS error
       FROM long_scores l JOIN best b ON l.model = b.model ORDER BY error DESC, l.IDpol LIMIT 10)""", f"""
-SELECT e.*, {", ".join("f." + c for c in _CONTEXT)} FROM e JOIN features f ON e.IDpol = f.IDpol""",
+SELECT e.*, {_ALL_FEATURES} FROM e JOIN features f ON e.IDpol = f.IDpol""",
                                         base="features_scored"))
 def q_best_top_errors(spark, sf):
+    """H6: the best model's ten largest errors with every feature of the policies."""
     pol = policies(spark, sf)
     long = src.long_scores(src.scored_from(pol))
-    best = ev.best_model(ev.metric_rows(long)).select("model")
-    # broadcast bound: one row (the best model)
-    e = long.join(F.broadcast(best), "model").select(
-        "model", "IDpol", "actual", "predicted", F.abs(F.col("actual") - F.col("predicted")).alias("error"))
-    top = e.orderBy(F.desc("error"), "IDpol").limit(10)
+    best = ev.best_model(ev.metric_rows(long)).first()["model"]       # one row
     fe = feat.engineer(pol)[0]
-    # broadcast bound: ten rows
-    return fe.select("IDpol", *_CONTEXT).join(F.broadcast(top), "IDpol").select(
-        "model", "IDpol", "actual", "predicted", "error", *_CONTEXT)
+    return ev.best_model_errors(long, best, _feature_dump(fe, FEATURE_COLUMNS), 10)
 
 
 FIRST_N = 10_000   # rows of the H5 subset, as the reference study takes
@@ -351,7 +350,6 @@ FIRST_N = 10_000   # rows of the H5 subset, as the reference study takes
         "CompositeRiskScore", "RiskSegment"]) + " FROM features ORDER BY IDpol LIMIT {FIRST_N}".replace("{FIRST_N}", str(FIRST_N)), base="features"))
 def q_first_n(spark, sf, n: int = FIRST_N):
     """H5: the first n rows by key, by a distributed rank."""
-    from .catalog import _feature_dump
     cols = ["IDpol", "ClaimNb", "Exposure", "Area", "VehPower", "VehAge", "DrivAge", "BonusMalus", "VehBrand",
             "VehGas", "Density", "Region", "VeryShortExposure", "LogDensity", "DensityGroup", "LogExposure", "BM_Exp",
             "CompositeRiskScore", "RiskSegment"]
@@ -537,12 +535,27 @@ def q_key_metrics(spark, sf):
     return m.select("model", *[r9(c).alias(c) for c in ev.KEY_METRICS])
 
 
-@query("a07_comparison_summary", sql(*_SCALAR_CTES, _KEY_M_CTE, """
+_A7_COLUMNS = ["VehPower", "VehAge", "DrivAge", "BonusMalus", "Density", "LogDensity", "BM_Power", "BM_Age", "CompositeRiskScore", "VehAgePower", "Area", "Region"]
+
+
+@query("a07_comparison_summary", sql(*_SCALAR_CTES, _KEY_M_CTE,
+       "v AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, {i} AS i, avg(CAST({c} AS DOUBLE)) AS a, stddev_pop(CAST({c} AS DOUBLE)) AS s FROM features" for i, c in enumerate(_A7_COLUMNS)) + ")",
+       "w AS (SELECT x.model, feature, round(s / a / (1 + (i + x.shift) % 5), 6) AS importance FROM v, (VALUES ('standard', 0), ('poisson', 1), ('tweedie', 2)) x(model, shift))",
+       "t AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY importance DESC, feature) AS rn FROM w)", """
 SELECT 'metrics' AS section, model, name, round(value, 9) AS value FROM m
-UNPIVOT (value FOR name IN (rmse, mae, r2, poisson_deviance, f1))"""))
+UNPIVOT (value FOR name IN (rmse, mae, r2, poisson_deviance, f1))
+UNION ALL SELECT 'top_features', model, feature, importance FROM t WHERE rn <= 10""", base="features_scored"))
 def q_summary(spark, sf):
+    """Key metrics, and each model's ten most important features from an importance table
+    that SQL can make too (coefficients of variation, weighted by place and model)."""
     from ..sources import sinks
-    s = sinks.summary_table(ev.metric_rows(long_scores(spark, sf)), None, ev.KEY_METRICS)
+    pol = policies(spark, sf)
+    fe = feat.engineer(pol)[0]
+    row = fe.agg(*[F.avg(F.col(c).cast("double")).alias(f"a{c}") for c in _A7_COLUMNS],
+                 *[F.stddev_pop(F.col(c).cast("double")).alias(f"s{c}") for c in _A7_COLUMNS])
+    long = row.select(F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(c).alias("feature"), F.round(F.col(f"s{c}") / F.col(f"a{c}") / (1 + (i + k) % 5), 6).alias("importance"))
+                                          for k, m in enumerate(MODELS) for i, c in enumerate(_A7_COLUMNS)])).alias("r")).select("r.*")
+    s = sinks.summary_table(ev.metric_rows(src.long_scores(src.scored_from(pol))), long, ev.KEY_METRICS)
     return s.withColumn("value", r9("value"))
 
 
