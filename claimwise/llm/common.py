@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ctypes
+import sys
+import types
 import uuid
 
 import numpy as np
@@ -14,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..session import default_partitions, materialize, scratch_root
 
-__all__ = ["default_partitions", "materialize", "scratch_root", "scratch_path", "table", "strings", "bounded_batches", "pieces", "giving_back", "input_partitions"]
+__all__ = ["default_partitions", "materialize", "scratch_root", "scratch_path", "table", "strings", "bounded_batches", "pieces", "giving_back", "input_partitions", "kept_in_worker"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +69,16 @@ def giving_back(run):
     return around
 
 
+def kept_in_worker(kind: str, key, make):
+    """``make()``, kept by the Python worker process for later tasks with the same key; one
+    object per kind is kept. (Functions come to workers by value, and with them new module variables.)"""
+    box = sys.modules.setdefault("_kept_in_worker", types.ModuleType("_kept_in_worker")).__dict__
+    if kind not in box or box[kind][0] != key:
+        box[kind] = None, None      # the one before goes first
+        box[kind] = key, make()
+    return box[kind][1]
+
+
 def input_partitions(df: DataFrame) -> int:
     """Partitions for a shuffle whose volume follows the input: at least the
     session's setting, at least one per input split."""

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import giving_back, pieces, strings
-from .words import ragged
+from .words import Index, ragged
 
 SPACE = "▁"
 STORE_WORDS, STORE_CHARS, SLICE_CHARS = 200_000, 4_000_000, 1_000_000
@@ -274,17 +274,6 @@ def _slices(text: str, limit: int):
     yield text[at:]
 
 
-class _Index(dict):
-    """Number of each word, in the order of first sight."""
-
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        return n
-
-    def of(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-
-
 class Store:
     """Ids of the distinct words that a task has met."""
 
@@ -293,7 +282,7 @@ class Store:
         self.clear()
 
     def clear(self):
-        self.index, self.chars = _Index(), 0
+        self.index, self.chars = Index(), 0
         self.flat, self.starts, self.lens = (np.zeros(0, np.int64) for _ in range(3))
 
     def _add(self, words: list[str]) -> None:

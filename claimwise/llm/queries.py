@@ -44,7 +44,7 @@ def op6_line_dedup(spark, sf_dir) -> DataFrame:
 
 def op7_byte_bpe(spark, sf_dir) -> DataFrame:
     ranks = bpe.load_ranks(RANKS)
-    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+    return bpe.encode_with_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
 def op8_quality_classifier(spark, sf_dir) -> DataFrame:

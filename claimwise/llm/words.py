@@ -9,6 +9,10 @@ reassembled in position order.
 
 One exchange carries both kinds of rows (key ``c…`` for a chunk's positions, ``b…``
 for a word bucket) and is read twice, so texts are split once; a hot word costs one entry per chunk, whatever its count.
+Words are dealt over ``BUCKETS`` buckets at any number of partitions, so that a row holds some
+hundred words of a full chunk; the valuing step has that many tasks at most. A valuing task
+keeps the values of the words it has met, as flat arrays, up to ``KNOWN_WORDS``; beyond that
+it starts anew and values a word again when it meets it.
 A chunk is the pair (input partition, ordinal), so the input has to be a
 deterministic scan, as a table read is: a recomputed partition then gives the
 same chunks.
@@ -32,6 +36,10 @@ from pyspark.sql import types as T
 from .common import giving_back, input_partitions, strings
 
 CHUNK_CHARS = 4_000_000
+BUCKETS = 512
+KNOWN_WORDS = 200_000
+#: Words of a text that are held as a list, and word rows that are valued, at once.
+LISTED_CHARS, VALUED_ROWS = 1_000_000, 250
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -82,12 +90,29 @@ def ragged(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray
     return flat[np.repeat(starts - (ends - lens), lens) + np.arange(total)]
 
 
+class Index(dict):
+    """Number of each word, in the order of first sight."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+    def of(self, words) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int32)
+
+
+def _indices(pattern: "regex.Pattern", text: str, index: Index) -> np.ndarray:
+    if len(text) <= LISTED_CHARS:
+        return index.of(pattern.findall(text))
+    return index.of(m.group() for m in pattern.finditer(text))
+
+
 def _pretokenizer(pattern: str, buckets: int, bucket_chars: int, chunk_chars: int, id_type: pa.DataType):
     def run(batches):
-        find = regex.compile(pattern).findall
+        find = regex.compile(pattern)
         task = TaskContext.get()
         part, ordinal = task.partitionId() if task else 0, 0
-        index: dict[str, int] = {}
+        index = Index()
         ids, seqs, chars = [], [], 0
 
         def flush():
@@ -112,7 +137,7 @@ def _pretokenizer(pattern: str, buckets: int, bucket_chars: int, chunk_chars: in
                 rows["data"].append(pack_words([words[i] for i in order[at:to]]))
                 rows["ids"].append(None)
                 at = to
-            index, ids, seqs, chars, ordinal = {}, [], [], 0, ordinal + 1
+            index, ids, seqs, chars, ordinal = Index(), [], [], 0, ordinal + 1
             return pa.RecordBatch.from_arrays(
                 [pa.array(rows["key"], pa.string()), pa.array(rows["chunk"], pa.string()), pa.array(rows["bucket"], pa.int32()),
                  pa.array(rows["data"], pa.binary()), pa.array(rows["ids"], pa.list_(id_type))],
@@ -121,9 +146,7 @@ def _pretokenizer(pattern: str, buckets: int, bucket_chars: int, chunk_chars: in
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py() or ""
-                found = find(text)
-                new = index.setdefault
-                seqs.append(np.fromiter((new(w, len(index)) for w in found), np.int32, len(found)))
+                seqs.append(_indices(find, text, index))
                 ids.append(doc)
                 chars += len(text)
                 if chars >= chunk_chars:
@@ -134,23 +157,44 @@ def _pretokenizer(pattern: str, buckets: int, bucket_chars: int, chunk_chars: in
     return giving_back(run)
 
 
+class Known:
+    """Values of the words met so far: flat arrays, and the number of each word."""
+
+    def __init__(self, value_of: Callable[[list[str]], list[np.ndarray]]):
+        self.value_of = value_of
+        self.clear()
+
+    def clear(self):
+        self.index, self.lens, self.flat, self.starts = Index(), np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def add(self, words: set[str]) -> None:
+        if len(self.index) > KNOWN_WORDS:
+            self.clear()
+        new = sorted(w for w in words if w not in self.index)
+        if new:
+            values = self.value_of(new)
+            self.index.of(new)
+            self.lens = np.concatenate([self.lens, np.fromiter(map(len, values), np.int64, len(values))])
+            self.flat = np.concatenate([self.flat, *values]).astype(np.uint32, copy=False)
+            self.starts = np.cumsum(self.lens) - self.lens
+
+    def packed(self, words: list[str]) -> bytes:
+        at = self.index.of(words)
+        return pack(self.lens[at], ragged(self.flat, self.starts[at], self.lens[at]))
+
+
 def _valuer(value_of: Callable[[list[str]], list[np.ndarray]]):
-    """Word rows in, value rows out; each distinct word of the task is valued once."""
+    """Word rows in, value rows out; the words of a task are valued when they are first met."""
     def run(batches):
-        known: dict[str, np.ndarray] = {}
+        known = Known(value_of)
         for batch in batches:
             batch = batch.filter(pc.greater_equal(batch.column("bucket"), 0))
-            rows = [unpack_words(x) for x in batch.column("data").to_pylist()]
-            new = sorted({w for words in rows for w in words} - known.keys())
-            known.update(zip(new, value_of(new)))
-            data = []
-            for words in rows:
-                values = [known[w] for w in words]
-                data.append(pack(np.fromiter(map(len, values), np.int64, len(values)), np.concatenate(values)))
-            if not rows:
-                continue
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("chunk"), batch.column("bucket"), pa.array(data, pa.binary())], names=["key", "bucket", "data"])
+            for at in range(0, batch.num_rows, VALUED_ROWS):
+                part = batch.slice(at, VALUED_ROWS)
+                rows = [unpack_words(x) for x in part.column("data").to_pylist()]
+                known.add(set().union(*rows))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("chunk"), part.column("bucket"), pa.array([known.packed(words) for words in rows], pa.binary())], names=["key", "bucket", "data"])
 
     return giving_back(run)
 
@@ -188,7 +232,7 @@ def per_document(docs: DataFrame, id_col: str, text_col: str, pattern: str, valu
     n = partitions or input_partitions(docs)
     source = docs.select(F.col(id_col), strings(docs, text_col).alias("text"))
     pre = source.mapInArrow(
-        _pretokenizer(pattern, 8 * n, bucket_chars, chunk_chars, arrow_id),
+        _pretokenizer(pattern, BUCKETS, bucket_chars, chunk_chars, arrow_id),
         T.StructType([T.StructField("key", T.StringType()), T.StructField("chunk", T.StringType()),
                       T.StructField("bucket", T.IntegerType()), T.StructField("data", T.BinaryType()),
                       T.StructField("ids", T.ArrayType(id_field.dataType))])).repartition(n, "key")

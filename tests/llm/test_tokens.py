@@ -40,6 +40,34 @@ def test_digests(documents, ranks):
     assert got[2] == (0, hashlib.sha256(b"").hexdigest(), hashlib.sha256(b"").hexdigest())
 
 
+def test_digests_where_ids_meet(documents, ranks):
+    docs = documents(TEXTS, {"value": F.lit(1), "ids": F.lit(2)})
+    tokens = bpe.encode(docs, ranks, PATTERN)
+    want = sorted((tuple(r) for r in bpe.digests(tokens, ranks).collect()), key=repr)
+    assert sorted((tuple(r) for r in bpe.encode_with_digests(docs, ranks, PATTERN).collect()), key=repr) == want
+    kept = bpe.encode_with_digests(docs, ranks, PATTERN, keep_ids=True, chunk_chars=50).collect()
+    assert sorted((tuple(r)[:4] for r in kept), key=repr) == want
+    assert sorted(((r[0], r["ids"]) for r in kept), key=repr) == sorted((tuple(r) for r in tokens.collect()), key=repr)
+    assert bpe.encode_with_digests(documents([]), ranks, PATTERN).collect() == []
+
+
+def test_rows_of_a_chunk_do_not_follow_the_partitions():
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_pydict({"id": [1], "text": [" ".join(f"word{i}" for i in range(5_000))]})
+    rows = {n: sum(b.num_rows for b in words._pretokenizer(PATTERN, words.BUCKETS, 0, words.CHUNK_CHARS, pa.int64())([batch])) for n in (6, 200, 20_000)}
+    assert len(set(rows.values())) == 1 and rows[6] <= words.BUCKETS + 1
+
+
+def test_known_words_start_anew(monkeypatch):
+    import numpy as np
+    monkeypatch.setattr(words, "KNOWN_WORDS", 3)
+    known = words.Known(lambda new: [np.array([len(w)] * len(w), np.uint32) for w in new])
+    for batch in (["a", "bb"], ["ccc", "a", "dddd"], ["bb", "eeeee"], ["a"]):
+        known.add(set(batch))
+        lens, flat = words.unpack(known.packed(batch))
+        assert lens.tolist() == [len(w) for w in batch] and flat.tolist() == [len(w) for w in batch for _ in w]
+
+
 def test_decode_rejects_unknown_ids(spark, ranks):
     df = spark.createDataFrame([([5, 60_000],)], "ids array<int>")
     with pytest.raises(Exception, match="no token"):
