@@ -48,8 +48,8 @@ def encoding_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, token ids and the SHA-256 of the decoded bytes, which are the text's."""
     bounded_batches(spark)
     ranks = bpe.load_ranks(RANKS)
-    done = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
-    return done.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    done = bpe.encode_with_digests(docs, ranks, public_tokenizers.PATTERN, keep_ids=True)
+    return done.select("doc_id", "ids", "n_tokens", "decoded_sha256")
 
 
 STAGES = [("quality classifier", quality_stage), ("line dedup", line_stage), ("MinHash near-dedup", near_duplicate_stage),
