@@ -12,13 +12,16 @@ The metric row is three passes whatever the number of models:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.exprs import nan_to_null, poisson_deviance_term
-from ..session import materialize
+from ..session import materialize, run_parallel
+from . import selection
 from .ordering import exact_quantiles
 
 # Metric names of the comparison, model order for ties.
@@ -125,12 +128,106 @@ def scalars(long: DataFrame, group_cols: Sequence[str] = ("model",), actual: str
     return long.sparkSession.createDataFrame(out, schema)
 
 
+#: Distinct actual values of a group that are counted on the driver.
+MAX_ACTUALS = 10_000
+
+
+def _class_conditions(y) -> dict:
+    return {"low": y == 0, "medium": y == 1, "high": y > 1}
+
+
+def _percentile(values: list[tuple], prob: float) -> float | None:
+    """Linear interpolation over sorted (value, count) pairs."""
+    n = sum(c for _, c in values)
+    if not n:
+        return None
+    cells = [selection.Cell(1, float(v), c, {}) for v, c in values]
+    return selection.between(cells, n, prob)
+
+
+def _selected_metrics(long: DataFrame, g: list[str], actual: str, predicted: str, default_cap: float = 10.0) -> DataFrame | None:
+    """The metric rows in two rounds of jobs: value counts of the actuals beside a sketch of the
+    predictions, then one aggregate that holds all sums by the cells around each threshold,
+    so that the threshold and what lies above it follow from the same counts."""
+    y, p = F.col(actual).cast("double"), F.col(predicted).cast("double")
+    known = nan_to_null(predicted)
+    first = run_parallel({
+        "actuals": lambda: long.groupBy(*g, y.alias("_y")).agg(F.count(F.lit(1)).alias("_n")).limit(MAX_ACTUALS + 1).collect(),
+        "sketches": lambda: selection.sketches(long, known, g)})
+    if first["sketches"] is None or len(first["actuals"]) > MAX_ACTUALS:
+        return None
+    sketch = {tuple(r[c] for c in g): (r["_n"], r["_grid"]) for r in first["sketches"]}
+    if not sketch:
+        return None
+    facts, brackets, cap, index = {}, {}, F.lit(None).cast("double"), F.lit(None).cast("int")
+    for key, (n, grid) in sketch.items():
+        values = sorted((r["_y"], r["_n"]) for r in first["actuals"] if tuple(r[c] for c in g) == key and r["_y"] is not None and not math.isnan(r["_y"]))
+        rows = sum(r["_n"] for r in first["actuals"] if tuple(r[c] for c in g) == key)
+        if sum(c for _, c in values) != rows:
+            return None                      # missing actuals: the general path
+        positive = [(v, c) for v, c in values if v > 0]
+        rate = sum(c for _, c in positive) / rows
+        top = _percentile(positive, 0.999)
+        facts[key] = (values, rows, rate, top * 1.5 if top is not None else default_cap)
+        at = [selection.bracket(n, grid, i) for i in selection.ranks_of(n, 1.0 - rate)] if rate > 0 and n else [(0.5, 0.5)]
+        brackets[key] = selection.merged(at)
+        here = selection._in_group(g, key)
+        cap = F.when(here, F.lit(facts[key][3])).otherwise(cap)
+        index = F.when(here, F.when(p.isNull(), -2).when(F.isnan(p), -1).otherwise(selection._index(known, brackets[key]))).otherwise(index)
+    pc = F.when(F.isnan(p), p).otherwise(F.least(p, F.col("_cap")))   # NaN stays NaN: it is not scored as the cap
+    e2, r2, ra = (y - pc) * (y - pc), (y - p) * (y - p), F.abs(y - p)
+    dev = poisson_deviance_term(y, p, "module")
+    sums = {"e2": F.sum(e2), "ea": F.sum(F.abs(y - pc)), "dev": F.sum(dev), "deviances": F.count(dev), "scored": F.count(p), "positive": F.count(F.when(y > 0, 1))}
+    for name, cond in _class_conditions(y).items():
+        sums[f"{name}2"], sums[f"{name}1"] = F.sum(F.when(cond, r2)), F.sum(F.when(cond, ra))
+    tagged = long.withColumns({"_cap": cap, "_i": index}).withColumn("_v", F.when((F.col("_i") >= 0) & (F.col("_i") % 2 == 1), known))
+    cells = tagged.groupBy(*g, "_i", "_v").agg(F.count(F.lit(1)).alias("_n"), *[c.alias(f"_{k}") for k, c in sums.items()]).limit(selection.MAX_CELLS + 1).collect()
+    if len(cells) > selection.MAX_CELLS:
+        return None
+    out = []
+    for key, (values, rows, rate, _) in facts.items():
+        mine = [r for r in cells if tuple(r[c] for c in g) == key]
+        order = sorted((r for r in mine if r["_i"] >= 0), key=lambda r: (r["_i"], r["_v"] if r["_v"] is not None else 0))
+        n = sketch[key][0]
+        threshold = 0.5 if not rate else selection.between([selection.Cell(r["_i"], r["_v"], r["_n"], {}) for r in order], n, 1.0 - rate) if n else None
+
+        def total(name):
+            found = [r[f"_{name}"] for r in mine if r[f"_{name}"] is not None]     # noqa: B023
+            return math.fsum(found) if found and all(map(math.isfinite, found)) else sum(found) if found else None
+
+        def ratio(a, b):
+            return a / b if a is not None and b else None
+        # a bracket holds the threshold; interval 2m lies between brackets m - 1 and m
+        home = next((m for m, (lo, hi) in enumerate(brackets[key]) if threshold is not None and (lo is None or lo <= threshold) and (hi is None or threshold <= hi)), None)
+        above = [r for r in order if home is not None and (r["_v"] > threshold if r["_v"] is not None else r["_i"] > 2 * home + 1)]
+        tp = sum(r["_positive"] for r in above)
+        fp = sum(r["_n"] for r in above) - tp
+        fn = sum(r["_positive"] for r in mine if r["_i"] != -2) - tp if threshold is not None else 0
+        mean = sum(v * c for v, c in values) / rows
+        sst = sum(c * (v - mean) ** 2 for v, c in values)
+        scored, e2_ = total("scored"), total("e2")
+        count = {"low": sum(c for v, c in values if v == 0), "medium": sum(c for v, c in values if v == 1), "high": sum(c for v, c in values if v > 1)}
+        root = lambda x: None if x is None else math.sqrt(x)
+        by_class = [f(ratio(total(f"{k}{d}"), count[k])) for k in count for f, d in ((root, 2), (lambda x: x, 1))]
+        precision, recall = (tp / (tp + fp) if tp + fp else 0.0), (tp / (tp + fn) if tp + fn else 0.0)
+        out.append((*key, root(ratio(e2_, scored)), ratio(total("ea"), scored), (None if e2_ is None else 1 - e2_ / sst) if sst > 1e-10 else 0.0, ratio(total("dev"), total("deviances")),
+                    *by_class, (rows - fp - fn) / rows, precision, recall, 2 * tp / (2 * tp + fp + fn) if 2 * tp + fp + fn else 0.0, threshold))
+    schema = T.StructType([*[long.schema[c] for c in g], *[T.StructField(c, T.DoubleType()) for c in METRIC_COLUMNS]])
+    return long.sparkSession.createDataFrame(out, schema)
+
+
 def metric_rows(long: DataFrame, group_cols: Sequence[str] = ("model",), actual: str = "actual",
                 predicted: str = "predicted", sc: DataFrame | None = None) -> DataFrame:
-    """One wide row per model (module semantics)."""
+    """One wide row per model (module semantics). Up to the limits of ``selection`` in two
+    rounds of jobs; with given scalars or beyond, by the passes of the module's text."""
     g = list(group_cols)
     if sc is None:
-        long = materialize(long.select(*g, actual, predicted), "scores")   # read by three passes: computed once
+        long = long.select(*g, actual, predicted)
+        if not selection.is_scan(long):
+            long = materialize(long, "scores")       # read by several passes: computed once
+        found = _selected_metrics(long, g, actual, predicted)
+        if found is not None:
+            return found
         sc = scalars(long, g, actual, predicted)
     # broadcast bound: one row per model
     j = long.join(F.broadcast(sc), g)

@@ -9,21 +9,27 @@ The helpers here keep the work distributed:
   the high bits, position in the low 33 bits), materialise once, then add the
   per-partition offsets (one row per partition, so the broadcast is bounded by
   the partition count).
-* ``prefix_sums``: the same partitioning, running sums inside each partition,
-  plus offsets of the preceding partitions; optionally restarted per group.
+* ``prefix_sums``: the same partitioning; running sums are made inside the write
+  of the range-partitioned rows, so rows are shuffled once, and the totals of the
+  preceding partitions are added on reading; optionally restarted per group.
 * ``exact_quantiles``: NumPy/Spark ``percentile`` semantics (linear
-  interpolation) from a value-count table and its prefix sums, so no task
-  ever holds more than its range partition of distinct values.
+  interpolation) by selection (``selection``), or from a value-count table and its
+  prefix sums, so no task ever holds more than its range partition of distinct values.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import default_partitions, materialize
+from . import selection
 
 _LOW_BITS = (1 << 33) - 1
 MAX_LOOP_GROUPS = 64      # per-group constant-probability aggregates; beyond this, one distributed pass
@@ -62,35 +68,103 @@ def global_row_number(df: DataFrame, order_cols: Sequence, out: str = "rn",
     return joined.select(*[tagged[c] for c in df.columns], rn)
 
 
+#: Rows of an offset table that is broadcast (partitions + groups).
+MAX_OFFSETS = 100_000
+
+
+def _running(groups: int, sums: Sequence[int]):
+    """Batches of sorted rows in; the same with a running sum per column, restarted where a group changes."""
+    def run(batches):
+        before, carry = None, [0] * len(sums)
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            new = np.zeros(n, bool)
+            for c in range(groups):
+                code = pc.dictionary_encode(batch.column(c), null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                new[1:] |= code[1:] != code[:-1]
+            first = tuple(batch.column(c)[0].as_py() for c in range(groups))
+            new[0] = before is not None and first != before
+            start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+            fresh = np.maximum.accumulate(new)          # a group began in this batch
+            out = []
+            for k, c in enumerate(sums):
+                x = batch.column(c).to_numpy(zero_copy_only=False)
+                total = np.cumsum(x)
+                total = total - np.where(fresh, total[start] - x[start], 0) + np.where(fresh, 0, carry[k]).astype(total.dtype)
+                carry[k] = total[-1]
+                out.append(pa.array(total))
+            before = tuple(batch.column(c)[n - 1].as_py() for c in range(groups))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *out], names=[*batch.schema.names, *[f"_loc{k}" for k in range(len(sums))]])
+    return run
+
+
 def prefix_sums(df: DataFrame, order_cols: Sequence, sum_cols: Sequence[str],
                 group_cols: Sequence[str] = (), prefix: str = "cum_",
-                num_partitions: int | None = None) -> DataFrame:
-    """Inclusive running sums of ``sum_cols`` in ``order_cols`` order,
-    restarting at each ``group_cols`` value. The order must be total within
+                num_partitions: int | None = None, by_key: bool = False) -> DataFrame:
+    """Inclusive running sums of ``sum_cols`` (whole or floating numbers without nulls) in
+    ``order_cols`` order, restarting at each ``group_cols`` value. The order must be total within
     a group for the result to be deterministic.
 
-    Rows are range-partitioned on (group, order); each (partition, group)
-    piece gets its running sums locally, plus the total of the same group in
-    earlier partitions. That offset table has at most partitions + groups
-    rows, and a hot group spanning many partitions is split by partition."""
+    Rows are range-partitioned on (group, order) and sorted, their running sums are made on the
+    way into the staged files; each (partition, group) piece then gets the total of its group in
+    earlier partitions. That offset table has at most partitions + groups rows (broadcast up to
+    ``MAX_OFFSETS`` rows), and a hot group spanning many partitions is split by partition.
+    ``by_key``: rows that share (group, order) values are first added up: in their batch before the shuffle,
+    and after it, where they meet in one partition."""
     spark = df.sparkSession
     p = num_partitions or default_partitions(spark)
-    g = list(group_cols)
+    g, names = list(group_cols), list(df.columns)
     order = [*_cols(g), *_cols(order_cols)]
-    tagged = df.repartitionByRange(p, *order).withColumn("_pid", F.spark_partition_id())
-    tagged = materialize(tagged, "prefix")
-    w = Window.partitionBy("_pid", *g).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = tagged.select("*", *[F.sum(c).over(w).alias(f"_loc_{c}") for c in sum_cols])
-    sizes = tagged.groupBy("_pid", *g).agg(*[F.sum(c).alias(c) for c in sum_cols])
-    # exclusive running totals over partitions, per group: each window holds one
-    # group's pieces, at most one per partition
-    wo = Window.partitionBy(*g).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_pid", *g, *[F.coalesce(F.sum(c).over(wo), F.lit(0)).alias(f"_off_{c}")
-                                         for c in sum_cols])
+    if by_key:
+        keys = [c for c in names if c not in sum_cols]
+        df = df.select(*keys, *sum_cols)
+        names = df.columns
+        rows = df.mapInArrow(_combined(len(keys), len(sum_cols)), df.schema).repartitionByRange(p, *order)
+        rows = rows.groupBy(*keys).agg(*[F.sum(c).cast(df.schema[c].dataType).alias(c) for c in sum_cols])
+    else:
+        rows = df.repartitionByRange(p, *order)
+    others = [c for c in names if c not in g]
+    sorted_ = rows.select(*g, *others).sortWithinPartitions(*order)
+    at = [len(g) + others.index(c) for c in sum_cols]
+    running = {c: "bigint" if sorted_.schema[c].dataType.typeName() in ("byte", "short", "integer", "long") else "double" for c in sum_cols}
+    sorted_ = sorted_.select(*g, *[F.col(c).cast(running[c]) if c in running else F.col(c) for c in others])
+    schema = T.StructType([*sorted_.schema.fields, *[T.StructField(f"_loc{k}", T.LongType() if running[c] == "bigint" else T.DoubleType()) for k, c in enumerate(sum_cols)]])
+    tagged = materialize(sorted_.mapInArrow(_running(len(g), at), schema).withColumn("_pid", F.spark_partition_id()), "prefix")
+    # a piece's total is its last running sum; sums that may fall (negative values) are added up anew
+    sizes = tagged.groupBy("_pid", *g).agg(*[F.sum(c).alias(f"_t{k}") for k, c in enumerate(sum_cols)])
+    listed = sizes.limit(MAX_OFFSETS + 1).collect()
+    if len(listed) > MAX_OFFSETS:
+        wo = Window.partitionBy(*g).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = materialize(sizes, "prefix-sizes").select("_pid", *g, *[F.coalesce(F.sum(f"_t{k}").over(wo), F.lit(0)).alias(f"_off{k}") for k in range(len(sum_cols))])
+    else:
+        done: dict[tuple, list] = {}
+        offs = []
+        for r in sorted(listed, key=lambda r: r["_pid"]):
+            so_far = done.setdefault(tuple(r[c] for c in g), [0] * len(sum_cols))
+            offs.append((r["_pid"], *[r[c] for c in g], *so_far))
+            for k in range(len(sum_cols)):
+                so_far[k] += r[f"_t{k}"]
+        kinds = T.StructType([T.StructField("_pid", T.IntegerType()), *[tagged.schema[c] for c in g],
+                              *[T.StructField(f"_off{k}", schema[f"_loc{k}"].dataType) for k in range(len(sum_cols))]])
+        offs = [tuple(float(v) if isinstance(f.dataType, T.DoubleType) and v is not None and f.name.startswith("_off") else v for v, f in zip(o, kinds.fields)) for o in offs]
+        offsets = F.broadcast(spark.createDataFrame(offs, kinds))
     # _pid is never null: plain equality keeps it a join key; groups may be null
-    joined = local.join(offsets, [local["_pid"] == offsets["_pid"], *[local[k].eqNullSafe(offsets[k]) for k in g]])
-    return joined.select(*[local[c] for c in df.columns],
-                         *[(F.col(f"_off_{c}") + F.col(f"_loc_{c}")).alias(f"{prefix}{c}") for c in sum_cols])
+    joined = tagged.join(offsets, [tagged["_pid"] == offsets["_pid"], *[tagged[k].eqNullSafe(offsets[k]) for k in g]])
+    return joined.select(*[tagged[c] for c in names], *[(F.col(f"_off{k}") + F.col(f"_loc{k}")).alias(f"{prefix}{c}") for k, c in enumerate(sum_cols)])
+
+
+def _combined(keys: int, sums: int):
+    """Batches in; each batch with one row per key, its last ``sums`` columns added up."""
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                names = batch.schema.names
+                t = pa.Table.from_batches([batch]).group_by(names[:keys]).aggregate([(c, "sum") for c in names[keys:]])
+                t = t.select([*names[:keys], *[f"{c}_sum" for c in names[keys:]]]).rename_columns(names).cast(batch.schema)
+                yield from t.combine_chunks().to_batches()
+    return run
 
 
 def exact_quantiles(df: DataFrame, value: str, probs,
@@ -102,7 +176,9 @@ def exact_quantiles(df: DataFrame, value: str, probs,
     method:
       "buffered"    Spark's ``percentile`` aggregate: one pass, but the final
                     merge of a group holds all its distinct values.
-      "distributed" value counts -> range-partitioned prefix sums -> lookup:
+      "distributed" selection in two scans; many groups, or brackets with very many
+                    values: as "sorted".
+      "sorted"      value counts -> range-partitioned prefix sums -> lookup:
                     no task holds more than a range slice.
       "approx"      ``percentile_approx`` (bounded sketch, not exact).
       "auto"        "buffered" if the column has few distinct values
@@ -148,8 +224,12 @@ def exact_quantiles(df: DataFrame, value: str, probs,
         res = clean.groupBy(*g).agg(agg.alias("_q"))
         return res.select(*g, F.posexplode("_q").alias("_i", "quantile")).select(
             *g, F.element_at(F.array(*[F.lit(x) for x in probs]), F.col("_i") + 1).alias("prob"), "quantile")
-    if method != "distributed":
+    if method not in ("distributed", "sorted"):
         raise ValueError(method)
+    if method == "distributed":
+        found = _selected(clean, v, probs, prob_table, g)
+        if found is not None:
+            return found
     counts = clean.groupBy(*g, v.cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     cum = prefix_sums(counts, ["_v"], ["_n"], group_cols=g)
     totals = counts.groupBy(*g).agg(F.sum("_n").alias("_N"))
@@ -201,6 +281,24 @@ def exact_quantiles(df: DataFrame, value: str, probs,
     return res.select(*g, "prob", q.alias("quantile"))
 
 
+def _selected(clean: DataFrame, v: Column, probs: list, prob_table: DataFrame | None, g: list[str]) -> DataFrame | None:
+    """The quantiles by selection, as a small table; None beyond its limits."""
+    wanted = None
+    if prob_table is not None:
+        rows = prob_table.select(*g, F.col("prob").cast("double").alias("prob")).limit(selection.MAX_GROUPS * 16 + 1).collect()
+        if len(rows) > selection.MAX_GROUPS * 16:
+            return None
+        wanted = {}
+        for r in rows:
+            wanted.setdefault(tuple(r[c] for c in g), []).append(r["prob"])
+    found = selection.quantiles(clean, v.cast("double"), g, lambda key: probs if wanted is None else wanted.get(key, []))
+    if found is None:
+        return None
+    out = [(*key, float(p), q) for key, ps in found.items() for p, q in ps.items()]
+    schema = T.StructType([*[clean.schema[c] for c in g], T.StructField("prob", T.DoubleType()), T.StructField("quantile", T.DoubleType())])
+    return clean.sparkSession.createDataFrame(out, schema)
+
+
 def quantile_values(df: DataFrame, value: str, probs: Sequence[float], **kw) -> list[float]:
     """Global (ungrouped) quantiles as Python floats: a handful of scalars."""
     rows = exact_quantiles(df, value, probs, **kw).collect()

@@ -12,10 +12,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import is_finite, position_bin, qcut_bin
+from ..session import materialize
+from . import selection
 from .ordering import global_row_number, prefix_sums
 
 
@@ -43,31 +45,97 @@ def ranked(df: DataFrame, group_cols: Sequence[str] = ("model",), key: str = "ID
     return r.join(F.broadcast(start), g).select(*df.columns, (F.col("_grn") - F.col("_start") + 1).alias("rank"), "n")
 
 
+def _last_ranks(n: int, n_bins: int, method: str) -> list[int]:
+    """1-based last rank of every bin but the last: ranks up to the b-th belong to bins 0..b."""
+    if method == "qcut":
+        return [min(n, 1 + (b + 1) * (n - 1) // n_bins) for b in range(n_bins - 1)]
+    if method == "position":
+        return [min(n, -(-(b + 1) * n // n_bins)) for b in range(n_bins - 1)]
+    raise ValueError(method)
+
+
+def _bins_by_boundaries(valid: DataFrame, g: list[str], key: str, predicted: str, n_bins: int, method: str):
+    """The bin of each row as an expression over the boundary scores of its group, and
+    over the boundary keys where rows with one score fall into several bins; None beyond
+    the limits of ``selection``."""
+    p = F.col(predicted).cast("double")
+    rows = selection.sketches(valid, p, g)
+    if rows is None:
+        return None
+    groups = {tuple(r[c] for c in g): (r["_n"], r["_grid"], _last_ranks(r["_n"], n_bins, method)) for r in rows if r["_n"]}
+    cells = selection.counts(valid, p, g, {k: selection.merged([selection.bracket(n, grid, r - 1) for r in last]) for k, (n, grid, last) in groups.items()})
+    if cells is None:
+        return None
+    cuts, tied = {}, {}
+    for k, (_, _, last) in groups.items():
+        for r in last:
+            found = selection.at_rank(cells[k], r - 1)
+            if found is None:
+                return None
+            score, below, same = found
+            cuts.setdefault(k, []).append((score, r - below))
+            if r - below < same:          # rows with this score on both sides
+                tied.setdefault((*k, score), set()).add(r - below)
+    keys = {}
+    if tied:
+        kind = valid.schema[key].dataType.typeName()
+        if len(tied) > selection.MAX_GROUPS or kind not in ("byte", "short", "integer", "long"):
+            return None
+        is_tied = F.lit(False)
+        for k in tied:
+            is_tied = is_tied | (selection._in_group(g, k[:-1]) & (p == F.lit(k[-1])))
+        inside, by = valid.where(is_tied).withColumn("_score", p), [*g, "_score"]
+        rows = selection.sketches(inside, F.col(key), by)
+        sizes = {tuple(r[c] for c in by): (r["_n"], r["_grid"]) for r in rows or []}
+        cells = selection.counts(inside, F.col(key), by, {k: selection.merged([selection.bracket(*sizes[k], r - 1) for r in ranks]) for k, ranks in tied.items()}) if rows else None
+        if cells is None:
+            return None
+        for k, ranks in tied.items():
+            for r in ranks:
+                found = selection.at_rank(cells[k], r - 1)
+                if found is None or found[1] + found[2] != r:      # a key that is there twice
+                    return None
+                keys[(*k, r)] = found[0]
+    bin_ = F.lit(0)
+    for k, scores in cuts.items():
+        above = F.lit(0)
+        for score, within in scores:
+            beyond = p > F.lit(score)
+            if (*k, score, within) in keys:
+                beyond = beyond | ((p == F.lit(score)) & (F.col(key) > F.lit(keys[(*k, score, within)])))
+            above = above + beyond.cast("int")
+        bin_ = F.when(selection._in_group(g, k), above).otherwise(bin_)
+    return bin_
+
+
 def lift_table(df: DataFrame, n_bins: int = 10, group_cols: Sequence[str] = ("model",), method: str = "qcut",
                key: str = "IDpol", actual: str = "actual", predicted: str = "predicted") -> DataFrame:
     """(group..., bin, avg_actual, avg_predicted, count, lift); bin 0 = lowest scores.
 
     method="qcut":     pandas qcut of the 'first' rank (equal-count bins).
     method="position": the positional fallback (linspace edges over 0..n-1).
-    """
+
+    Bins follow from the scores at their boundary ranks, found by selection; rows with a
+    boundary score in several bins are told apart by the key at the boundary, found the same
+    way. No row is ranked or sorted. Beyond the limits of ``selection`` rows are ranked."""
     g = list(group_cols)
-    valid = finite_pairs(df, actual, predicted)
-    r = ranked(valid.select(*g, key, actual, predicted), g, key, predicted)
-    if method == "qcut":
-        b = qcut_bin(F.col("rank"), F.col("n"), n_bins)
-    elif method == "position":
-        b = position_bin(F.col("rank") - 1, F.col("n"), n_bins)
-    else:
+    if method not in ("qcut", "position"):
         raise ValueError(method)
-    per_bin = r.groupBy(*g, b.alias("bin")).agg(
-        F.avg(actual).alias("avg_actual"), F.avg(predicted).alias("avg_predicted"),
-        F.count(F.lit(1)).cast("bigint").alias("count"))
-    overall = r.groupBy(*g).agg(F.avg(actual).alias("_overall"))   # from the staged ranks, not the source again
-    # broadcast bound: one row per group
-    return per_bin.join(F.broadcast(overall), g).select(
-        *g, "bin", "avg_actual", "avg_predicted", "count",
-        (F.col("avg_actual") / F.when(F.col("_overall") == 0, F.lit(1e-10)).otherwise(F.col("_overall")))
-        .alias("lift")).where(F.col("avg_actual").isNotNull() & F.col("avg_predicted").isNotNull())
+    valid = finite_pairs(df, actual, predicted).select(*g, key, actual, predicted)
+    if not selection.is_scan(valid):
+        valid = materialize(valid, "lift")          # read by three scans
+    b = _bins_by_boundaries(valid, g, key, predicted, n_bins, method)
+    if b is None:
+        valid = ranked(valid, g, key, predicted)
+        b = qcut_bin(F.col("rank"), F.col("n"), n_bins) if method == "qcut" else position_bin(F.col("rank") - 1, F.col("n"), n_bins)
+    per_bin = valid.groupBy(*g, b.alias("bin")).agg(F.sum(actual).alias("_a"), F.sum(predicted).alias("_p"), F.count(F.lit(1)).cast("bigint").alias("count"))
+    # one row per bin: the window holds a group's bins
+    w = Window.partitionBy(*g)
+    overall = F.sum("_a").over(w) / F.sum("count").over(w)
+    out = per_bin.select(*g, "bin", (F.col("_a") / F.col("count")).alias("avg_actual"), (F.col("_p") / F.col("count")).alias("avg_predicted"), "count",
+                         overall.alias("_overall"))
+    return out.select(*g, "bin", "avg_actual", "avg_predicted", "count",
+                      (F.col("avg_actual") / F.when(F.col("_overall") == 0, F.lit(1e-10)).otherwise(F.col("_overall"))).alias("lift"))
 
 
 def _two_class_groups(per_score: DataFrame, g: list[str]) -> DataFrame:
@@ -84,9 +152,8 @@ def pr_curve(df: DataFrame, group_cols: Sequence[str] = ("model",), actual: str
     (threshold null, precision 1, recall 0). Groups with one class are skipped."""
     g = list(group_cols)
     valid = finite_pairs(df, actual, predicted)
-    per_score = valid.groupBy(*g, F.col(predicted).cast("double").alias("threshold")).agg(
-        F.sum((F.col(actual) > 0).cast("long")).alias("p"), F.count(F.lit(1)).alias("k"))
-    cum = prefix_sums(per_score, [F.col("threshold").desc()], ["p", "k"], group_cols=g)
+    per_score = valid.select(*g, F.col(predicted).cast("double").alias("threshold"), (F.col(actual) > 0).cast("long").alias("p"), F.lit(1).cast("long").alias("k"))
+    cum = prefix_sums(per_score, [F.col("threshold").desc()], ["p", "k"], group_cols=g, by_key=True)
     totals = _two_class_groups(cum, g)
     # broadcast bound: one row per group
     pts = cum.join(F.broadcast(totals), g).select(
