@@ -1,6 +1,6 @@
 """Format-preserving pseudonyms for personal data.
 
-Values that pass their format's validation (Luhn cards, mod-97 IBANs, calendar
+Values that pass their format's validation (cards by issuer range and Luhn digit, mod-97 IBANs, calendar
 dates, assigned-range SSNs, IPv4 octets, telephone numbers, e-mail addresses, keys
 and passwords) are numbered within their format, the number is permuted by a keyed
 Feistel network (cycle-walked into the format's range), and written back in the
@@ -13,8 +13,14 @@ currency): where the longest run is not valid, shorter ends between groups are
 tried, for an IBAN also its country's length. All calendar dates of the years 1 to
 9999 count; those from 1900 to 2099 stay in that range, the others outside it.
 
-Everything happens within a row: no shuffle. Null text stays null, with 0 values;
-extra columns pass through.
+A pseudonym has its value's shape: a day or month written with one digit becomes
+one of one digit, and a card keeps its issuer. Digits are 0-9; those of other scripts are
+ordinary text. Three groups with blanks and neither + nor parentheses are a telephone
+number only if area and exchange are assigned ones (200 upwards, not N11).
+
+Everything happens within a row: no shuffle. Null text stays null, empty text empty, both with 0
+values; repeated rows give repeated results; very long texts are scanned once. Extra columns pass
+through, but one named like the count gives way to it. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -48,13 +54,13 @@ CANDIDATE = re.compile(r"""
     (?P<email>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})
   | (?P<assigned>(?:password|passwd|pwd|token|secret|api_key|apikey)\s{0,2}[=:]\s{0,2}["']?)(?P<secret>[^\s"',;]{6,})
   | (?P<key>\bAKIA[0-9A-Z]{16}\b)
-  | (?P<iban>\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b)
-  | (?P<iso>(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-]))
-  | (?P<numeric>(?<![\d/.])\d{1,2}(?P<sep>[/.])\d{1,2}(?P=sep)\d{4}(?!\d))
-  | (?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d))
-  | (?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))
-  | (?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ ]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d) | (?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d))
-  | (?P<card>(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d]))
+  | (?P<iban>\b[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b)
+  | (?P<iso>(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-]))
+  | (?P<numeric>(?<![0-9/.])[0-9]{1,2}(?P<sep>[/.])[0-9]{1,2}(?P=sep)[0-9]{4}(?![0-9]))
+  | (?P<ip>(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9]))
+  | (?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))
+  | (?P<phone>(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9]) | (?<![\w+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9]))
+  | (?P<card>(?<![0-9-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]))
 """, re.X)
 
 
@@ -100,30 +106,42 @@ def _by_class(permute: Permutation, name: str, text: str, hexadecimal: bool = Tr
 
 def _refill(shape: str, digits: str) -> str:
     it = iter(digits)
-    return "".join(next(it) if c.isdigit() else c for c in shape)
+    return "".join(next(it) if c in string.digits else c for c in shape)
 
 
 def luhn(digits: str) -> int:
     return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(int(c) for c in reversed(digits))) % 10
 
 
+#: Number ranges of card issuers, by leading digits and length.
+ISSUED = re.compile(r"""(?x)
+    4(?:[0-9]{12}|[0-9]{15}|[0-9]{18}) | 5[1-5][0-9]{14} | 2(?:22[1-9]|2[3-9][0-9]|[3-6][0-9]{2}|7[01][0-9]|720)[0-9]{12}
+  | 3[47][0-9]{13} | 3(?:0[0-5]|[689][0-9])[0-9]{11,16} | 35(?:2[89]|[3-8][0-9])[0-9]{12,15}
+  | 6(?:011|4[4-9][0-9]|5[0-9]{2})[0-9]{12,15} | 62[0-9]{14,17} | (?:5[06-9]|6[0-9])[0-9]{11,17}""")
+
+
+def is_card(digits: str) -> bool:
+    return not luhn(digits) and ISSUED.fullmatch(digits) is not None
+
+
 def _card(permute, value: str) -> str | None:
-    digits = "".join(c for c in value if c.isdigit())
-    if luhn(digits) or not digits.strip("0"):
+    digits = "".join(c for c in value if c in string.digits)
+    if not is_card(digits):
         return None
-    n = len(digits) - 2
-    body = digits[0] + str(permute(f"card{len(digits)}{digits[0]}", 10 ** n, int(digits[1:-1]))).zfill(n)
+    kept = 1 if digits[0] == "4" else 4          # the issuer's range
+    n = len(digits) - kept - 1
+    body = digits[:kept] + str(permute(f"card{len(digits)}{digits[:kept]}", 10 ** n, int(digits[kept:-1]))).zfill(n)
     return _refill(value, body + str(-luhn(body + "0") % 10))
 
 
-DIGIT_GROUPS = re.compile(r"\d+(?:[ -]\d+)*")
+DIGIT_GROUPS = re.compile(r"[0-9]+(?:[ -][0-9]+)*")
 
 
 def _shorter_card(text: str, start: int, end: int) -> int | None:
     """The end of the card that begins at ``start``, where the run to ``end`` is none: the
     longest valid run of whole groups, unless it meets a longer one that begins later."""
     stop = min(len(text), end + 40)
-    groups = [g.span() for g in re.finditer(r"\d+", DIGIT_GROUPS.match(text, start, stop)[0])]
+    groups = [g.span() for g in re.finditer(r"[0-9]+", DIGIT_GROUPS.match(text, start, stop)[0])]
     if start + groups[-1][1] == stop < len(text) and text[stop].isdigit():
         groups.pop()   # cut
     valid = []
@@ -135,7 +153,7 @@ def _shorter_card(text: str, start: int, end: int) -> int | None:
             digits += text[start + a:start + b]
             if len(digits) > 19:
                 break
-            if len(digits) >= 13 and digits.strip("0") and not luhn(digits):
+            if len(digits) >= 13 and is_card(digits):
                 valid.append((len(digits), -s, b))
     best = None
     while valid:
@@ -163,12 +181,19 @@ def _ip(permute, value: str) -> str | None:
 
 
 def _phone(permute, value: str) -> str | None:
-    digits = "".join(c for c in value if c.isdigit())
-    own = 10 if re.search(r"\d{3}\)? ?[ .-]?\d{3}[ .-]\d{4}$", value) else max(0, len(digits) - 2)
+    digits = "".join(c for c in value if c in string.digits)
+    bare = re.fullmatch(r"([0-9]{3}) ([0-9]{3}) [0-9]{4}", value)
+    if bare and any(g < "200" or g.endswith("11") for g in bare.groups()):
+        return None       # three numbers in a row
+    own = 10 if re.search(r"[0-9]{3}\)? ?[ .-]?[0-9]{3}[ .-][0-9]{4}$", value) else max(0, len(digits) - 2)
     if not 7 <= len(digits) <= 15 or not 6 <= own <= len(digits):
         return None
-    x = str(permute(f"phone{len(digits)}/{own}", 10 ** own, int(digits[-own:]))).zfill(own)
-    return _refill(value, digits[:-own] + x)
+    x = int(digits[-own:])
+    while True:       # walk the cycle until a bare number is one of assigned area and exchange again
+        x = permute(f"phone{len(digits)}/{own}{'/bare' if bare else ''}", 10 ** own, x)
+        new = _refill(value, digits[:-own] + str(x).zfill(own))
+        if not bare or not any(g < "200" or g.endswith("11") for g in new.split()[:2]):
+            return new
 
 
 def _day(year: int, month: int, day: int) -> int | None:
@@ -201,19 +226,22 @@ def _numeric(permute, value: str, late: list[int], late_at: dict[int, int]) -> s
     sep = "/" if "/" in value else "."
     a, b, year = value.split(sep)
     day_first = sep == "." or int(a) > 12
-    x = _day(year := int(year), int(b if day_first else a), int(a if day_first else b))
+    x = _day(int(year), int(b if day_first else a), int(a if day_first else b))
     if x is None:
         return None
-    if not (day_first and sep == "/"):
-        d = _other_day(permute, "numeric" + sep, x)
-    elif x in late_at:
-        d = datetime.date.fromordinal(DAY0 + late[permute("late", len(late), late_at[x])])
-    else:
-        d = _other_day(permute, "late", x)
-        while d.day <= 12:   # walk the cycle until the day is a late one again
-            d = _other_day(permute, "late", d.toordinal() - DAY0)
-    first, second = (d.day, d.month) if day_first else (d.month, d.day)
-    return f"{first:02d}{sep}{second:02d}{sep}{d.year:04d}"
+    past_12 = day_first and sep == "/"           # else day and month would be taken for each other
+    order = lambda d: (d.day, d.month) if day_first else (d.month, d.day)
+    while True:       # walk the cycle until the date has the shape again
+        if not past_12:
+            d = _other_day(permute, "numeric" + sep, x)
+        elif x in late_at:
+            d = datetime.date.fromordinal(DAY0 + late[permute("late", len(late), late_at[x])])
+        else:
+            d = _other_day(permute, "late", x)
+        first, second = order(d)
+        if (not past_12 or d.day > 12) and first < 10 ** len(a) and second < 10 ** len(b):
+            return f"{first:0{len(a)}d}{sep}{second:0{len(b)}d}{sep}{d.year:04d}"
+        x = d.toordinal() - DAY0
 
 
 def _iban(permute, value: str) -> str | None:
@@ -239,7 +267,6 @@ class Pseudonymizer:
         self.permute = Permutation(key)
         self.late = _late_days()
         self.late_at = {x: i for i, x in enumerate(self.late)}
-        self.known: dict[str, str | None] = {}
 
     def value(self, kind: str, value: str) -> str | None:
         p = self.permute
@@ -278,7 +305,7 @@ class Pseudonymizer:
 
 def pseudonymize(docs: DataFrame, key: bytes, text_col: str = "text", count_col: str = "n_values") -> DataFrame:
     """The rows with pseudonyms for personal values in ``text_col``, and their number."""
-    source = docs.withColumn(text_col, strings(docs, text_col))
+    source = docs.drop(count_col).withColumn(text_col, strings(docs, text_col))
     at = source.schema.names.index(text_col)
 
     def run(batches):

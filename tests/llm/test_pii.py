@@ -67,3 +67,39 @@ def test_equal_values_stay_linked_over_documents(documents):
     assert got[1, 1].split()[1] == got[2, 1].split()[1] != "4041894974608795"
     assert got[3, 0] is None and got[4, 0] == "" and got[None, 1].endswith("@x.example.com") and got[5, 0] == "9" * 100_000
     assert pii.pseudonymize(documents([]), b"k").collect() == []
+
+
+@pytest.mark.parametrize("text", ["1/2/2020", "3.4.1999", "12/3/2001", "9.11.2010", "25/7/1988", "2/28/2150", "01/02/2020", "1.1.1850"])
+def test_short_days_and_months_stay_short(text):
+    new, n = pii.Pseudonymizer(b"k").text(text)
+    sep = "/" if "/" in text else "."
+    assert n == 1 and [len(x) for x in new.split(sep)] == [len(x) for x in text.split(sep)]
+    assert pii.Pseudonymizer(b"k").text(new)[1] == 1
+
+
+def test_short_dates_are_one_to_one():
+    p = pii.Pseudonymizer(b"k")
+    values = {f"{m}/{d}/{y}" for y in (2001, 2002, 2003) for m in range(1, 10) for d in range(1, 10)}
+    new = {p.text(v)[0] for v in values}
+    assert len(new) == len(values) and all(len(v) == 8 for v in new)
+
+
+@pytest.mark.parametrize("text", ["ratio 100 200 3000", "in 911 300 4000 cases", "room 204 115 2000", "٤١١ ٥٥٥ ١٢٣٤",
+                                  "١٩٨٤-٠٢-٢٩", "9536784127813050 7536784127813050", "0000 0000 0000 0000"])
+def test_other_numbers_stay(text):
+    assert pii.Pseudonymizer(b"k").text(text) == (text, 0)
+
+
+def test_bare_numbers_and_issuers_stay_valid():
+    p = pii.Pseudonymizer(b"k")
+    values = [f"{a} {b} 0{c}23" for a in (201, 415, 989) for b in (210, 555, 913) for c in range(10)]
+    new = [p.text(v) for v in values]
+    assert len({t for t, _ in new}) == len(values) and all(n == 1 and p.text(t)[1] == 1 for t, n in new)
+    for card in ("5555555555554444", "378282246310005", "6011111111111117", "3530111333300000", "30569309025904", "2223003122003222"):
+        t, n = p.text(card)
+        assert n == 1 and t != card and t[:4] == card[:4] and len(t) == len(card) and p.text(t)[1] == 1
+
+
+def test_column_named_like_the_count(documents):
+    out = pii.pseudonymize(documents([(1, "me@x.example.com")], {"n_values": F.lit("clash")}), b"k")
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "n_values"] and out.first()["n_values"] == 1
