@@ -10,9 +10,16 @@ order.
 Labelled pages are of two kinds: a bounded sample (``SAMPLE_PAGES``, those with the
 smallest hash of page_id) of the table's pages that hold an article or main element,
 labelled by it; and pages composed of the sample's block texts in many layouts,
-whose labels are known as they are composed. Extraction itself runs within each row.
+whose labels are known as they are composed. Sampled pages are taken whole; pages of more than
+``SAMPLE_CHARS`` characters or ``SAMPLE_BLOCKS`` blocks are not sampled. Extraction itself runs
+within each row, over whole pages.
 
-Null and empty html give empty text. Markup that never closes is read to the end.
+Scripts, styles, templates, frames and drawings are not text. Formulas and the text within
+objects are, and a noscript part is a block of its own, for the field to label.
+
+Null and empty html give empty text. Markup that never closes is read to the end; an attribute
+whose quote never closes ends with its tag. Repeated rows (also null ids) give a row each; other
+columns than those kept are not read, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,18 +37,19 @@ from pyspark.sql import types as T
 from .common import strings
 
 SAMPLE_PAGES, COMPOSED_PAGES = 200, 400
+SAMPLE_CHARS, SAMPLE_BLOCKS = 500_000, 2_000
 STEPS, RATE, L2 = 120, 0.15, 1e-3
 
 # Element names of the HTML standard.
 BLOCK = frozenset("""address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form
-    frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav ol optgroup option p pre section select summary table tbody td
+    frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noscript ol optgroup option p pre section select summary table tbody td
     textarea tfoot th thead title tr ul""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg math iframe object".split())
+RAW = frozenset("script style template svg iframe".split())
 #: A start tag of the key closes open elements of the value.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)([^<>]*)>", re.S)
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _TOKEN = re.compile(r"[A-Za-z]+")
 
@@ -73,10 +81,11 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], tuple[str, ...], str
         if not m:
             break
         at = m.end()
-        if not m[2]:
+        end, name, inner = m.group(1, 2, 3) if m[2] else m.group(4, 5, 6)
+        if not name:
             continue
-        name = m[2].lower()
-        if m[1]:
+        name = name.lower()
+        if end:
             if name in BLOCK:
                 end_block()
             for i in range(len(stack) - 1, -1, -1):
@@ -89,7 +98,7 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], tuple[str, ...], str
                     break
             continue
         if name in RAW:
-            if not m[3].endswith("/"):
+            if not inner.endswith("/"):
                 tail = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
                 at = tail.end() if tail else len(page)
             continue
@@ -105,8 +114,8 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], tuple[str, ...], str
                     break
                 if stack[i][0] in BLOCK and stack[i][0] not in ("td", "th", "li", "p"):
                     break
-        if name not in VOID and not m[3].endswith("/"):
-            words = tuple(w.lower() for x in _ATTR.findall(m[3]) for v in x for w in _TOKEN.findall(v)) if "=" in m[3] else ()
+        if name not in VOID and not inner.endswith("/"):
+            words = tuple(w.lower() for x in _ATTR.findall(inner) for v in x for w in _TOKEN.findall(v)) if "=" in inner else ()
             stack.append((name, words))
     end_block()
     return out
@@ -162,18 +171,19 @@ def fit(pages: list[tuple[list[list[str]], list[int]]]) -> Field:
     index = {f: i for i, f in enumerate(names)}
     lens = np.array([len(y) for _, y in pages] or [0])
     longest, n = int(lens.max()), len(pages)
-    x = np.zeros((n, longest, len(names)), np.float32)
     y = np.zeros((n, longest), np.int64)
+    place, name = [], []           # of every feature that is there: its block, and which it is
     for i, (named, label) in enumerate(pages):
         y[i, :len(label)] = label
         for t, block in enumerate(named):
-            x[i, t, [index[f] for f in block]] = 1
+            name += [index[f] for f in block]
+            place += [i * longest + t] * len(block)
+    place, name = np.array(place, np.int64), np.array(name, np.int64)
     live = np.arange(longest)[None, :] < lens[:, None]
     w, moves = np.zeros((len(names), 2)), np.zeros((2, 2))
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (w, moves)]
-    flat = x.reshape(n * longest, -1)
     for step in range(1, STEPS + 1 if n else 1):
-        s = (flat @ w.astype(np.float32)).reshape(n, longest, 2).astype(np.float64)
+        s = np.stack([np.bincount(place, w[name, k], n * longest) for k in (0, 1)], axis=1).reshape(n, longest, 2)
         ahead, behind = np.zeros_like(s), np.zeros_like(s)
         ahead[:, 0] = s[:, 0]
         for t in range(1, longest):
@@ -184,7 +194,8 @@ def fit(pages: list[tuple[list[list[str]], list[int]]]) -> Field:
         total = np.logaddexp.reduce(ahead[:, -1], axis=1)
         p = np.exp(ahead + behind - total[:, None, None]) * live[..., None]
         hit = np.eye(2)[y] * live[..., None]
-        grad_w = flat.T @ (hit - p).reshape(n * longest, 2).astype(np.float32) / n - L2 * w
+        missed = (hit - p).reshape(n * longest, 2)
+        grad_w = np.stack([np.bincount(name, missed[place, k], len(names)) for k in (0, 1)], axis=1) / n - L2 * w
         grad_m = np.zeros((2, 2))
         for t in range(1, longest):
             pair = np.exp(ahead[:, t - 1, :, None] + moves + (s[:, t] + behind[:, t])[:, None, :] - total[:, None, None])
@@ -201,7 +212,7 @@ OTHER_WORDS = """ad ads advert advertisement banner breadcrumb breadcrumbs comme
     masthead menu modal nav navbar navigation newsletter notice overlay pager pagination popup popular privacy promo recommended related reply replies
     respond search share sharing sidebar signup social sponsor sponsored subscribe tags toolbar topbar widget""".split()
 MAIN_WORDS = "article body content entry main page post single story text wrapper container".split()
-OTHER_TAGS = ("nav", "header", "footer", "aside", "form", "button", "select", "option", "textarea", "label", "dialog", "menu")
+OTHER_TAGS = ("nav", "header", "footer", "aside", "form", "button", "select", "option", "textarea", "label", "dialog", "menu", "noscript")
 
 
 def label_by_elements(found: list) -> list[int]:
@@ -242,6 +253,8 @@ def compose(rng: random.Random, texts: list[str]) -> tuple[str, list[int]]:
             return f"<{tag}>" + "".join(block(rng.choice(("p", "div", "h2", "h3")), False) for _ in range(rng.randint(1, 3))) + f"</{tag}>"
         if kind < 0.4:
             return "<form>" + block("label", False, True) + "<input name=q>" + block("button", False, True) + "</form>" if rng.random() < 0.5 else f"<form {named}>" + block("p", False) + block("button", False, True) + "</form>"
+        if kind < 0.44:
+            return block("noscript", False)
         tag = rng.choice(("div", "section", "ul"))
         inner = "li" if tag == "ul" else rng.choice(("p", "div", "h3"))
         return f"<{tag} {named}>" + "".join(block(inner, False) for _ in range(rng.randint(1, 5))) + f"</{tag}>"
@@ -278,8 +291,8 @@ def labelled_pages(sample: list[str], composed: int = COMPOSED_PAGES) -> list[tu
         found = blocks(page)
         texts += [b[2] for b in found]
         label = label_by_elements(found)
-        if any(label):
-            out.append((features(found[:200]), label[:200]))
+        if any(label) and len(found) <= SAMPLE_BLOCKS:
+            out.append((features(found), label))
     rng = random.Random(7)
     for _ in range(composed):
         page, label = compose(rng, texts)
@@ -290,7 +303,7 @@ def labelled_pages(sample: list[str], composed: int = COMPOSED_PAGES) -> list[tu
 
 
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE_PAGES) -> Field:
-    rows = pages.filter(F.col(html_col).isNotNull()).select(F.md5(F.col(id_col).cast("string")).alias("h"), F.xxhash64(html_col).alias("x"), strings(pages, html_col).alias("html"))
+    rows = pages.filter(F.length(strings(pages, html_col)) <= SAMPLE_CHARS).select(F.md5(F.col(id_col).cast("string")).alias("h"), F.xxhash64(html_col).alias("x"), strings(pages, html_col).alias("html"))
     chosen = rows.select("h", "x").distinct().orderBy("h", "x").limit(sample)
     found = rows.join(F.broadcast(chosen), ["h", "x"], "left_semi").distinct().orderBy("h", "x").collect()   # bounded by sample
     return fit(labelled_pages([r["html"] for r in found]))

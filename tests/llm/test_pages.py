@@ -114,3 +114,32 @@ def test_index_names_byte_ranges(spark, pages):
     some = warc.read(index.filter("page_id in ('100', '103', '188')"), folder, gap=0).collect()
     assert sorted(r["page_id"] for r in some) == ["100", "103", "188"]
     assert {r["page_id"]: r["payload"] for r in some if r["payload"] is not None} == {"100": b"page 0", "103": b"page 3"}
+
+
+@pytest.fixture(scope="module")
+def field():
+    """Trained on the fixed page and pages composed of its texts."""
+    return hx.fit(hx.labelled_pages([PAGE]))
+
+
+@pytest.mark.parametrize("page,text", [
+    ("<body><article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be the first of many numbers.</p></article></body>", "Let x=2 be the first of many numbers."),
+    ("<body><article><p>A chart <object data='c.svg'>of the sales in 1999</object> follows here in the text.</p></article></body>", "A chart of the sales in 1999 follows here in the text."),
+    ("<body><article><p>See <a href=\"x>the other page</a> for more of this long story.</p></article></body>", "See the other page for more of this long story."),
+    ("<body><article><p>Words before and words after it.</p><script>var a = '<p>';</script><style>p {}</style><svg><text>drawn</text></svg></article></body>", "Words before and words after it."),
+    ("<body><noscript>Please enable JavaScript to view the comments.</noscript><article><p>The story itself, which has a good number of words.</p></article></body>", "The story itself, which has a good number of words.")])
+def test_what_is_text(field, page, text):
+    assert hx.main_text(page, field) == text
+
+
+def test_very_long_pages_and_their_ends(field):
+    body = "".join(f"<p>Sentence number {i} of a very long article goes on here.</p>" for i in range(20_000))
+    text = hx.main_text(f"<html><body><article>{body}</article></body></html>", field)
+    assert text.count("\n") == 19_999 and text.endswith("Sentence number 19999 of a very long article goes on here.")
+
+
+def test_sampled_pages_are_whole():
+    late = "<body>" + "<nav><a href='/'>menu item</a></nav>" * 300 + "<article>" + "<p>Words of the article come late in this page.</p>" * 5 + "</article></body>"
+    named, label = hx.labelled_pages([late], composed=0)[0]
+    assert len(named) == len(label) == 305 and sum(label) == 5
+    assert hx.labelled_pages(["<body><article>" + "<p>x</p>" * (hx.SAMPLE_BLOCKS + 1) + "</article></body>"], composed=0) == []
