@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..session import default_partitions, materialize, scratch_root
 
-__all__ = ["default_partitions", "materialize", "scratch_root", "scratch_path", "table", "strings", "bounded_batches", "pieces", "giving_back", "input_partitions", "kept_in_worker"]
+__all__ = ["default_partitions", "materialize", "scratch_root", "scratch_path", "table", "strings", "bounded_batches", "pieces", "giving_back", "input_partitions", "kept_in_worker", "free_name"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,14 @@ def giving_back(run):
     return around
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores after it while the table has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def kept_in_worker(kind: str, key, make):
     """``make()``, kept by the Python worker process for later tasks with the same key; one
     object per kind is kept. (Functions come to workers by value, and with them new module variables.)"""

@@ -243,13 +243,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
         held = bench if blocks == 1 else bench.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         rows = [(r[0], words_of(r[1])) for r in held.distinct().collect()]   # bounded by block_chars
         shared = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
-        scans.append(source.mapInArrow(_scan(shared, window, shard_words), schema))
-    if blocks == 1:
-        out = scans[0]
-    else:
-        parts = [materialize(s, "dc-block") for s in scans]
-        out = parts[0]
-        for p in parts[1:]:
+        scan = source.mapInArrow(_scan(shared, window, shard_words), schema)
+        if blocks > 1:
+            scan = materialize(scan, "dc-block")     # written before the next block is collected
+            shared.destroy()
+        scans.append(scan)
+    out = scans[0]
+    if blocks > 1:
+        for p in scans[1:]:
             out = out.union(p)
         out = out.groupBy("row").applyInArrow(_merge, schema)
     return out.drop("row").withColumnRenamed("id", id_col)

@@ -23,7 +23,8 @@ whether or not that one is kept itself.
 5. Each occurrence but the kept first ones goes; documents are rebuilt.
 
 Rows with one doc_id and text are one document: each keeps the same lines. Null
-text stays null and empty text empty. Extra columns pass through.
+text stays null and empty text empty. Extra columns pass through, whatever their names. An
+empty table gives an empty result; a very long text is taken whole, its lines one by one.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import giving_back, materialize, pieces, strings
+from .common import free_name, giving_back, materialize, pieces, strings
 from .hashing import U, WordHash, mix
 
 WORDS_PER_EDIT = 10
@@ -169,18 +170,18 @@ def _verify(words_per_edit: int):
     return giving_back(run)
 
 
-def _rebuild(schema_names: list[str], text_col: str):
+def _rebuild(schema_names: list[str], text_col: str, gone: str, count: str):
     def run(batches):
         for batch in (p for b in batches for p in pieces(b, text_col)):
             text, removed = [], []
-            for t, lines in zip(batch.column(text_col).to_pylist(), batch.column("_gone").to_pylist()):
+            for t, lines in zip(batch.column(text_col).to_pylist(), batch.column(gone).to_pylist()):
                 if lines:
                     out = set(lines)
                     t = "\n".join(x for j, x in enumerate(t.split("\n")) if j not in out)
                 text.append(t)
                 removed.append(len(lines or ()))
             columns = {n: batch.column(n) for n in schema_names} | {text_col: pa.array(text, pa.string())}
-            yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(removed, pa.int64())], names=[*columns, "_n_removed"])
+            yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(removed, pa.int64())], names=[*columns, count])
     return giving_back(run)
 
 
@@ -230,13 +231,15 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_edit: int = WORDS_PER_EDIT,
                 count_col: str = "n_removed") -> DataFrame:
-    """The documents with their repeated lines taken out, and the number of lines removed."""
+    """The documents with their repeated lines taken out, and the number of lines removed;
+    a column of the input named like that number gives way to it."""
     gone = removed_lines(docs, id_col, text_col, words_per_edit)
     size = gone.agg(F.sum(F.size("gone"))).first()[0] or 0
-    gone = gone.select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), F.col("gone").alias("_gone"))
+    docs = docs.drop(count_col)
+    doc, th, lines = (free_name(docs, n) for n in ("_doc", "_th", "_gone"))
+    gone = gone.select(F.col("doc").alias(doc), F.col("th").alias(th), F.col("gone").alias(lines))
     kinds = {f.name: f for f in docs.schema.fields}
     source = docs.withColumn(text_col, strings(docs, text_col))
-    on = F.col(id_col).eqNullSafe(F.col("_doc")) & (F.xxhash64(text_col) == F.col("_th"))
-    joined = source.join(F.broadcast(gone) if size <= 4 * BROADCAST_ROWS else gone, on, "left").drop("_doc", "_th")
-    out = joined.mapInArrow(_rebuild(list(kinds), text_col), T.StructType([*source.schema.fields, T.StructField("_n_removed", T.LongType())]))
-    return out.withColumnRenamed("_n_removed", count_col)
+    on = F.col(id_col).eqNullSafe(F.col(doc)) & (F.xxhash64(text_col) == F.col(th))
+    joined = source.join(F.broadcast(gone) if size <= 4 * BROADCAST_ROWS else gone, on, "left").drop(doc, th)
+    return joined.mapInArrow(_rebuild(list(kinds), text_col, lines, count_col), T.StructType([*source.schema.fields, T.StructField(count_col, T.LongType())]))

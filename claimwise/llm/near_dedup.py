@@ -23,15 +23,20 @@ similarity >= ``threshold``; components follow the links.
    are cut into blocks of ``BLOCK`` members and each two blocks meet in one task, which
    compares signatures there, so pairs are not rows; a pair that shares several
    buckets is looked at in the first. So each candidate pair is either
-   compared, ruled out by counts or already connected, and no link is lost.
+   compared, ruled out by counts or already connected; only step 6 can lose a link.
 6. A comparison reads the signatures batch by batch and drops the pair when the
    posterior probability of similarity >= threshold (uniform prior, matches so far)
-   is below ``miss``; survivors are verified on the full sets, from the texts.
+   is below ``miss``; survivors are verified on the full sets, from the texts. A pair at the
+   threshold is lost with probability ``miss`` per look at most, and one has a look per
+   ``BATCH`` values (nine), so below 9 * miss in all; more similar ones far less often.
 7. Components by least-label propagation over the verified links.
 
+The 128-bit digest stands for its set: sets are taken as equal if their digests are.
+
 Null ids: such rows take part; a component's id is its smallest non-null doc_id,
 null if it has none. Repeated rows are copies of one document and have the same
-result. Extra columns are ignored.
+result. Extra columns are ignored, whatever their names. An empty table gives an
+empty result; a very long text is taken whole.
 """
 
 from __future__ import annotations
@@ -46,7 +51,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import giving_back, input_partitions, materialize, strings
+from .common import free_name, giving_back, input_partitions, materialize, strings
 from .hashing import U, WordHash, mix
 
 BANDS, ROWS = 48, 6
@@ -365,7 +370,7 @@ class NearDuplicates:
         classes = (self.classes.select("cls", "rep").join(comp, "cls", "left")
                    .select("cls", "rep", F.coalesce("comp", "cls").alias("comp")))
         least = classes.groupBy("comp").agg(F.min("rep").alias("component_id"))
-        named = materialize(classes.join(least, "comp").select("cls", "component_id"), "nd-named")
+        self.named = named = materialize(classes.join(least, "comp").select("cls", "component_id"), "nd-named")
         ident = F.col(self.id_col)
         out = (self.marked.filter("cls is not null").join(named, "cls").select(ident, "n_shingles", "component_id")
                .union(self.marked.filter("cls is null").select(ident, "n_shingles", ident.alias("component_id"))))
@@ -376,10 +381,34 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     return NearDuplicates(docs, **options).result()
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents without those that another document of their group stands for.
-    Rows are told apart by their id."""
-    gone = materialize(near_duplicates(docs, id_col=id_col, **options).filter("not kept").select(F.col(id_col).alias("gone")).distinct(), "nd-gone")
+def _class_of(shingle_words: int, text_at: int, name: str):
+    """The rows with the class of their text."""
+    def run(batches):
+        hashes = WordHash()
+        for batch in batches:
+            sets = (shingle_set(t.as_py(), hashes, shingle_words) for t in batch.column(text_at))
+            cls = [set_digest(p) if len(p) else None for p in sets]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cls, pa.binary())], names=[*batch.schema.names, name])
+    return giving_back(run)
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents without those that another document of their group stands for. Rows with
+    an id are told apart by it, so rows repeated under one id go or stay together. A row
+    without one goes if its group has a document with an id; if none has, nothing names one of
+    them and all stay."""
+    run = NearDuplicates(docs, id_col=id_col, text_col=text_col, **options)
+    rows = materialize(run.result(), "nd-result")
+    name = free_name(docs, "gone")
+    gone = materialize(rows.filter(~F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias(name)).distinct(), "nd-gone")
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, F.col(id_col) == F.col("gone"), "left_anti")
+    stay = docs.join(gone, F.col(id_col) == F.col(name), "left_anti")
+    if rows.filter(~F.col("kept") & F.col(id_col).isNull()).isEmpty():
+        return stay
+    # the few rows without an id: by the class of their text
+    nameless = docs.filter(F.col(id_col).isNull()).withColumn(text_col, strings(docs, text_col))
+    cls = free_name(docs, "cls")
+    marked = nameless.mapInArrow(_class_of(run.k, nameless.columns.index(text_col), cls), T.StructType([*nameless.schema.fields, T.StructField(cls, T.BinaryType())]))
+    stood_for = run.named.filter(F.col("component_id").isNotNull()).select(F.col("cls").alias(cls))
+    return stay.filter(F.col(id_col).isNotNull()).union(marked.join(stood_for, cls, "left_anti").select(*docs.columns))

@@ -108,3 +108,11 @@ def test_one_line_in_every_document(documents):
 def test_within_one_edit():
     for a, b in (("abc", "abc"), ("abc", "abd"), ("abc", "ab"), ("bc", "abc"), ("", "a"), ("ab", "ba"), ("abcd", "ab"), ("abc", "xbd")):
         assert ld.within_one_edit(list(a), list(b)) == (edits(a, b) <= 1)
+
+
+def test_columns_named_like_the_generated_ones(documents):
+    docs = documents([(1, "a line\nanother"), (2, "a line")], {"n_removed": F.lit("x"), "_gone": F.lit("y"), "_doc": F.lit("z"), "_th": F.lit("w")})
+    out = ld.dedup_lines(docs, count_col="removed")
+    assert out.columns == [*docs.columns, "removed"]
+    assert {tuple(r)[:2] + tuple(r)[-5:] for r in out.collect()} == {(1, "a line\nanother", "x", "y", "z", "w", 0), (2, "", "x", "y", "z", "w", 1)}
+    assert ld.dedup_lines(docs).columns == [c for c in docs.columns if c != "n_removed"] + ["n_removed"]

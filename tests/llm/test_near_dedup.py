@@ -94,3 +94,22 @@ def test_least_matches_bounds_the_posterior():
         from math import comb
         tail = lambda k: sum(comb(n + 1, i) * 0.8 ** i * 0.2 ** (n + 1 - i) for i in range(k + 1))
         assert tail(m) >= 1e-4 > tail(m - 1)
+
+
+def test_clashing_names_and_rows_without_an_id(documents):
+    text = " ".join(f"word{i}" for i in range(40))
+    near = text.replace("word39", "other")
+    docs = documents([(1, text), (2, near), (None, text), (None, near), (None, "alone without an id at all"), (None, "alone without an id at all"), (3, "x"), (3, "x"), (4, None), (None, None)],
+                     {"gone": F.lit("a"), "cls": F.lit("b"), "kept": F.lit("c")})
+    out = nd.drop_near_duplicates(docs)
+    assert out.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"], r["gone"], r["cls"]) for r in out.collect()), key=repr) == sorted(
+        [(1, text, "a", "b"), *[(None, "alone without an id at all", "a", "b")] * 2, *[(3, "x", "a", "b")] * 2, (4, None, "a", "b"), (None, None, "a", "b")], key=repr)
+
+
+def test_shuffled_ids_give_the_same(documents, monkeypatch):
+    text = " ".join(f"word{i}" for i in range(40))
+    docs = documents([(i, text if i % 3 else f"text number {i} of its own, with words") for i in range(30)])
+    want = sorted(r["doc_id"] for r in nd.drop_near_duplicates(docs).collect())
+    monkeypatch.setattr(nd, "BROADCAST_IDS", 0)
+    assert sorted(r["doc_id"] for r in nd.drop_near_duplicates(docs).collect()) == want and len(want) == 11

@@ -66,3 +66,17 @@ def test_queries_equal_their_sql(spark):
         rows = QUERIES[name](spark, SF)
         want = con.sql(f"SELECT {', '.join(rows.columns)} FROM ({sql})").fetchall()
         assert sorted((tuple(r) for r in rows.collect()), key=repr) == sorted(want, key=repr), name
+
+
+def test_stages_on_odd_tables(spark, documents):
+    """Empty tables, and columns named like those that the stages make."""
+    extra = {"n_removed": F.lit("x"), "gone": F.lit("y"), "_doc": F.lit("z"), "cls": F.lit(1), "bad": F.lit(2), "score": F.lit(3), "ids": F.lit(4)}
+    rows = [(1, "The same line of this text, it is long enough to count.\nOne more."), (2, "The same line of this text, it is long enough to count."), (None, "No id here, but a text."), (3, None)]
+    for table in ([], rows):
+        docs = documents(table, extra)
+        for name, stage in cp.STAGES[1:-1]:
+            out = stage(spark, docs, SF)
+            assert out.columns == docs.columns, name
+            assert out.count() <= len(table)
+        assert cp.STAGES[-1][1](spark, docs, SF).count() == len(table)
+        assert cp.STAGES[0][1](spark, docs, SF).columns == docs.columns
