@@ -2,7 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet
 and read again as the next one's ``docs``. All but the last return the columns of
-``documents``.
+``documents``, and further columns of their input as they are, whatever their names.
+
+Null and empty texts pass every stage but the classifier, which scores them like any text.
+Rows without an id, and rows repeated under one, are judged by their texts; near-dedup keeps
+rows repeated under one id together, and drops one without an id if a document with an id stands
+for it. An empty table passes as an empty table.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimwise.llm import bpe, decontam, line_dedup, near_dedup, quality
-from claimwise.llm.common import bounded_batches, materialize, table
+from claimwise.llm.common import bounded_batches, free_name, materialize, table
 from claimwise.llm.queries import RANKS
 
 
@@ -27,9 +32,11 @@ def line_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated lines; n_chars follows the text. A document that loses
     every line it had goes: others hold all of it."""
     bounded_batches(spark)
-    out = line_dedup.dedup_lines(docs)
-    emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"\S")
-    return out.filter(~emptied).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    n = free_name(docs, "n_removed")
+    out = line_dedup.dedup_lines(docs, count_col=n)
+    changed = F.col(n) > 0
+    emptied = changed & ~F.col("text").rlike(r"\S")
+    return out.filter(~emptied).withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def near_duplicate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
