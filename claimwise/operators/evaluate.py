@@ -141,7 +141,7 @@ def _percentile(values: list[tuple], prob: float) -> float | None:
     n = sum(c for _, c in values)
     if not n:
         return None
-    cells = [selection.Cell(1, float(v), c, {}) for v, c in values]
+    cells = [selection.Cell(1, float(v), c) for v, c in values]
     return selection.between(cells, n, prob)
 
 
@@ -159,7 +159,7 @@ def _selected_metrics(long: DataFrame, g: list[str], actual: str, predicted: str
     sketch = {tuple(r[c] for c in g): (r["_n"], r["_grid"]) for r in first["sketches"]}
     if not sketch:
         return None
-    facts, brackets, cap, index = {}, {}, F.lit(None).cast("double"), F.lit(None).cast("int")
+    facts, brackets = {}, {}
     for key, (n, grid) in sketch.items():
         values = sorted((r["_y"], r["_n"]) for r in first["actuals"] if tuple(r[c] for c in g) == key and r["_y"] is not None and not math.isnan(r["_y"]))
         rows = sum(r["_n"] for r in first["actuals"] if tuple(r[c] for c in g) == key)
@@ -171,25 +171,25 @@ def _selected_metrics(long: DataFrame, g: list[str], actual: str, predicted: str
         facts[key] = (values, rows, rate, top * 1.5 if top is not None else default_cap)
         at = [selection.bracket(n, grid, i) for i in selection.ranks_of(n, 1.0 - rate)] if rate > 0 and n else [(0.5, 0.5)]
         brackets[key] = selection.merged(at)
-        here = selection._in_group(g, key)
-        cap = F.when(here, F.lit(facts[key][3])).otherwise(cap)
-        index = F.when(here, F.when(p.isNull(), -2).when(F.isnan(p), -1).otherwise(selection._index(known, brackets[key]))).otherwise(index)
+    group = F.col("_g")
+    cap = selection.constant([f[3] for f in facts.values()], "array<double>")[group]
+    index = F.when(p.isNull(), -2).when(F.isnan(p), -1).otherwise(selection.cell_index(known, group, list(brackets.values())))
     pc = F.when(F.isnan(p), p).otherwise(F.least(p, F.col("_cap")))   # NaN stays NaN: it is not scored as the cap
     e2, r2, ra = (y - pc) * (y - pc), (y - p) * (y - p), F.abs(y - p)
     dev = poisson_deviance_term(y, p, "module")
     sums = {"e2": F.sum(e2), "ea": F.sum(F.abs(y - pc)), "dev": F.sum(dev), "deviances": F.count(dev), "scored": F.count(p), "positive": F.count(F.when(y > 0, 1))}
     for name, cond in _class_conditions(y).items():
         sums[f"{name}2"], sums[f"{name}1"] = F.sum(F.when(cond, r2)), F.sum(F.when(cond, ra))
-    tagged = long.withColumns({"_cap": cap, "_i": index}).withColumn("_v", F.when((F.col("_i") >= 0) & (F.col("_i") % 2 == 1), known))
-    cells = tagged.groupBy(*g, "_i", "_v").agg(F.count(F.lit(1)).alias("_n"), *[c.alias(f"_{k}") for k, c in sums.items()]).limit(selection.MAX_CELLS + 1).collect()
+    tagged = long.withColumn("_g", selection.group_index(g, list(facts))).withColumns({"_cap": cap, "_i": index}).withColumn("_v", F.when((F.col("_i") >= 0) & (F.col("_i") % 2 == 1), known))
+    cells = tagged.groupBy("_g", "_i", "_v").agg(F.count(F.lit(1)).alias("_n"), *[c.alias(f"_{k}") for k, c in sums.items()]).limit(selection.MAX_CELLS + 1).collect()
     if len(cells) > selection.MAX_CELLS:
         return None
     out = []
-    for key, (values, rows, rate, _) in facts.items():
-        mine = [r for r in cells if tuple(r[c] for c in g) == key]
+    for place, (key, (values, rows, rate, _)) in enumerate(facts.items()):
+        mine = [r for r in cells if r["_g"] == place]
         order = sorted((r for r in mine if r["_i"] >= 0), key=lambda r: (r["_i"], r["_v"] if r["_v"] is not None else 0))
         n = sketch[key][0]
-        threshold = 0.5 if not rate else selection.between([selection.Cell(r["_i"], r["_v"], r["_n"], {}) for r in order], n, 1.0 - rate) if n else None
+        threshold = 0.5 if not rate else selection.between([selection.Cell(r["_i"], r["_v"], r["_n"]) for r in order], n, 1.0 - rate) if n else None
 
         def total(name):
             found = [r[f"_{name}"] for r in mine if r[f"_{name}"] is not None]     # noqa: B023

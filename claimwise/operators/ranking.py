@@ -62,50 +62,58 @@ def _bins_by_boundaries(valid: DataFrame, g: list[str], key: str, predicted: str
     rows = selection.sketches(valid, p, g)
     if rows is None:
         return None
-    groups = {tuple(r[c] for c in g): (r["_n"], r["_grid"], _last_ranks(r["_n"], n_bins, method)) for r in rows if r["_n"]}
-    cells = selection.counts(valid, p, g, {k: selection.merged([selection.bracket(n, grid, r - 1) for r in last]) for k, (n, grid, last) in groups.items()})
+    rows = [r for r in rows if r["_n"]]
+    group = selection.group_index(g, [tuple(r[c] for c in g) for r in rows])
+    last = [_last_ranks(r["_n"], n_bins, method) for r in rows]
+    cells = selection.counts(valid, p, group, [selection.merged([selection.bracket(r["_n"], r["_grid"], k - 1) for k in ks]) for r, ks in zip(rows, last)])
     if cells is None:
         return None
-    cuts, tied = {}, {}
-    for k, (_, _, last) in groups.items():
-        for r in last:
+    cuts, tied = [], [{} for _ in rows]       # per group: (score, rows with it that belong below); those in several bins
+    for k, ks in enumerate(last):
+        cuts.append([])
+        for r in ks:
             found = selection.at_rank(cells[k], r - 1)
             if found is None:
                 return None
             score, below, same = found
-            cuts.setdefault(k, []).append((score, r - below))
-            if r - below < same:          # rows with this score on both sides
-                tied.setdefault((*k, score), set()).add(r - below)
-    keys = {}
-    if tied:
-        kind = valid.schema[key].dataType.typeName()
-        if len(tied) > selection.MAX_GROUPS or kind not in ("byte", "short", "integer", "long"):
-            return None
-        is_tied = F.lit(False)
-        for k in tied:
-            is_tied = is_tied | (selection._in_group(g, k[:-1]) & (p == F.lit(k[-1])))
-        inside, by = valid.where(is_tied).withColumn("_score", p), [*g, "_score"]
-        rows = selection.sketches(inside, F.col(key), by)
-        sizes = {tuple(r[c] for c in by): (r["_n"], r["_grid"]) for r in rows or []}
-        cells = selection.counts(inside, F.col(key), by, {k: selection.merged([selection.bracket(*sizes[k], r - 1) for r in ranks]) for k, ranks in tied.items()}) if rows else None
-        if cells is None:
-            return None
-        for k, ranks in tied.items():
-            for r in ranks:
-                found = selection.at_rank(cells[k], r - 1)
-                if found is None or found[1] + found[2] != r:      # a key that is there twice
-                    return None
-                keys[(*k, r)] = found[0]
-    bin_ = F.lit(0)
-    for k, scores in cuts.items():
-        above = F.lit(0)
-        for score, within in scores:
-            beyond = p > F.lit(score)
-            if (*k, score, within) in keys:
-                beyond = beyond | ((p == F.lit(score)) & (F.col(key) > F.lit(keys[(*k, score, within)])))
-            above = above + beyond.cast("int")
-        bin_ = F.when(selection._in_group(g, k), above).otherwise(bin_)
-    return bin_
+            cuts[k].append((score, r - below))
+            if r - below < same:
+                tied[k].setdefault(score, set()).add(r - below)
+    keys = _boundary_keys(valid, group, p, key, tied) if any(tied) else {}
+    if keys is None:
+        return None
+    scores = selection.constant([[s for s, _ in c] for c in cuts], "array<array<double>>")
+    above = F.size(F.filter(scores[group], lambda x: p > x))
+    if keys:
+        # a boundary score in several bins: rows behind the boundary's key are above it
+        within = selection.constant([[{"s": s, "k": keys[k, s, r]} for s, r in c if (k, s, r) in keys] for k, c in enumerate(cuts)], "array<array<struct<s:double,k:bigint>>>")
+        above = above + F.size(F.filter(within[group], lambda x: (x["s"] == p) & (F.col(key) > x["k"])))
+    return F.coalesce(above, F.lit(0))
+
+
+def _boundary_keys(valid: DataFrame, group, p, key: str, tied: list[dict]) -> dict | None:
+    """{(group, score, rows below): key of the last of these rows}, by selection on the keys of
+    the rows with such a score; None beyond the limits of ``selection``."""
+    scores = [sorted(t) for t in tied]
+    places = [(k, s) for k, ss in enumerate(scores) for s in ss]
+    if len(places) > selection.MAX_GROUPS or valid.schema[key].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        return None
+    starts = [sum(map(len, scores[:k])) for k in range(len(scores))]
+    at = F.array_position(selection.constant(scores, "array<array<double>>")[group], p)
+    inside = valid.select(F.col(key).cast("long").alias("_k"), (selection.constant(starts, "array<int>")[group] + at.cast("int") - 1).alias("_t"), at.alias("_a")).where("_a > 0")
+    rows = {r["_t"]: r for r in selection.sketches(inside, F.col("_k"), ["_t"])}
+    brackets = [selection.merged([selection.bracket(rows[t]["_n"], rows[t]["_grid"], r - 1) for r in tied[k][s]]) for t, (k, s) in enumerate(places)]
+    cells = selection.counts(inside, F.col("_k"), F.col("_t"), brackets, "bigint")
+    if cells is None:
+        return None
+    out = {}
+    for t, (k, s) in enumerate(places):
+        for r in tied[k][s]:
+            found = selection.at_rank(cells[t], r - 1)
+            if found is None or found[1] + found[2] != r:      # a key that is there twice
+                return None
+            out[k, s, r] = found[0]
+    return out
 
 
 def lift_table(df: DataFrame, n_bins: int = 10, group_cols: Sequence[str] = ("model",), method: str = "qcut",

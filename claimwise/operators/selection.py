@@ -6,20 +6,18 @@ interval between them, rows inside by value. Ranks then follow from a few counts
 values are one row of counts each, whatever their number of rows, and nothing that is held grows
 with the rows: groups are limited to ``MAX_GROUPS`` and counts to ``MAX_CELLS``; beyond either
 ``None`` is returned and the caller takes its distributed path.
-
-Aggregates asked for in the second scan are kept per interval and value, so that sums on either
-side of a rank that only the counts reveal need no third scan.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-GRID, ACCURACY = 1_000, 10_000
+GRID, ACCURACY = 500, 5_000
 MAX_GROUPS, MAX_CELLS = 64, 200_000
 #: Plan nodes that cost no more than reading their input again.
 _CHEAP = {"Project", "Filter", "Relation", "LogicalRelation", "Expand", "Union", "LocalRelation", "SubqueryAlias"}
@@ -37,21 +35,31 @@ class Cell:
     index: int
     value: object
     rows: int
-    sums: dict
 
 
-def _in_group(names: Sequence[str], key: tuple) -> Column:
-    out = F.lit(True)
-    for n, v in zip(names, key):
-        out = out & F.col(n).eqNullSafe(F.lit(v))
+def constant(value, kind: str) -> Column:
+    """A nested constant of a SQL type. Catalyst folds it to one object, so the generated code does
+    not depend on the values and is compiled once."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def group_index(names: Sequence[str], keys: list[tuple]) -> Column:
+    """Place of the row's group in ``keys``, null for other rows."""
+    out = F.lit(None).cast("int")
+    for i, key in enumerate(keys):
+        here = F.lit(True)
+        for n, v in zip(names, key):
+            here = here & F.col(n).eqNullSafe(F.lit(v))
+        out = F.when(here, i).otherwise(out)
     return out
 
 
-def sketches(df: DataFrame, value: Column, group_cols: Sequence[str], aggs: Sequence[Column] = (), per: int | None = None) -> list | None:
-    """One row per group with ``_n`` (values), ``_grid`` (their sketch) and ``aggs``; null values are left out."""
-    grid = F.percentile_approx(value, [i / GRID for i in range(GRID + 1)], ACCURACY)
-    rows = df.groupBy(*group_cols).agg(F.count(value).alias("_n"), grid.alias("_grid"), *aggs).limit(MAX_GROUPS + 1).collect()
-    return rows if len(rows) <= (per or MAX_GROUPS) else None
+def sketches(df: DataFrame, value: Column, group_cols: Sequence[str]) -> list | None:
+    """One row per group with ``_n`` (values) and ``_grid`` (their sketch); null values are left out."""
+    probs = ", ".join(f"{i / GRID}D" for i in range(GRID + 1))
+    rows = df.select(*group_cols, value.alias("_x")).groupBy(*group_cols).agg(
+        F.count("_x").alias("_n"), F.expr(f"percentile_approx(_x, array({probs}), {ACCURACY})").alias("_grid")).limit(MAX_GROUPS + 1).collect()
+    return rows if len(rows) <= MAX_GROUPS else None
 
 
 def bracket(n: int, grid: list | None, rank: int) -> tuple:
@@ -75,32 +83,29 @@ def merged(brackets: list[tuple]) -> list[tuple]:
     return [tuple(b) for b in out]
 
 
-def _index(value: Column, brackets: list[tuple]) -> Column:
-    """2m + 1 inside bracket m, 2m before it."""
-    out = F.lit(0)
-    for lo, hi in brackets:
-        out = out + (F.lit(1) if lo is None else (value >= F.lit(lo)).cast("int"))
-        if hi is not None:
-            out = out + (value > F.lit(hi)).cast("int")
-    return out
+_LEAST = {"double": float("-inf"), "bigint": -(1 << 63)}
+
+
+def cell_index(value: Column, group: Column, brackets: list[list[tuple]], kind: str = "double") -> Column:
+    """2m + 1 inside bracket m of the row's group, 2m before it."""
+    low = constant([[_LEAST[kind] if lo is None else lo for lo, _ in b] for b in brackets], f"array<array<{kind}>>")
+    high = constant([[hi for _, hi in b if hi is not None] for b in brackets], f"array<array<{kind}>>")
+    return F.size(F.filter(low[group], lambda x: value >= x)) + F.size(F.filter(high[group], lambda x: value > x))
 
 
-def counts(df: DataFrame, value: Column, group_cols: Sequence[str], brackets: dict[tuple, list[tuple]], aggs: dict[str, Column] | None = None) -> dict[tuple, list[Cell]] | None:
-    """Cells of each group in the order of values, by one scan."""
-    g, aggs = list(group_cols), aggs or {}
+def counts(df: DataFrame, value: Column, group: Column, brackets: list[list[tuple]], kind: str = "double") -> list[list[Cell]] | None:
+    """Cells of each group (a place in ``brackets``) in the order of values, by one scan."""
     if not brackets:
-        return {}
-    index = F.lit(None).cast("int")
-    for key, b in brackets.items():
-        index = F.when(_in_group(g, key), _index(value, b)).otherwise(index)
-    tagged = df.where(value.isNotNull()).withColumn("_i", index).where(F.col("_i").isNotNull()).withColumn("_v", F.when(F.col("_i") % 2 == 1, value))
-    rows = tagged.groupBy(*g, "_i", "_v").agg(F.count(F.lit(1)).alias("_n"), *[c.alias(n) for n, c in aggs.items()]).limit(MAX_CELLS + 1).collect()
+        return []
+    tagged = df.select(value.alias("_x"), group.alias("_g")).where("_x is not null and _g is not null")
+    tagged = tagged.withColumn("_i", cell_index(F.col("_x"), F.col("_g"), brackets, kind)).withColumn("_v", F.when(F.col("_i") % 2 == 1, F.col("_x")))
+    rows = tagged.groupBy("_g", "_i", "_v").agg(F.count(F.lit(1)).alias("_n")).limit(MAX_CELLS + 1).collect()
     if len(rows) > MAX_CELLS:
         return None
-    out: dict[tuple, list[Cell]] = {key: [] for key in brackets}
+    out: list[list[Cell]] = [[] for _ in brackets]
     for r in rows:
-        out[tuple(r[c] for c in g)].append(Cell(r["_i"], r["_v"], r["_n"], {n: r[n] for n in aggs}))
-    for cells in out.values():
+        out[r["_g"]].append(Cell(r["_i"], r["_v"], r["_n"]))
+    for cells in out:
         cells.sort(key=lambda c: (c.index, c.value if c.value is not None else 0))
     return out
 
@@ -137,8 +142,10 @@ def quantiles(df: DataFrame, value: Column, group_cols: Sequence[str], probs: Ca
     rows = sketches(df, value, g)
     if rows is None:
         return None
-    wanted = {tuple(r[c] for c in g): (r["_n"], r["_grid"], list(probs(tuple(r[c] for c in g)))) for r in rows if r["_n"]}
-    found = counts(df, value, g, {k: merged([bracket(n, grid, i) for p in ps for i in ranks_of(n, p)]) for k, (n, grid, ps) in wanted.items() if ps})
+    rows = [r for r in rows if r["_n"]]
+    keys = [tuple(r[c] for c in g) for r in rows]
+    wanted = [list(probs(k)) for k in keys]
+    found = counts(df, value, group_index(g, keys), [merged([bracket(r["_n"], r["_grid"], i) for p in ps for i in ranks_of(r["_n"], p)]) for r, ps in zip(rows, wanted)])
     if found is None:
         return None
-    return {k: {p: between(found[k], n, p) for p in ps} for k, (n, _, ps) in wanted.items() if ps}
+    return {k: {p: between(cells, r["_n"], p) for p in ps} for k, r, ps, cells in zip(keys, rows, wanted, found) if ps}
