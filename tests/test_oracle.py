@@ -44,7 +44,9 @@ def test_entry_smoke(spark):
     assert sum(r["policies"] for r in rows) == 1500
 
 
-ROWS_ONLY = sorted(set(REGISTRY) - set(ORACLES))
+#: Hundreds of rounds: run below with a few.
+LONG = ["j04_boosted_grid", "j05_boosted_cv_scores", "l06_boosted_importance", "l09_boosted_standard_scores", "l10_boosted_poisson_scores", "l11_boosted_tweedie_scores"]
+ROWS_ONLY = sorted(set(REGISTRY) - set(ORACLES) - set(LONG))
 
 
 @pytest.mark.parametrize("name", ROWS_ONLY)
@@ -59,6 +61,27 @@ def test_rows_only_query_runs(spark, name):
                 assert not math.isnan(v), (name, r)
 
 
+def test_boosted_queries_with_few_rounds(spark, monkeypatch):
+    from dataclasses import replace
+
+    from claimwise.plans import models
+    few = {m: replace(s, params=replace(s.params, rounds=3)) for m, s in models.BOOST_SPECS.items()}
+    monkeypatch.setattr(models, "BOOST_SPECS", few)
+    monkeypatch.setattr(models, "CV_ROUNDS", 2)
+    monkeypatch.setattr(models, "GRID_ROUNDS", 1)
+    monkeypatch.setattr(models, "TUNED", {"learning_rate": [0.01, 0.05, 0.1], "max_depth": [1, 2, 3]})
+    fits = []
+    real = models.bst.fit_models
+    monkeypatch.setattr(models.bst, "fit_models", lambda *a, **k: (fits.append(1), real(*a, **k))[1])
+    rows = {name: REGISTRY[name][0](spark, SF).collect() for name in LONG}
+    assert len(fits) == 1                      # one joint fit for all four queries
+    assert all(len(r) > 0 for r in rows.values())
+    assert sorted(r["rank"] for r in rows["j04_boosted_grid"]) == [1, 2, 3, 4]
+    assert {r["fold"] for r in rows["j05_boosted_cv_scores"]} == {-2, -1, 0, 1, 2, 3, 4}
+    scores = [rows[n] for n in LONG[3:]]
+    assert len({frozenset(r["IDpol"] for r in s) for s in scores}) == 1 and all(0 <= r["predicted"] < 20 for s in scores for r in s)
+
+
 def test_every_query_name_carries_a_survey_id():
     import re
     for name in REGISTRY:
