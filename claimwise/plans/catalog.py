@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features as feat
 from ..operators import profile as prof
+from ..operators.ordering import exact_quantiles
 from ..sources import tables as src
 from . import oracle_sql as O
 
@@ -44,6 +45,7 @@ def features(spark, sf, **kw):
 
 
 TRANSCENDENTAL = {"LogDensity", "LogExposure", "BM_Exp"}
+# The variables of the correlation study.
 KEY_VARS = ["ClaimNb", "Exposure", "VehPower", "VehAge", "DrivAge", "BonusMalus", "Density", "LogDensity"]
 ENGINEERED_NUMERIC = ["LogExposure", "VehAge_DrivAge_Ratio", "DrivExperience", "PowerToExperience", "BM_Exp",
                       "BM_Power", "BM_Age", "CompositeRiskScore", "RiskFactorScore", "Area_Region", "Brand_Gas",
@@ -237,13 +239,13 @@ SELECT round(mean_density, 6) AS mean_density, round(q90_density, 6) AS q90_dens
        CAST(count(CASE WHEN Density > q90_density THEN 1 END) AS BIGINT) AS n_above_q90
 FROM filled CROSS JOIN th GROUP BY mean_density, q90_density""")
 def q_density_thresholds(spark, sf):
-    """Scalar aggregate used on every row: mean and 0.9 quantile in one
-    aggregate, evaluated once as a scalar subquery and compared per row."""
+    """Scalars used on every row: mean and 0.9 quantile (by the checked quantile operator),
+    each evaluated once as a scalar subquery and compared per row."""
     pol = policies(spark, sf)
     cleaned, _ = feat.clean(pol)
-    th = cleaned.agg(F.struct(F.avg("Density").alias("mean_density"),
-                              F.percentile(F.col("Density").cast("double"), 0.9).alias("q90_density"))).scalar()
-    j = cleaned.select("Density", th.alias("th")).select("Density", "th.*")
+    mean = cleaned.agg(F.avg("Density")).scalar()
+    q90 = exact_quantiles(cleaned, "Density", [0.9]).select("quantile").scalar()
+    j = cleaned.select("Density", mean.alias("mean_density"), q90.alias("q90_density"))
     return j.groupBy("mean_density", "q90_density").agg(
         F.count(F.when(F.col("Density") > F.col("mean_density"), 1)).cast("bigint").alias("n_above_mean"),
         F.count(F.when(F.col("Density") > F.col("q90_density"), 1)).cast("bigint").alias("n_above_q90"),

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import finite_or_null, nan_to_num
+from ..operators import eda
 from ..operators import evaluate as ev
 from ..operators import features as feat
 from ..operators import glm, ordering
@@ -172,6 +173,20 @@ def q_correlation(spark, sf):
     return prof.correlation_pairs(df, _CORR).select("var_x", "var_y", F.round("corr", 9).alias("corr"))
 
 
+_WHOLE = ["DrivAge", "BonusMalus", "VehPower"]
+
+
+@query("f15_kde_unbinned", _with(", lg AS (" + " UNION ALL ".join(f"SELECT '{c}' AS variable, CAST({c} AS DOUBLE) AS v FROM policies WHERE {c} IS NOT NULL" for c in _WHOLE) + "), "
+       "st AS (SELECT variable, min(v) AS lo, max(v) AS hi, count(*) AS n, stddev_samp(v) * pow(count(*), -0.2) AS h FROM lg GROUP BY 1) ")
+       + "SELECT lg.variable, CAST(g.i AS INT) AS grid_index, round(any_value(lo + (hi - lo) * g.i / 199.0), 6) AS x, "
+       "round(sum(exp(-0.5 * pow((lo + (hi - lo) * g.i / 199.0 - v) / h, 2))) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 9) AS density "
+       "FROM lg JOIN st USING (variable) CROSS JOIN range(200) g(i) GROUP BY lg.variable, g.i")
+def q_kde(spark, sf):
+    """F15 against the kernel sum over all rows: whole-numbered variables, a node at every value."""
+    k = eda.kde_linear(eda.to_long(src.policies(spark, sf), _WHOLE), step=1.0)
+    return k.select("variable", F.col("grid_index").cast("int").alias("grid_index"), F.round("x", 6).alias("x"), F.round("density", 9).alias("density"))
+
+
 @query("d02_blank_non_finite", _with(_BAD) + "SELECT IDpol, " + ", ".join(f"CASE WHEN isfinite({c}) THEN {c} END AS {c}" for c in _COLS) + " FROM bad")
 def q_blank(spark, sf):
     """NaN and infinities become null."""

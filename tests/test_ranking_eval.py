@@ -175,3 +175,20 @@ def test_zero_denominators_do_not_raise_under_ansi(spark):
     m = {(x["claim_class"], x["variable"]): x["ratio_to_none"] for x in prof.class_means(df, ["x"]).collect()}
     assert m[("one", "x")] is None
     assert eda.kde(eda.to_long(df, ["c"])).count() == 0
+
+
+def test_kde_error_bound(spark):
+    import numpy as np
+
+    from claimwise.operators import eda
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.gamma(2, 10, 1500), rng.normal(100, 1, 300)])
+    df = spark.createDataFrame([("v", float(t)) for t in x] + [("v", float("nan")), ("v", None), ("v", float("inf")), ("c", 1.0), ("c", 1.0)], "variable string, value double")
+    h = x.std(ddof=1) * len(x) ** -0.2
+    for per in (1, 4, 16):
+        rows = eda.kde_linear(df, grid=50, per_bandwidth=per).collect()
+        assert len(rows) == 50 and {r["variable"] for r in rows} == {"v"}
+        for r in rows:
+            exact = np.exp(-0.5 * ((r["x"] - x) / h) ** 2).sum() / (len(x) * h * np.sqrt(2 * np.pi))
+            assert abs(r["density"] - exact) <= r["error_bound"] + 1e-12
+    assert r["error_bound"] < 1e-3 / h
