@@ -10,11 +10,14 @@
 3. Every vector is put in its most probable partition; large partitions are dealt over
    blocks, so that a vector with very many copies does not fill one task. A query goes to
    its most probable partitions, all blocks of them, and is compared there with exact
-   cosines in double precision; its best of all blocks remain.
+   cosines in double precision; its best of all blocks remain. Queries that found fewer
+   than k rows there, though there are more, go to all partitions.
 
 Vectors that are null, zero, of another length than most, or that hold null or non-finite
 components take no part. Ties go to the smaller id. Rows with a null id take no part, as
-they cannot be named; of rows with one id each is a candidate.
+they cannot be named; of rows with one id each is a candidate and, if its id asks for it, a
+query of its own, whose candidates are all rows but itself. Other columns are not read,
+whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from .common import materialize
 
 SAMPLE_ROWS = 6_000
 ROWS_PER_PARTITION, MAX_PARTITIONS = 8_192, 64
-BLOCK_ROWS, QUERY_ROWS = 2_048, 4_096
+BLOCK_ROWS, QUERY_ROWS = 2_048, 32_768
 NEIGHBOURS = 10
 TARGET_RECALL = 0.97
 HIDDEN, EPOCHS, RATE = 64, 30, 3e-3
@@ -172,7 +175,7 @@ def _place(router: Router, all_routes: bool):
             x = unit(_matrix(batch.column("v")))
             parts = router.routes(x) if all_routes else [[p] for p in router.probabilities(x).argmax(axis=1)]
             take = pa.array(np.repeat(np.arange(len(x)), list(map(len, parts))))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(parts), pa.int32())], names=["id", "v", "part"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("row", "id", "v")), pa.array(np.concatenate(parts), pa.int32())], names=["row", "id", "v", "part"])
     return run
 
 
@@ -180,12 +183,12 @@ def _compare(k: int):
     def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
         out = []
         if queries.num_rows and rows.num_rows:
-            qid, rid = queries["id"].to_numpy(), rows["id"].to_numpy()
+            qid, rid, qrow, rrow = queries["id"].to_numpy(), rows["id"].to_numpy(), queries["row"].to_numpy(), rows["row"].to_numpy()
             q, r = _matrix(queries["v"]), _matrix(rows["v"])
             uq, ur = unit(q), unit(r)
             for at in range(0, len(q), 512):
                 s = uq[at:at + 512] @ ur.T
-                s[qid[at:at + 512, None] == rid[None, :]] = -np.inf
+                s[qrow[at:at + 512, None] == rrow[None, :]] = -np.inf
                 n = min(k, len(r))
                 bar = -np.partition(-s, n - 1, axis=1)[:, n - 1]
                 for i in range(len(s)):
@@ -193,9 +196,10 @@ def _compare(k: int):
                     if len(near):
                         score = cosines(np.broadcast_to(q[at + i], (len(near), q.shape[1])), r[near])
                         best = np.lexsort((rid[near], -score))[:k]
-                        out.append((np.full(len(best), qid[at + i]), rid[near][best], score[best]))
-        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0), np.zeros(0), np.zeros(0)]
-        return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
+                        out.append((np.full(len(best), qrow[at + i]), np.full(len(best), qid[at + i]), rrow[near][best], rid[near][best], score[best]))
+        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0)] * 5
+        kinds = [pa.int64()] * 4 + [pa.float64()]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["row", "query_id", "found", "vec_id", "score"])
     return run
 
 
@@ -214,17 +218,32 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
         parts *= 2
     router = learn(np.array([r["v"] for r in sample], np.float64).reshape(len(sample), dims["d"] if dims else 1), parts, k)
 
-    placed = "id bigint, v array<double>, part int"
-    rows = materialize(good.mapInArrow(_place(router, False), placed), "ann-rows")
+    placed = "row bigint, id bigint, v array<double>, part int"
+    # numbered in the staged table: a row's number stays whatever is computed again
+    rows = materialize(good.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_place(router, False), placed), "ann-rows")
     sizes = {r["part"]: -(-r["count"] // BLOCK_ROWS) for r in rows.groupBy("part").count().collect()}   # one row per partition
-    queries = good.filter(is_query(F.col("id")))
-    groups = max(1, -(-queries.count() // QUERY_ROWS))
+    asked = rows.filter(is_query(F.col("id"))).drop("part")
+    groups = max(1, -(-asked.count() // QUERY_ROWS))
     blocks = F.coalesce(F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv])[F.col("part")], F.lit(0)) if sizes else F.lit(0)
-    rows = (rows.withColumn("block", F.pmod(F.xxhash64("id", "v"), blocks).cast("int"))
-            .withColumn("qgroup", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))))
-    queries = (queries.mapInArrow(_place(router, True), placed).withColumn("qgroup", F.pmod(F.hash("id"), F.lit(groups)))
-               .filter(blocks > 0).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))))
     key = ["part", "block", "qgroup"]
-    found = queries.groupBy(*key).cogroup(rows.groupBy(*key)).applyInArrow(_compare(k), "query_id bigint, vec_id bigint, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    table = (rows.withColumn("block", F.pmod(F.xxhash64("row"), blocks).cast("int"))
+             .withColumn("qgroup", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))).groupBy(*key)
+    found_schema = "row bigint, query_id bigint, found bigint, vec_id bigint, score double"
+
+    def compared(queries: DataFrame) -> DataFrame:
+        queries = (queries.withColumn("qgroup", F.pmod(F.hash("row"), F.lit(groups))).filter(blocks > 0)
+                   .withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))))
+        return queries.groupBy(*key).cogroup(table).applyInArrow(_compare(k), found_schema)
+
+    def first(found: DataFrame) -> DataFrame:
+        w = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id", "found")
+        return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+    asked = materialize(asked, "ann-queries")
+    best = materialize(first(compared(asked.mapInArrow(_place(router, True), placed))), "ann-found")
+    enough = best.filter(F.col("rank") >= min(k, max(0, total - 1))).select("row").distinct()
+    short = asked.join(enough, "row", "left_anti") if total > 1 else asked.limit(0)
+    if not short.isEmpty():
+        everywhere = short.withColumn("part", F.explode(F.array(*[F.lit(p) for p in sizes])))
+        best = first(compared(everywhere).union(best.join(enough, "row", "left_semi").drop("rank")))
+    return best.select("query_id", "rank", "vec_id", "score")

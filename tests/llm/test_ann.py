@@ -63,3 +63,36 @@ def test_partitions_are_balanced():
     x = ann.unit(rng.normal(size=(1000, 16)))
     label = ann.partition(ann.neighbour_graph(x, 10), 8, rng)
     assert np.bincount(label).tolist() == [125] * 8
+
+
+@pytest.mark.parametrize("clustered", [False, True])
+def test_recall_beyond_the_sample(spark, clustered):
+    """The router has seen a tenth of the vectors."""
+    rng = np.random.default_rng(6)
+    n = 4000
+    x = rng.normal(size=(n, 16)) + (4 * rng.normal(size=(20, 16))[rng.integers(0, 20, n)] if clustered else 0)
+    got = {}
+    for r in ann.nearest(table_of(spark, list(range(n)), x), lambda i: i % 50 == 0, sample_rows=400).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    ids = np.arange(n)
+    hits = [len(got[q] & {i for i, _ in best(ids, x, q)}) for q in range(0, n, 50)]
+    assert np.mean(hits) / 5 >= 0.9
+
+
+def test_queries_that_find_too_few_go_everywhere(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(600, 8))
+    monkeypatch.setattr(ann.Router, "routes", lambda self, v: [np.array([99 if i % 2 else 0]) for i in range(len(v))])
+    got = ann.nearest(table_of(spark, list(range(600)), x), lambda i: i % 50 == 0).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    assert len(by) == 12 and all(sorted(k for k, _ in v) == [1, 2, 3, 4, 5] for v in by.values())
+    exact = sum({i for _, i in by[q]} == {i for i, _ in best(np.arange(600), x, q)} for q in by)
+    assert exact >= 4          # those that were sent nowhere have been compared with all
+
+
+def test_rows_with_one_id(spark):
+    got = [tuple(r) for r in ann.nearest(table_of(spark, [0, 0, 1], [[1, 0], [0, 1], [1, 1]]), lambda i: i % 50 == 0).collect()]
+    half = 0.5 ** 0.5
+    assert sorted((q, k, v, round(s, 9)) for q, k, v, s in got) == [(0, 1, 1, round(half, 9)), (0, 1, 1, round(half, 9)), (0, 2, 0, 0.0), (0, 2, 0, 0.0)]
