@@ -6,7 +6,9 @@ ids to the token-byte table: that table has as many rows as the rank file, which
 is counted before it is broadcast.
 
 Null and empty texts encode to no ids and decode to no bytes. Repeated rows give
-repeated results; other columns of the input are neither read nor returned.
+repeated results; other columns of the input are neither read nor returned, whatever their
+names. A very long text is split whole, its words listed a part at a time. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations

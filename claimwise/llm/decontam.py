@@ -14,8 +14,9 @@ benchmark is read in blocks of bounded size; with several blocks the hit spans o
 a document are merged by a shuffle on its row number.
 
 Null texts have no words. Repeated items count once by their item_id; an item with
-null id is listed as "null". Extra columns are ignored. Repeated documents have
-equal results. Input has to be a deterministic scan when there are several blocks.
+null id is listed as "null". Extra columns are ignored, whatever their names. Repeated
+documents have equal results. A very long text is a shard of its own. An empty table gives an
+empty result, an empty benchmark hits nothing. Input has to be a deterministic scan when there are several blocks.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ once.
 
 Null and empty texts have zero statistics and are scored like any other row. Null
 doc_ids are never learned from. Labels with several rows per doc_id count once each;
-a doc_id with several texts is learned from once per text.
+a doc_id with several texts is learned from once per text. Repeated rows have equal scores.
+Other columns are not read, whatever their names; very long texts are read whole. An empty table
+gives an empty result, and without usable labels every score is that of no trees.
 """
 
 from __future__ import annotations

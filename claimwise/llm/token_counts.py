@@ -1,14 +1,17 @@
 """Token counts of texts under a unigram vocabulary.
 
 A pre-token's count is the number of pieces in its most probable split. Forward
-scores of a prefix depend on the prefix alone, so the distinct pre-tokens are put
-in a trie and each trie node is scored once, whatever number of words pass through
-it; a word's count is stored where it ends. Words are dealt by their first
-characters, so words that share a prefix share a task, each is scored once, and
-the counts return to the texts as in ``words``.
+scores of a prefix depend on the prefix alone, so distinct pre-tokens are taken in
+sorted order, which is a walk over their trie: the path from the root to the word before is
+kept, and only the nodes below the branching point are scored; a word's count is stored where
+it ends. Words are dealt by their first six characters, so words that share these meet in one
+task; a task walks the trie of the new words of every few hundred word rows that it reads, so a
+shared prefix is scored once per such walk, and a word once per task (see ``words``). The counts
+return to the texts as there.
 
 Scores are whole numbers (micro-nats), so equal sums are equal; of splits with the
-same score the one with fewer pieces counts. Null and empty texts count 0.
+same score the one with fewer pieces counts. Null and empty texts count 0. Repeated rows have equal
+counts; other columns are not read, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations

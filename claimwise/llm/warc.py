@@ -13,7 +13,8 @@ digest.
 
 Null html is an empty payload; null URLs have no target header. Rows with a null
 page_id come after all others and revisit nothing that has none. Rows equal in page_id
-and payload are the same page: all have the group's record type.
+and payload are the same page: all have the group's record type. Other columns are not read,
+whatever their names; a very long page is one record. An empty table writes no archive.
 """
 
 from __future__ import annotations
