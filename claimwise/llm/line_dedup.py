@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import free_name, giving_back, materialize, pieces, strings
-from .hashing import U, WordHash, mix
+from .hashing import U, mix
 
 WORDS_PER_EDIT = 10
 BROADCAST_ROWS = 500_000
@@ -69,38 +69,57 @@ def finish(run: np.ndarray, length: np.ndarray, salt: int) -> np.ndarray:
         return mix(run + mix(length.astype(np.uint64) + U(salt)))
 
 
-def split_lines(texts: list[str | None]) -> tuple[list[int], list[int], list[list[bytes]]]:
-    """(text index, line number, words) of the lines that are not blank."""
-    owner, number, words = [], [], []
-    for i, text in enumerate(texts):
-        for j, line in enumerate((text or "").encode().split(b"\n")):
-            w = line.split()
-            if w:
-                owner.append(i)
-                number.append(j)
-                words.append(w)
-    return owner, number, words
-
-
-def line_hashes(words: list[list[bytes]], hashes: WordHash):
-    """Two 64-bit hashes and word count per line, with the rolling sums and bounds."""
-    lens = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lens)
-    starts = ends - lens
-    flat = hashes.of([w for line in words for w in line])
+#: What ``bytes.split`` splits at, and a random number per byte for word hashes.
+BLANK = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+BYTE = np.random.default_rng(20_240_607).integers(0, 1 << 64, 256, dtype=np.uint64)
+
+
+def word_hashes(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, 64-bit hash) of each word in an array of bytes: the sum of its bytes' numbers, each
+    times a power of an odd base by its place in the word, and the length, mixed."""
+    word = ~BLANK[a]
+    begin = word.copy()
+    begin[1:] &= ~word[:-1]
+    starts = np.flatnonzero(begin)
+    if not len(starts):
+        return starts, np.zeros(0, np.uint64)
+    # place within the word; blanks get a place too, but no number
+    place = np.arange(starts[0], len(a)) - np.repeat(starts, np.diff(np.append(starts, len(a))))
+    word, body = word[starts[0]:], a[starts[0]:]
+    lens = np.add.reduceat(word, starts - starts[0], dtype=np.int64)
+    with np.errstate(over="ignore"):
+        power = np.cumprod(np.concatenate([[U(1)], np.full(int(lens.max()) - 1, U(BASES[1]))]), dtype=np.uint64)
+        value = np.where(word, BYTE[body] * power[np.minimum(place, len(power) - 1)], U(0))
+        sums = np.add.reduceat(value, starts - starts[0], dtype=np.uint64)
+    return starts, finish(sums, lens, 17)
+
+
+def line_hashes(texts: list[str | None]):
+    """Lines that are not blank: their text and line number; two 64-bit hashes and word count, with
+    the rolling sums and bounds over words."""
+    raw = [(t or "").encode() for t in texts]
+    a = np.frombuffer(b"\n".join(raw), np.uint8)
+    places, flat = word_hashes(a)
+    newline = np.flatnonzero(a == 10)
+    sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+    text_at = np.cumsum(sizes + 1) - sizes - 1
+    line = np.searchsorted(newline, places)
+    starts = np.flatnonzero(np.diff(line, prepend=-1))
+    ends = np.append(starts[1:], len(line))
+    lens = ends - starts
+    owner = np.searchsorted(text_at, places[starts], side="right") - 1
+    number = line[starts] - np.searchsorted(newline, text_at[owner])
     rolls = [Rolling(flat, b) for b in BASES]
     h1, h2 = (finish(r.run(starts, ends), lens, k) for k, r in enumerate(rolls))
-    return h1, h2, lens, starts, ends, rolls
+    return owner, number, h1, h2, lens, starts, ends, rolls
 
 
 def _lines(words_per_edit: int):
     def run(batches):
-        hashes = WordHash()
         for batch in (p for b in batches for p in pieces(b, "text")):
-            owner, number, words = split_lines(batch.column("text").to_pylist())
-            if not owner:
+            owner, number, h1, h2, n, s, e, (roll, _) = line_hashes(batch.column("text").to_pylist())
+            if not len(owner):
                 continue
-            h1, h2, n, s, e, (roll, _) = line_hashes(words, hashes)
             keys = []
             for longer in (n, n + 1):   # as the longer line of a pair, or the shorter
                 half = longer // 2
@@ -133,10 +152,8 @@ def _chosen_lines(batches):
 def _variants(words_per_edit: int):
     """Rows (h1, h2, f, words) to one row per word left out, of the lines with ``words_per_edit`` words or more."""
     def run(batches):
-        hashes = WordHash()
         for batch in (p for b in batches for p in pieces(b, "words")):
-            words = [w.encode().split(b" ") for w in batch.column("words").to_pylist()]
-            _, _, n, s, e, rolls = line_hashes(words, hashes)
+            _, _, _, _, n, s, e, rolls = line_hashes(batch.column("words").to_pylist())       # a line each
             line = np.repeat(np.arange(len(n)), n)
             at = np.flatnonzero(n[line] >= words_per_edit)
             line = line[at]

@@ -116,3 +116,15 @@ def test_columns_named_like_the_generated_ones(documents):
     assert out.columns == [*docs.columns, "removed"]
     assert {tuple(r)[:2] + tuple(r)[-5:] for r in out.collect()} == {(1, "a line\nanother", "x", "y", "z", "w", 0), (2, "", "x", "y", "z", "w", 1)}
     assert ld.dedup_lines(docs).columns == [c for c in docs.columns if c != "n_removed"] + ["n_removed"]
+
+
+def test_words_are_those_of_split():
+    import numpy as np
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["a", "b", "ab", " ", "  ", "\n", "\t", "\r", "\x0b", "\x0c", "é", " ", "\x1c", "\x00"]) for _ in range(rng.randint(0, 40))) for _ in range(300)] + [None, "", "\n", "x"]
+    owner, number, _, _, lens, starts, ends, _ = ld.line_hashes(texts)
+    want = [(i, j, line.split()) for i, t in enumerate(texts) for j, line in enumerate((t or "").encode().split(b"\n")) if line.split()]
+    assert list(zip(owner.tolist(), number.tolist(), lens.tolist())) == [(i, j, len(w)) for i, j, w in want]
+    hashes = ld.word_hashes(np.frombuffer(b"\n".join((t or "").encode() for t in texts), np.uint8))[1].tolist()
+    words = [w for _, _, line in want for w in line]
+    assert len(hashes) == len(words) and len(set(zip(words, hashes))) == len(set(words)) == len(set(hashes))
