@@ -47,7 +47,17 @@ def test_full_study_writes_every_table(spark, tmp_path):
     out = str(tmp_path / "study")
     metrics = study.run(spark, src.policies(spark, SF), out)
     assert set(metrics) == {"standard", "poisson", "tweedie"}
-    for name in ("features", "metrics", "lift", "pr_curve", "comparison", "importance", "summary", "histograms"):
-        assert spark.read.parquet(f"{out}/{name}").count() > 0
+    for name in ("features", "shape", "null_profile", "inf_profile", "preview", "describe", "distinct_counts", "claim_counts", "imbalance", "relativities",
+                 "risk_segment_shares", "claims_by_category", "metrics", "best_model", "risk_group_metrics", "error_frame", "prediction_ranges", "positive_rate",
+                 "lift", "pr_curve", "comparison", "importance", "summary", "histograms", "error_kde", "best_model_top_errors"):
+        assert spark.read.parquet(f"{out}/{name}").count() > 0, name
+    assert len(spark.read.parquet(f"{out}/best_model_top_errors").columns) == 5 + 52
+    assert spark.read.parquet(f"{out}/summary").where("section = 'top_features'").count() == 30
+    # the bundle scores raw policies in another session as the study did
+    from claimwise.operators import store
+    test_ids = spark.read.parquet(f"{out}/scores")
+    again = store.load_bundle(spark.newSession(), f"{out}/bundle").score(src.policies(spark, SF))
+    joined = test_ids.join(again.withColumnRenamed("predicted", "later").drop("actual"), ["model", "IDpol"])
+    assert joined.count() == test_ids.count() and joined.where("predicted <> later").count() == 0
     assert spark.read.option("header", True).csv(f"{out}/top_errors").count() == 30
     assert all(0.0 <= m["f1"] <= 1.0 for m in metrics.values())
