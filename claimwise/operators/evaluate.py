@@ -67,7 +67,7 @@ def mismatches(actuals: DataFrame, predictions: DataFrame, key: str = "IDpol", l
         # a list of ``listed`` keys at most: the first of each partition, then the first of those
         first = keys.where(F.col("k").isNotNull()).orderBy("k").limit(listed).agg(F.array_sort(F.collect_list("k")).alias("first_keys"))
         n = keys.agg(F.coalesce(F.sum(F.when(F.col("k").isNull(), F.col("c")).otherwise(1)), F.lit(0)).cast("bigint").alias("n"))
-        one = n.withColumn("one", F.lit(1)).join(first.withColumn("one", F.lit(1)), "one").select(F.lit(side).alias("side"), "n", "first_keys")
+        one = n.select(F.lit(side).alias("side"), "n", first.scalar().alias("first_keys"))
         out = one if out is None else out.unionByName(one)
     return out
 

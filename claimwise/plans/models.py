@@ -183,14 +183,12 @@ def q_stump(spark, sf):
     pol = src.policies(spark, sf).select("IDpol", "ClaimNb", *[c for c in _STUMP_CUTS])
     cuts = bins.Cuts(list(_STUMP_CUTS), [np.array(c) for c in _STUMP_CUTS.values()])
     m = bst.fit_boosted(pol, "stump", list(_STUMP_CUTS), _STUMP, cuts=cuts)
-    split = m.nodes().where("node = 0").select(F.element_at(F.array(*[F.lit(c) for c in _STUMP_CUTS]), F.col("feature") + 1).alias("feature"),
-                                               F.col("threshold").alias("cut"), F.round("gain", 6).alias("gain"))
-    leaves = m.nodes().where("value is not null").agg(F.round(F.max(F.when(F.col("node") == 1, F.col("value"))), 9).alias("left_value"),
-                                                      F.round(F.max(F.when(F.col("node") == 2, F.col("value"))), 9).alias("right_value"))
-    # one row each
-    one = F.lit(1).alias("one")
-    return split.select("*", one).join(leaves.select("*", one), "one").select("feature", "cut", "gain", "left_value", "right_value",
-                                                                            F.round(F.lit(m.base), 9).alias("base"))
+    n = m.nodes()
+    at = lambda node, c: F.max(F.when(F.col("node") == node, F.col(c)))
+    row = n.agg(at(0, "feature").alias("f"), at(0, "threshold").alias("cut"), F.round(at(0, "gain"), 6).alias("gain"),
+                F.round(at(1, "value"), 9).alias("left_value"), F.round(at(2, "value"), 9).alias("right_value"))
+    return row.select(F.element_at(F.array(*[F.lit(c) for c in _STUMP_CUTS]), F.col("f") + 1).alias("feature"), "cut", "gain", "left_value", "right_value",
+                      F.round(F.lit(m.base), 9).alias("base"))
 
 
 _FOLD_SQL = f"((('0x' || substr(md5('43:' || CAST(IDpol AS VARCHAR)), 1, 8))::BIGINT % {10000 * FOLDS}) % {FOLDS})"
