@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-GRID, ACCURACY = 500, 5_000
+GRID, ACCURACY = 400, 2_000
 MAX_GROUPS, MAX_CELLS = 64, 200_000
 #: Plan nodes that cost no more than reading their input again.
 _CHEAP = {"Project", "Filter", "Relation", "LogicalRelation", "Expand", "Union", "LocalRelation", "SubqueryAlias"}
