@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.exprs import nan_to_null
+from ..session import materialize, parallelism
 from .ordering import exact_quantiles
+from .selection import is_scan
 
 
 def _ratio(a, b):
@@ -74,6 +76,8 @@ def describe(df: DataFrame, cols: Sequence[str], max_buffered_distinct: int = 20
     spark = df.sparkSession
     # one rule for both paths: NaN and null are skipped
     df = df.select(*[nan_to_null(c).alias(c) for c in cols])
+    if not is_scan(df):            # read once per step below
+        df = materialize(df, "describe", min_partitions=parallelism(spark))
     stats = df.agg(*[F.struct(F.count(c).cast("bigint").alias("count"), F.avg(c).alias("mean"),
                               F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"),
                               F.max(c).cast("double").alias("max"),
